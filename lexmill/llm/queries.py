@@ -8,15 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, quality
+from lexmill.llm import chat, quality, warc
 from lexmill.llm.bpe import Tokenizer
 from lexmill.llm.near_dedup import near_duplicates
+from lexmill.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to seekable bundles in the shared folder and read back."""
+    archive = warc.write(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return warc.read(archive, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
@@ -63,8 +70,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minhash_near_dedup, op6_chat_formatting, op7_byte_level_bpe, op10_quality_rules)}
-
+    return {f.__name__: f for f in (op1_warc_bundles, op4_minhash_near_dedup, op6_chat_formatting, op7_byte_level_bpe, op10_quality_rules)}
+
+
+OP1 = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, unhex(sha1(coalesce(html, ''))) AS d FROM pages),
+g AS (SELECT d, max(page_id) AS top FROM p GROUP BY d),
+b AS (SELECT d, top, d::BIT::VARCHAR AS bits FROM g)
+SELECT p.page_id, p.payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * substring(bits, i * 5 + 1, 1)::INT + 8 * substring(bits, i * 5 + 2, 1)::INT + 4 * substring(bits, i * 5 + 3, 1)::INT
+    + 2 * substring(bits, i * 5 + 4, 1)::INT + substring(bits, i * 5 + 5, 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN b ON p.d = b.d
+"""
 
 OP4 = r"""
 WITH RECURSIVE d AS (
@@ -120,4 +139,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_near_dedup": OP4, "op6_chat_formatting": OP6, "op10_quality_rules": OP10}
+    return {"op1_warc_bundles": OP1, "op4_minhash_near_dedup": OP4, "op6_chat_formatting": OP6, "op10_quality_rules": OP10}
