@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, quality, warc
+from lexmill.llm import chat, langid, quality, warc
 from lexmill.llm.bpe import Tokenizer
 from lexmill.llm.near_dedup import near_duplicates
 from lexmill.session import scratch_path
@@ -24,6 +24,15 @@ def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archive, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, by a model that learns from documents not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.predict(docs, model, F.col("text")).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.rejected")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
@@ -70,7 +79,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_bundles, op4_minhash_near_dedup, op6_chat_formatting, op7_byte_level_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_bundles, op3_language_id, op4_minhash_near_dedup, op6_chat_formatting, op7_byte_level_bpe, op10_quality_rules)}
 
 
 OP1 = r"""
