@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, langid, quality, warc
+from lexmill.llm import chat, langid, pii, quality, warc
 from lexmill.llm.bpe import Tokenizer
 from lexmill.llm.near_dedup import near_duplicates
 from lexmill.session import scratch_path
@@ -69,6 +69,15 @@ def bpe_digests(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those with what the semi-Markov field adds."""
+    found = _table(spark, sf_dir, "documents").select("doc_id", pii.find(F.col("text")).alias("found"))
+    base = F.filter("found", lambda x: x["base"])
+    is_kind = lambda k: lambda x: x["kind"] == k
+    counts = [F.size(F.filter(base, is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("found")).alias("spans"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base measurements of every document and the verdict of the current policy."""
     entries = quality.ledger(_table(spark, sf_dir, "documents"))
@@ -79,7 +88,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_bundles, op3_language_id, op4_minhash_near_dedup, op6_chat_formatting, op7_byte_level_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_bundles, op3_language_id, op4_minhash_near_dedup, op6_chat_formatting, op7_byte_level_bpe, op9_pii, op10_quality_rules)}
 
 
 OP1 = r"""
