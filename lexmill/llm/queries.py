@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, langid, pii, quality, warc
+from lexmill.llm import chat, decontaminate, langid, pii, quality, warc
 from lexmill.llm.bpe import Tokenizer
 from lexmill.llm.near_dedup import near_duplicates
 from lexmill.session import scratch_path
@@ -47,6 +47,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, and which."""
+    found = decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shared", "total", F.round("similarity", 6).alias("similarity"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations formatted as token ids with a loss mask, and what is read back from them."""
     tokenizer = Tokenizer(spark, vocabulary())
@@ -88,7 +94,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_bundles, op3_language_id, op4_minhash_near_dedup, op6_chat_formatting, op7_byte_level_bpe, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_bundles, op3_language_id, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_chat_formatting, op7_byte_level_bpe, op9_pii, op10_quality_rules)}
 
 
 OP1 = r"""
@@ -121,6 +127,30 @@ FROM d JOIN k ON k.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 
 
 
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS v FROM benchmark
+), k AS (SELECT item_id, v, len(v) AS n, least(5, len(v)) AS z FROM i WHERE len(v) > 0),
+ks AS (SELECT item_id, n, z, unnest(range(1, n - z + 2)) AS q, v FROM k),
+kg AS (SELECT item_id, n, z, q, array_to_string(v[q:q + z - 1], ' ') AS g FROM ks),
+zs AS (SELECT DISTINCT z FROM k),
+ds AS (SELECT doc_id, len(w) AS m, z, unnest(range(1, len(w) - z + 2)) AS p, w FROM d, zs WHERE len(w) >= z),
+dg AS (SELECT doc_id, m, z, p, array_to_string(w[p:p + z - 1], ' ') AS g FROM ds),
+win AS (
+  SELECT DISTINCT doc_id, item_id, n, kg.z, greatest(1, least(p - q + 1, m - n + 1)) AS s FROM dg JOIN kg ON dg.g = kg.g AND dg.z = kg.z
+), a AS (
+  SELECT win.doc_id, item_id, s, dg.g, count(*) AS c FROM win JOIN dg ON dg.doc_id = win.doc_id AND dg.z = win.z AND dg.p BETWEEN s AND s + n - win.z GROUP BY ALL
+), b AS (SELECT item_id, g, count(*) AS c FROM kg GROUP BY ALL),
+f AS (
+  SELECT a.doc_id, a.item_id, a.s, sum(least(a.c, coalesce(b.c, 0))) AS shared, sum(a.c) AS na
+  FROM a LEFT JOIN b ON a.item_id = b.item_id AND a.g = b.g GROUP BY ALL
+), t AS (SELECT f.doc_id, f.item_id, f.s, shared, na + n - z + 1 - shared AS total FROM f JOIN k ON k.item_id = f.item_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / total DESC, s) AS o FROM t WHERE 100 * shared >= 75 * total)
+SELECT doc_id, item_id, shared::BIGINT AS shared, total::BIGINT AS total, round(shared / total, 6) AS similarity FROM r WHERE o = 1
+"""
+
 OP6 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -157,4 +187,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_bundles": OP1, "op4_minhash_near_dedup": OP4, "op6_chat_formatting": OP6, "op10_quality_rules": OP10}
+    return {"op1_warc_bundles": OP1, "op4_minhash_near_dedup": OP4, "op5_benchmark_decontamination": OP5, "op6_chat_formatting": OP6, "op10_quality_rules": OP10}
