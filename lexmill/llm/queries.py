@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, decontaminate, langid, pii, quality, warc
+from lexmill.llm import chat, decontaminate, langid, licenses, lm_score, pii, quality, warc
 from lexmill.llm.bpe import Tokenizer
 from lexmill.llm.near_dedup import near_duplicates
 from lexmill.session import scratch_path
@@ -24,6 +24,14 @@ def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archive, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's cross-entropy difference: documents labelled good against all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    model = lm_score.train(docs, good)
+    return docs.select("doc_id", lm_score.score(docs, model, F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document, by a model that learns from documents not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -75,6 +83,16 @@ def bpe_digests(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or inherited. Documents lie in directories by source and id; those whose id is
+    divisible by 50, 1000 or 20000 are the licence files of their directories."""
+    n = F.col("doc_id")
+    directory = F.when(n % 20_000 == 0, F.col("source")).when(n % 1000 == 0, F.concat_ws("/", "source", F.floor(n / 1000))).otherwise(F.concat_ws("/", "source", F.floor(n / 1000), F.floor(n / 50)))
+    name = F.when(n % 50 == 0, F.lit("LICENSE")).otherwise(F.concat(n.cast("string"), F.lit(".txt")))
+    files = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", directory, name).alias("path"), "text")
+    return licenses.scan(files, id_col="doc_id").withColumnRenamed("id", "doc_id")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans, and those with what the semi-Markov field adds."""
     found = _table(spark, sf_dir, "documents").select("doc_id", pii.find(F.col("text")).alias("found"))
@@ -94,7 +112,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_bundles, op3_language_id, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_chat_formatting, op7_byte_level_bpe, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_lm_scoring, op3_language_id, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_chat_formatting, op7_byte_level_bpe, op8_license_scan, op9_pii, op10_quality_rules)}
 
 
 OP1 = r"""
