@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexmill.plans import ingest, matching, search  # noqa: F401  each module registers its queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(search.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(search.ORACLES)
