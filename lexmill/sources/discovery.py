@@ -159,8 +159,8 @@ class _Stream(SimpleDataSourceStreamReader):
         return self.readBetweenOffsets(start, end), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for name in _pages(self.folder)[start["page"] : end["page"]]:
-            yield from _page(os.path.join(self.folder, name))
+        """The rows of a few pages; Spark sends this iterator between processes, so it is one over a list."""
+        return iter([row for name in _pages(self.folder)[start["page"] : end["page"]] for row in _page(os.path.join(self.folder, name))])
 
 
 def register(spark) -> None:
