@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
@@ -18,6 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql.functions import arrow_udf
 
+from lexmill.llm.batches import text_batches
 from lexmill.llm.pretokens import token_starts
 
 
@@ -61,7 +61,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder(dict):
     """Slice to tuple of ids, filled on demand; emptied when it holds ``bound`` slices."""
 
-    bound = 500_000
+    bound = 250_000
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
@@ -89,18 +89,6 @@ class Encoder(dict):
         return list(chain.from_iterable(parts)), np.diff(many[np.searchsorted(starts, np.concatenate([[0], ends]))])
 
 
-def _batches(texts: list[str | None], size: int = 1_000_000) -> Iterable[list[str | None]]:
-    group, total = [], 0
-    for t in texts:
-        group.append(t)
-        total += len(t or "")
-        if total >= size:
-            yield group
-            group, total = [], 0
-    if group:
-        yield group
-
-
 _loaded: dict[str, object] = {}
 
 
@@ -127,7 +115,7 @@ class Tokenizer:
         def ids(column: pa.Array) -> pa.Array:
             encoder = _once(key + "#encode", lambda: Encoder(ranks.value))
             flat, counts = [], [np.zeros(1, np.int64)]
-            for group in _batches(column.to_pylist()):
+            for group in text_batches(column):
                 some, many = encoder.encode(group)
                 flat.append(np.array(some, np.int32))
                 counts.append(many)

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from lexmill.llm.batches import text_batches
+
 BUCKETS, SIZE = 1 << 16, 16
 GRAMS = (2, 3, 4)
 UNKNOWN = "und"
@@ -168,13 +170,12 @@ def predict(docs: DataFrame, model: Model, text: Column) -> Column:
 
     @arrow_udf("struct<lang: string, score: double, rejected: boolean>")
     def run(column: pa.Array) -> pa.Array:
-        texts, lang, score, rejected, start = column.to_pylist(), [], [], [], 0
-        while start < len(texts):
-            end, chars = start, 0
-            while end < len(texts) and chars < 1_000_000:
-                chars, end = chars + len(texts[end] or ""), end + 1
-            a, b, c = shared.value.predict(texts[start:end])
-            lang, score, rejected, start = lang + a, [*score, *b.tolist()], [*rejected, *c.tolist()], end
+        lang, score, rejected = [], [], []
+        for texts in text_batches(column):
+            a, b, c = shared.value.predict(texts)
+            lang += a
+            score += b.tolist()
+            rejected += c.tolist()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["lang", "score", "rejected"])
 
     return run.asNondeterministic()(text)

@@ -55,7 +55,7 @@ def _folded(words: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _batches(texts: list, size: int = 2_000_000) -> Iterator[slice]:
+def _batches(texts: list, size: int = 1_000_000) -> Iterator[slice]:
     """Slices of about ``size`` characters."""
     start = total = 0
     for i, t in enumerate(texts):

@@ -24,6 +24,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from lexmill.llm.batches import text_batches
+
 KINDS = ("email", "ip", "card", "phone")
 #: Longest segment, in tokens.
 SPAN = 16
@@ -350,9 +352,10 @@ def find(text: Column, weights: np.ndarray | None = None) -> Column:
     @arrow_udf("array<struct<kind: string, start: int, end: int, base: boolean>>")
     def run(column: pa.Array) -> pa.Array:
         found, at = [], [0]
-        for t in column.to_pylist():
-            found += spans(t, weights)
-            at.append(len(found))
+        for texts in text_batches(column):
+            for t in texts:
+                found += spans(t, weights)
+                at.append(len(found))
         kind, start, end, base = zip(*found) if found else ((), (), (), ())
         fields = [pa.array(kind, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(base, pa.bool_())]
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(fields, ["kind", "start", "end", "base"]))

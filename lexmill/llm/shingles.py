@@ -27,7 +27,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash, filled on demand; emptied when it holds ``bound`` words."""
 
-    bound = 400_000
+    bound = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.bound:
