@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import materialize
+from lexmill.session import Scratch
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -34,12 +34,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Nodes may be of any orderable type. Self-links and repeated edges change nothing; an empty table gives an empty one.
     """
     edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct()
-    edges = materialize(edges, "components")
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.write(edges, "components")
     state = None
     while True:
         check = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == check or not check[0]:
             break
         state = check
-        edges = materialize(_star(_star(edges, small=False), small=True), "components")
+        last, edges = edges, scratch.write(_star(_star(edges, small=False), small=True), "components")
+        scratch.drop(last)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.components import components
 from lexmill.llm.setsketch import M, jaccard, sketch
 from lexmill.llm.shingles import WordHashes, intersection_size, shingle_sets
-from lexmill.session import materialize
+from lexmill.session import Scratch
 
 BANDS, ROWS = 40, 4
 #: Classes of a bucket that one task compares with as many others at a time.
@@ -195,18 +195,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null id is never a component's id unless the component has no other. Other columns are not read. An empty table gives
     an empty one.
     """
-    spark = docs.sparkSession
-    rows = materialize(signatures(docs, id_col, text_col, width), "signatures")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.write(signatures(docs, id_col, text_col, width), "signatures")
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("odd").alias("odd"))
-    nodes = materialize(nodes, "classes")
+    nodes = scratch.write(nodes, "classes")
     bands = nodes.select("node", F.posexplode(F.array(*[F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS) for i in range(BANDS)])).alias("band", "value"))
     bands = bands.select(F.xxhash64("band", "value").alias("bucket"), "band", "node")
     shared = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    members = materialize(bands.join(shared.select("bucket", "first"), "bucket"), "buckets")
+    members = scratch.write(bands.join(shared.select("bucket", "first"), "bucket"), "buckets")
 
     ids = members.select("node").distinct().join(nodes.select("node", "least_id"), "node")
-    ids = materialize(ids, "candidates")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    ids = scratch.write(ids, "candidates")
+    placed = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
     def full(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
@@ -218,12 +218,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield out[out["node"].to_numpy() == pdf["node"].iloc[at].to_numpy()]
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    sets = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("text", "node").mapInPandas(full, "node binary, hashes binary").dropDuplicates(["node"])
-    sets = materialize(sets, "sets")
+    sets = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("text", "node").mapInPandas(full, "node binary, hashes binary").dropDuplicates(["node"])
+    sets = scratch.write(sets, "sets")
 
     star = members.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     labels = components(_verified(_similar(star, nodes, percent), sets, percent))
-    labels = materialize(labels, "labels")
+    labels = scratch.write(labels, "labels")
 
     labelled = members.select("bucket", "band", "node").join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size")).where("l < h")
@@ -236,9 +236,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("bucket", "band", "node", "label", (F.col("part.i") * F.col("blocks") + F.col("part.j")).alias("part"), (F.col("own") == F.col("part.i")).alias("left"))
     )
     whole = parts.join(nodes.select("node", "n_shingles", "regs", "odd"), "node").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    cross = materialize(_cross_pairs(whole, percent), "pairs")
+    cross = scratch.write(_cross_pairs(whole, percent), "pairs")
     found = _verified(cross.select("a", "b"), sets, percent).join(cross, ["a", "b"]).select("la", "lb")
     joined = components(found, "la", "lb").select(F.col("node").alias("label"), F.col("label").alias("top"))
+    scratch.drop(members, ids, sets, cross)
 
     classes = nodes.select("node", "least_id").join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     classes = classes.join(joined, "label", "left").select("node", "least_id", F.coalesce("top", "label").alias("top"))
