@@ -1,7 +1,7 @@
 """Cross-entropy difference of documents under a target and a background n-gram model.
 
-Both models are interpolated bigram models over one vocabulary: the ``size`` most frequent words of all documents (ties by word),
-and ``<unk>``. Word counts, and the counts of words and bigrams in target and background, are gathered from every document.
+Both models are interpolated bigram models over one vocabulary: the most frequent words of all documents, ``size`` at most, and
+``<unk>``. Word counts, and the counts of words and bigrams in target and background, are gathered from every document.
 Bigrams of word ids are counted in a fixed number of buckets, so a model is a few arrays of fixed size whatever the corpus;
 two bigrams that share a bucket share their counts, in both models alike.
 
@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from lexmill.llm.batches import text_batches
+from lexmill.session import materialize
+
 VOCABULARY, BUCKETS = 32_768, 1 << 18
 #: Ids (8 bytes each) of target documents that may be broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -27,6 +30,10 @@ SMOOTH, MIX = 0.5, 0.6
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+#: Steps of word counts per doubling, when the least count of the vocabulary is looked for.
+STEPS = 64
+
+
 def split_words(text: str | None) -> list[str]:
     """Lower-cased words; ASCII white space separates."""
     return [] if text is None else [w.decode("utf-8", "surrogatepass") for w in text.lower().encode("utf-8", "surrogatepass").split()]
@@ -38,6 +45,23 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
+def frequent(counts: DataFrame, size: int) -> dict[str, int]:
+    """Word to id, in order of the words: all words whose count reaches the least step with at most ``size`` words from there on.
+
+    Words are counted by the step of their count (a few thousand steps at most), so no task sorts the words of the corpus.
+    """
+    stepped = counts.withColumn("step", F.floor(F.log2("n") * STEPS).cast("int"))
+    cut, total = None, 0
+    for step, n in sorted(((r["step"], r["count"]) for r in stepped.groupBy("step").count().collect()), reverse=True):
+        total += n
+        if total > size:
+            break
+        cut = step
+    if cut is None:
+        return {}
+    return {w: i for i, w in enumerate(sorted(r["word"] for r in stepped.where(F.col("step") >= cut).select("word").collect()))}
+
+
 def bigram_buckets(ids: np.ndarray) -> np.ndarray:
     """Bucket of each pair of successive ids."""
     a, b = ids[:-1].astype(np.uint64), ids[1:].astype(np.uint64)
@@ -116,8 +140,7 @@ def _count(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
 def train(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY) -> Model:
     """Target: the documents whose id is in ``target_ids``; background: all documents. Null texts count nothing, null ids are
     in the background only. Without target documents both losses are those of unseen words."""
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(size)
-    vocabulary = {r["word"]: i for i, r in enumerate(top.select("word").toLocalIterator())}
+    vocabulary = frequent(materialize(word_counts(docs, text_col), "words"), size)
     ids = target_ids.select(F.col(id_col).alias("key")).where("key is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -134,15 +157,11 @@ def score(docs: DataFrame, model: Model, text: Column) -> Column:
 
     @arrow_udf("struct<n_words: bigint, target_loss: double, background_loss: double, score: double>")
     def run(column: pa.Array) -> pa.Array:
-        texts, parts, lengths, start = column.to_pylist(), [np.empty((2, 0))], [np.empty(0, np.int64)], 0
-        while start < len(texts):
-            end, chars = start, 0
-            while end < len(texts) and chars < 1_000_000:
-                chars, end = chars + len(texts[end] or ""), end + 1
-            loss, length = shared.value.losses(texts[start:end])
+        parts, lengths = [np.empty((2, 0))], [np.empty(0, np.int64)]
+        for texts in text_batches(column):
+            loss, length = shared.value.losses(texts)
             parts.append(loss)
             lengths.append(length)
-            start = end
         loss, length = np.concatenate(parts, axis=1), np.concatenate(lengths)
         none = length == 0
         double = lambda x: pa.array(x, pa.float64(), mask=none)
