@@ -189,3 +189,12 @@ def test_digest_is_resumable(spark):
     assert one(spark, notify.overflow_note(F.lit(2), F.lit(5))) == "2 of 5 new cases are listed."
     with pytest.raises(ValueError):
         notify.window(people, dt.date(2026, 1, 2), dt.date(2026, 1, 2), 5)
+
+
+def test_display(spark):
+    from lexmill.operators import display, offers
+
+    assert display.pager(1, 1) == [1] and display.pager(5, 9) == [1, None, 4, 5, 6, None, 9] and display.pager(3, 5) == [1, 2, 3, 4, 5]
+    assert one(spark, display.short_date(F.lit(dt.date(2024, 3, 5)))) == "5 March 2024"
+    rows = spark.createDataFrame([("b", dt.date(2026, 1, 1)), ("a", None), ("c", dt.date(2025, 1, 1))], "source_id string, modified_at date")
+    assert [r["source_id"] for r in offers.in_order(rows).collect()] == ["a", "c", "b"]
