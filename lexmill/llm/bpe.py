@@ -27,10 +27,34 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f) if token}
 
 
+#: Slices up to this length are merged by scanning their pairs, longer ones with a heap.
+SHORT = 64
+_NONE = 1 << 40
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one slice: again and again the leftmost pair of least rank is merged. A heap keeps long slices n log n."""
+    """Ids of one slice: again and again the leftmost pair of least rank is merged."""
     if piece in ranks:
         return [ranks[piece]]
+    return _scan(piece, ranks) if len(piece) <= SHORT else _heap(piece, ranks)
+
+
+def _scan(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    rank = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+    while rank and (least := min(rank)) != _NONE:
+        i = rank.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del rank[i]
+        if i < len(rank):
+            rank[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
+        if i:
+            rank[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
+    return [ranks[x] for x in parts]
+
+
+def _heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same in n log n."""
     ends = list(range(1, len(piece) + 1))  # end of the part that begins here; 0: no part begins here
     before = list(range(-1, len(piece)))
     heap = []
@@ -75,7 +99,7 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
-    def encode(self, texts: list[str | None]) -> tuple[list[int], np.ndarray]:
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each text has. Null is like an empty text."""
         texts = [t or "" for t in texts]
         length = np.array([len(t) for t in texts], np.int64)
@@ -86,7 +110,8 @@ class Encoder(dict):
         at = starts.tolist()
         parts = [self[whole[i:j]] for i, j in zip(at, chain(at[1:], [len(whole)]))]
         many = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
-        return list(chain.from_iterable(parts)), np.diff(many[np.searchsorted(starts, np.concatenate([[0], ends]))])
+        ids = np.fromiter(chain.from_iterable(parts), np.int32, int(many[-1]))
+        return ids, np.diff(many[np.searchsorted(starts, np.concatenate([[0], ends]))])
 
 
 _loaded: dict[str, object] = {}
@@ -117,7 +142,7 @@ class Tokenizer:
             flat, counts = [], [np.zeros(1, np.int64)]
             for group in text_batches(column):
                 some, many = encoder.encode(group)
-                flat.append(np.array(some, np.int32))
+                flat.append(some)
                 counts.append(many)
             values = np.concatenate(flat) if flat else np.empty(0, np.int32)
             return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(values, pa.int32()))

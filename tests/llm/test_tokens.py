@@ -18,7 +18,7 @@ def encoded(texts):
     flat, counts = Encoder(RANKS).encode(texts)
     out, at = [], 0
     for n in counts.tolist():
-        out.append(flat[at : at + n])
+        out.append(flat[at : at + n].tolist())
         at += n
     return out
 
