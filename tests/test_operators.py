@@ -140,7 +140,10 @@ def test_markup(spark):
     assert markup.html_string("<p>a<script>no</script>b &amp; <b>c") == "a b & c"
     df = spark.createDataFrame([(DECISION,)], "p string").select(markup.properties(F.col("p")).alias("props"))
     subjects = df.select(markup.values(F.col("props"), "subject").alias("s")).select("s", markup.law_domain(F.col("s")).alias("d")).first()
-    assert subjects["s"] == ["Bestuursrecht; Belasting", "Onzin"] and tuple(subjects["d"]) == ("administrative", "Belasting")
+    assert subjects["s"] == ["Bestuursrecht; Belasting", "Onzin"] and tuple(subjects["d"]) == ("public", "Belasting")
+    cites = '<r xmlns:ecli="e" xmlns:x="y"><Description><references ecli:resourceIdentifier="ECLI:1" x:k="v">T</references><relation x:k="v"/></Description></r>'
+    cited = spark.createDataFrame([(cites,)], "p string").select(markup.citations(markup.properties(F.col("p"))).alias("c")).first()["c"]
+    assert [tuple(c) for c in cited] == [("ECLI:1", "ecli", "cites", "T")]
     feed = '<feed xmlns="http://www.w3.org/2005/Atom"><subtitle>Total 2</subtitle><entry><id>a</id><title>T</title><link href="u"/></entry></feed>'
     got = spark.createDataFrame([(feed,), ("<",), (None,)], "p string").select(markup.feed(F.col("p")).alias("f")).collect()
     assert got[0]["f"]["total"] == 2 and got[0]["f"]["entries"][0]["link"] == "u" and got[1]["f"] is None and got[2]["f"] is None
@@ -151,7 +154,7 @@ def test_notice_fields(spark):
     assert one(spark, markup.case_numbers(F.array(F.lit("C-1/19, C-2/19"), F.lit("C-1/19")))) == ["C-1/19", "C-2/19"]
     assert one(spark, markup.language(F.lit("FRA"))) == "fr" and one(spark, markup.language(F.lit("XXX"))) == "xxx"
     assert one(spark, markup.date_prefix(F.lit("2026-02-31T"))) is None and one(spark, markup.date_prefix(F.lit("2026-02-03T1"))) == dt.date(2026, 2, 3)
-    assert one(spark, markup.citation_scheme(F.lit("ECLI:NL:HR:1"))) == "ecli" and one(spark, markup.clean_title(F.lit("a#b  c"))) == "a b c"
+    assert tuple(one(spark, markup.court(F.lit("TypeRvS")))) == ("supreme", "administrative") and one(spark, markup.document_kind(F.lit("X"))) == "other" and one(spark, markup.clean_title(F.lit("a#b  c"))) == "a b c"
 
 
 def test_exports(spark, tmp_path):
