@@ -201,3 +201,15 @@ def test_display(spark):
     assert one(spark, display.short_date(F.lit(dt.date(2024, 3, 5)))) == "5 March 2024"
     rows = spark.createDataFrame([("b", dt.date(2026, 1, 1)), ("a", None), ("c", dt.date(2025, 1, 1))], "source_id string, modified_at date")
     assert [r["source_id"] for r in offers.in_order(rows).collect()] == ["a", "c", "b"]
+
+
+def test_constraints(spark):
+    from lexmill import schemas
+    from lexmill.operators import constraints
+
+    empty = {n: spark.createDataFrame([], ddl) for n, ddl in schemas.TABLES.items()}
+    assert all(not v.take(1) for v in constraints.violations(empty).values())
+    reviews_ = spark.createDataFrame([(1, 7, "odd"), (2, 7, "pending"), (3, None, None)], "id bigint, case_id bigint, status string").withColumn("decision", F.lit(None).cast("string"))
+    cases = spark.createDataFrame([(8,)], "id bigint").selectExpr("id", "'NL' AS jurisdiction_code", "'a' AS source_id", "cast(null AS bigint) AS court_id")
+    got = {n: v.count() for n, v in constraints.violations({"case_review": reviews_, "case": cases}).items()}
+    assert got == {"unique case_review": 1, "reference case_review.case_id": 2, "values case_review.status": 1, "values case_review.decision": 0, "unique case": 0}
