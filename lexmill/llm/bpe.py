@@ -1,6 +1,7 @@
 """Byte-level BPE over whole texts: encoding with byte offsets, and decoding.
 
-Texts are pre-tokenised in batches (see ``pretokens``); each distinct slice is merged once and kept in a bounded cache.
+Texts are pre-tokenised in batches (see ``pretokens``); the distinct slices of a batch are merged side by side in arrays, and
+their ids kept in a bounded cache.
 Ranks are read on the driver from a file in the tiktoken format whose path is a parameter, and broadcast: a vocabulary's
 size is fixed and does not grow with the data.
 """
@@ -9,10 +10,10 @@ from __future__ import annotations
 
 import base64
 import heapq
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql.functions import arrow_udf
@@ -27,34 +28,83 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f) if token}
 
 
-#: Slices up to this length are merged by scanning their pairs, longer ones with a heap.
-SHORT = 64
-_NONE = 1 << 40
+#: Slices of up to these many bytes are merged side by side, in arrays of that width; longer ones one by one, with a heap.
+WIDTHS = (8, 16, 32, 64)
+_NONE = np.iinfo(np.int32).max
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one slice: again and again the leftmost pair of least rank is merged."""
-    if piece in ranks:
-        return [ranks[piece]]
-    return _scan(piece, ranks) if len(piece) <= SHORT else _heap(piece, ranks)
+class Merges:
+    """What two neighbouring ids merge to: an entry for each way of cutting a token into two tokens."""
 
-
-def _scan(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    rank = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
-    while rank and (least := min(rank)) != _NONE:
-        i = rank.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del rank[i]
-        if i < len(rank):
-            rank[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
-        if i:
-            rank[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
-    return [ranks[x] for x in parts]
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        made = {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.keys = np.array(sorted(made), np.int64)
+        self.ids = np.array([made[k] for k in self.keys.tolist()], np.int32)
+        self.keys, self.ids = np.append(self.keys, np.iinfo(np.int64).max), np.append(self.ids, np.int32(_NONE))
+        self.bytes = self.of(np.repeat(self.byte, 256), np.tile(self.byte, 256))
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merged ids, _NONE where there is none; an id of -1 merges with nothing."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ids[at], np.int32(_NONE))
+
+    def merge(self, pieces: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """A token stays as it is, in other slices again and again the leftmost pair of least rank is merged. Gives an order
+        of the slices, the ids of all in that order, and how many ids each has."""
+        whole = [self.ranks.get(p) for p in pieces]
+        order = [i for i, r in enumerate(whole) if r is not None]
+        rest = [i for i, r in enumerate(whole) if r is None]
+        ids, sizes = [np.array([whole[i] for i in order], np.int32)], [np.ones(len(order), np.int64)]
+        length = np.fromiter((len(pieces[i]) for i in rest), np.int64, len(rest))
+        low = 0
+        for width in WIDTHS:
+            some = [rest[k] for k in np.flatnonzero((length > low) & (length <= width)).tolist()]
+            if some:
+                order += some
+                flat, size = self._side_by_side([pieces[i] for i in some], width)
+                ids.append(flat)
+                sizes.append(size)
+            low = width
+        for k in np.flatnonzero(length > low).tolist():
+            order.append(rest[k])
+            ids.append(np.array(_heap(pieces[rest[k]], self.ranks), np.int32))
+            sizes.append(np.array([len(ids[-1])]))
+        return order, np.concatenate(ids), np.concatenate(sizes)
+
+    def _side_by_side(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """One merge in every slice at a time. A part is known by the column in which it begins; the last column is always
+        empty (-1), so it stands for what is left of the first part, too."""
+        n = len(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, n)
+        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
+        column = np.arange(width + 1, dtype=np.int16)
+        ids, rank = np.full((n, width + 1), -1, np.int32), np.full((n, width + 1), _NONE, np.int32)
+        ids[:, :-1] = np.where(column[:-1] < size[:, None], self.byte[raw], -1)
+        rank[:, :-2] = np.where(column[1:-1] < size[:, None], self.bytes[raw[:, :-1].astype(np.int64) * 256 + raw[:, 1:]], _NONE)
+        left, right = np.tile(column - 1, (n, 1)), np.tile(column + 1, (n, 1))
+        row = np.arange(n)
+        while len(row):
+            at = rank[row].argmin(1)
+            best = rank[row, at]
+            on = best != _NONE
+            row, at, best = row[on], at[on], best[on]
+            gone = right[row, at]
+            after = right[row, gone]
+            before = left[row, at]
+            ids[row, at], ids[row, gone] = best, -1
+            right[row, at], left[row, after] = after, at
+            rank[row, gone] = _NONE
+            rank[row, at] = self.of(best, ids[row, after])
+            rank[row, before] = self.of(ids[row, before], best)
+        kept = ids >= 0
+        return ids[kept], kept.sum(1)
 
 
 def _heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same in n log n."""
+    """Ids of one long slice, in n log n."""
     ends = list(range(1, len(piece) + 1))  # end of the part that begins here; 0: no part begins here
     before = list(range(-1, len(piece)))
     heap = []
@@ -82,22 +132,44 @@ def _heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Encoder(dict):
-    """Slice to tuple of ids, filled on demand; emptied when it holds ``bound`` slices."""
+class Encoder:
+    """Ids of slices, merged together for many slices and remembered; emptied before it would hold more than ``bound``."""
 
     bound = 250_000
+    #: Slices looked up at a time.
+    many = 32_768
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(merge(piece.encode("utf-8", "surrogatepass"), self.ranks))
-        if len(piece) <= 64:
-            if len(self) >= self.bound:
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.merges = Merges(ranks)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}  # slice to its number
+        self.flat, self.begin, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _learn(self, pieces: list[str]) -> list[str]:
+        """Merges the slices that are not known yet; gives those of them that are too long to keep."""
+        new = list(set(pieces).difference(self.known))
+        if len(self.begin) + len(new) > self.bound or len(self.flat) > 16 * self.bound:
+            self._clear()
+            new = list(set(pieces))
+        if not new:
+            return []
+        order, ids, size = self.merges.merge([p.encode("utf-8", "surrogatepass") for p in new])
+        self.known.update(zip(map(new.__getitem__, order), range(len(self.begin), len(self.begin) + len(new))))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, ids])
+        return [p for p in new if len(p) > 64]
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        long = self._learn(pieces)
+        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        for p in long:
+            del self.known[p]
+        size = self.size[number]
+        end = np.cumsum(size)
+        return self.flat[np.repeat(self.begin[number] - end + size, size) + np.arange(end[-1])], size
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each text has. Null is like an empty text."""
@@ -107,11 +179,16 @@ class Encoder(dict):
         whole = "".join(texts)
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = token_starts(points, (ends - length)[length > 0])
-        at = starts.tolist()
-        parts = [self[whole[i:j]] for i, j in zip(at, chain(at[1:], [len(whole)]))]
-        many = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
-        ids = np.fromiter(chain.from_iterable(parts), np.int32, int(many[-1]))
-        return ids, np.diff(many[np.searchsorted(starts, np.concatenate([[0], ends]))])
+        ids, sizes = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+        for low in range(0, len(starts), self.many):
+            cut = starts[low : low + self.many + 1].tolist()
+            if low + self.many >= len(starts):
+                cut.append(len(whole))
+            flat, size = self._ids([whole[i:j] for i, j in zip(cut, cut[1:])])
+            ids.append(flat)
+            sizes.append(size)
+        total = np.cumsum(np.concatenate(sizes))
+        return np.concatenate(ids), np.diff(total[np.searchsorted(starts, np.concatenate([[0], ends]))])
 
 
 _loaded: dict[str, object] = {}
@@ -124,6 +201,14 @@ def _once(key: str, make):
     return _loaded[key]
 
 
+def _token_table(ranks: dict[bytes, int]) -> pa.Array:
+    """Token bytes in the order of their ids; null for ids that are not given."""
+    out = [None] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        out[i] = token
+    return pa.array(out, pa.binary())
+
+
 class Tokenizer:
     """Column functions over a vocabulary: ``encode`` gives the ids, ``offsets`` where each id's bytes begin in the UTF-8
     text, ``decode`` the bytes of ids."""
@@ -155,12 +240,15 @@ class Tokenizer:
 
         @arrow_udf("binary")
         def text(column: pa.Array) -> pa.Array:
-            table = _once(key + "#decode", lambda: {i: b for b, i in ranks.value.items()})
-            out = []
-            for row in range(len(column)):
-                ids = column[row].values
-                out.append(None if ids is None else b"".join(map(table.__getitem__, ids.to_numpy(zero_copy_only=False).tolist())))
-            return pa.array(out, pa.binary())
+            table = _once(key + "#decode", lambda: _token_table(ranks.value))
+            tokens = table.take(column.flatten())  # its data are the bytes of all rows, one after the other
+            if tokens.null_count:
+                raise ValueError("an id that the vocabulary does not have")
+            size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+            token_at = np.frombuffer(tokens.buffers()[1], np.int32, len(tokens) + 1, tokens.offset * 4) if len(tokens) else np.zeros(1, np.int32)
+            at = np.ascontiguousarray(token_at[np.concatenate([[0], np.cumsum(size)])])
+            rows = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(at), tokens.buffers()[2]])
+            return pc.if_else(column.is_valid(), rows, pa.scalar(None, pa.binary())) if column.null_count else rows
 
         return text(ids)
 

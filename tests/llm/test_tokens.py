@@ -11,11 +11,12 @@ from lexmill.llm.bpe import Encoder, Tokenizer, load_ranks
 public = pytest.importorskip("public_tokenizers")
 RANKS = load_ranks(queries.vocabulary())
 REFERENCE = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+ENCODER = Encoder(RANKS)
 ALPHABET = "aàb's'stmdrevl'' \n\t\r     1²٣!?.中文é😀́\x1c\x85'll've're"
 
 
 def encoded(texts):
-    flat, counts = Encoder(RANKS).encode(texts)
+    flat, counts = ENCODER.encode(texts)
     out, at = [], 0
     for n in counts.tolist():
         out.append(flat[at : at + n].tolist())
