@@ -6,6 +6,9 @@ Bigrams of word ids are counted in a fixed number of buckets, so a model is a fe
 two bigrams that share a bucket share their counts, in both models alike.
 
 A document's score is the mean over its words of target loss minus background loss: the lower, the more like the target.
+
+``train`` and ``score`` are that bounded model, for callers that want one of a given size. ``score_all`` has no bound: every word
+and every bigram of all documents has counts of its own, in tables that grow with the input.
 """
 
 from __future__ import annotations
@@ -21,11 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from lexmill.llm.batches import text_batches
-from lexmill.session import materialize
+from lexmill.session import Scratch, materialize
 
 VOCABULARY, BUCKETS = 32_768, 1 << 18
 #: Ids (8 bytes each) of target documents that may be broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Most frequent rows of a table of counts that are broadcast; only the others, none of them frequent, are joined by a shuffle.
+HOT_ROWS = 250_000
+#: Stands for the start of a text among the hashes of words.
+START = 0
 SMOOTH, MIX = 0.5, 0.6
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -168,3 +175,80 @@ def score(docs: DataFrame, model: Model, text: Column) -> Column:
         return pa.StructArray.from_arrays([pa.array(length), double(loss[0]), double(loss[1]), double(loss[0] - loss[1])], ["n_words", "target_loss", "background_loss", "score"])
 
     return run.asNondeterministic()(text)
+
+
+def _hashed(text: Column) -> Column:
+    """64-bit hashes of the words; a null text has none."""
+    return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BLANK), ""), lambda w: F.xxhash64(w))
+
+
+def _bigrams(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row (a, b) per word: the word before it, or START, and the word."""
+    before = F.concat(F.array(F.lit(START).cast("long")), F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))))
+    pairs = F.explode(F.arrays_zip(before.alias("a"), F.col("words").alias("b")))
+    return rows.where("size(words) > 0").select(*columns, pairs.alias("p")).select(*columns, F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+
+
+def _parted(table: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with the greatest counts, ``hot_rows`` at most and marked for broadcast, and all others."""
+    steps = table.groupBy(F.floor(F.log2("background")).cast("int").alias("step")).count().collect()  # at most 63 rows
+    least, total = 63, 0
+    for step, n in sorted(((r["step"], r["count"]) for r in steps), reverse=True):
+        total += n
+        if total > hot_rows:
+            break
+        least = step
+    is_hot = F.col("background") >= (1 << least if least < 63 else (1 << 63) - 1)
+    return F.broadcast(table.where(is_hot)), table.where(~is_hot)
+
+
+def _found(rows: DataFrame, parts: tuple[DataFrame, DataFrame], on: list[str], names: dict[str, str]) -> DataFrame:
+    """Rows with the counts of their key, every one of which the table has. Frequent keys never shuffle."""
+    hot, cold = (p.withColumnsRenamed(names) for p in parts)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+
+
+def counted(docs: DataFrame, target_ids: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Exact counts over all documents: (word, target, background), with START once per document, and for each bigram (a, b, target,
+    background, a_target, a_background, b_target, b_background) with those of its words."""
+    ids = target_ids.select(F.col(id_col).alias("key")).where("key is not null").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    rows = docs.select(F.col(id_col).alias("doc_id"), _hashed(F.col(text_col)).alias("words"))
+    flagged = rows.join(ids, rows["doc_id"] == ids["key"], "left").select("words", F.col("key").isNotNull().cast("long").alias("t"))
+    sums = [F.sum("t").alias("target"), F.count("*").alias("background")]
+    seen = flagged.select("t", F.explode(F.concat(F.array(F.lit(START).cast("long")), "words")).alias("word"))
+    words = scratch.write(seen.groupBy("word").agg(*sums), "words")
+    pairs = scratch.write(_bigrams(flagged, "t").groupBy("a", "b").agg(*sums), "pairs")
+    parts = _parted(words, hot_rows)
+    both = pairs
+    for x in ("a", "b"):
+        both = _found(both, parts, [x], {"word": x, "target": f"{x}_target", "background": f"{x}_background"})
+    bigrams = scratch.write(both, "bigrams")
+    scratch.drop(pairs)
+    return words, bigrams
+
+
+def score_all(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(doc_id, n_words, target_loss, background_loss, score) per row of ``docs``, by models of every word and bigram of ``docs``.
+
+    Target, background, null texts and null ids are as in ``train``. A word is known by a 64-bit hash, a bigram by two. A score
+    depends on the text alone, so losses are added up by a 64-bit hash of the text; rows of one text add up as many times the
+    losses and the words, and their mean stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    words, bigrams = counted(docs, target_ids, scratch, id_col, text_col, hot_rows)
+    is_word = F.col("word") != START
+    total = words.where(is_word).agg(F.count("*").alias("n"), F.coalesce(F.sum("target"), F.lit(0)).alias("target"), F.coalesce(F.sum("background"), F.lit(0)).alias("background")).first()
+
+    def loss(side: str) -> Column:
+        single = (F.col(f"b_{side}") + SMOOTH) / F.lit(total[side] + SMOOTH * (total["n"] + 1))
+        pair = F.col(side) / F.greatest(F.col(f"a_{side}"), F.lit(1))
+        return -F.log(MIX * pair + (1 - MIX) * single)
+
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), _hashed(F.col(text_col)).alias("words"))
+    names = {x: x for x in ("a", "b")}
+    found = _found(_bigrams(texts, "key"), _parted(bigrams, hot_rows), ["a", "b"], names)
+    means = found.groupBy("key").agg(F.avg(loss("target")).alias("target_loss"), F.avg(loss("background")).alias("background_loss"))
+    out = texts.select("doc_id", "key", F.size("words").cast("long").alias("n_words")).join(means, "key", "left")
+    return out.select("doc_id", "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))

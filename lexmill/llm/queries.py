@@ -28,8 +28,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's cross-entropy difference: documents labelled good against all documents."""
     docs = _table(spark, sf_dir, "documents")
     good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    model = lm_score.train(docs, good)
-    return docs.select("doc_id", lm_score.score(docs, model, F.col("text")).alias("s")).select("doc_id", "s.*")
+    return lm_score.score_all(docs, good)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

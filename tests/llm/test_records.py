@@ -3,6 +3,7 @@ import collections
 import hashlib
 import io
 import math
+import random
 import re
 
 import pytest
@@ -108,6 +109,38 @@ def test_losses_against_counting(spark):
             assert r["target_loss"] == pytest.approx(loss(text, sides[0])) and r["background_loss"] == pytest.approx(loss(text, sides[1]))
 
 
+@pytest.mark.parametrize("hot_rows", [0, 3, 1_000_000])
+def test_every_word_and_bigram_is_counted(spark, hot_rows):
+    rng = random.Random(5)
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(40_000)]
+    texts = [" ".join([*rng.choices(common, k=10), *rng.sample(rare, 300)]) for _ in range(300)] + ["A b  a b\n", None, "", "a b", "a b"]
+    df = spark.createDataFrame([(i if i != 7 else None, t, 0.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+    good = spark.createDataFrame([(i,) for i in (0, 0, 7, 8, 300, 301, None)], "doc_id long")
+    sides = []
+    for ids in ((0, 8, 300, 301), range(len(texts))):
+        one, two = collections.Counter(), collections.Counter()
+        for i in ids:
+            w = ["<s>", *(texts[i] or "").lower().split()]
+            one.update(w)
+            two.update(zip(w, w[1:]))
+        sides.append((one, two, sum(n for x, n in one.items() if x != "<s>")))
+    size = len(sides[1][0])  # all words, <s> in the place of <unk>
+    assert size > lm_score.VOCABULARY
+
+    def loss(w, side):
+        one, two, total = side
+        return sum(-math.log(lm_score.MIX * two[a, b] / max(one[a], 1) + (1 - lm_score.MIX) * (one[b] + lm_score.SMOOTH) / (total + lm_score.SMOOTH * size)) for a, b in zip(w, w[1:])) / (len(w) - 1)
+
+    expected = collections.Counter()
+    for i, t in enumerate(texts):
+        w = ["<s>", *(t or "").lower().split()]
+        expected[(i if i != 7 else None, len(w) - 1, *[round(loss(w, s), 9) if len(w) > 1 else None for s in sides])] += 1
+    got = lm_score.score_all(df, good, hot_rows=hot_rows).collect()
+    rounded = lambda x: None if x is None else round(x, 9)
+    assert collections.Counter((r["doc_id"], r["n_words"], rounded(r["target_loss"]), rounded(r["background_loss"])) for r in got) == expected
+    assert lm_score.score_all(df.limit(0), good, hot_rows=hot_rows).count() == 0
+
+
 def test_licences(spark):
     mit = "Released under the MIT License."
     rows = [
