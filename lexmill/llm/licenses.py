@@ -42,7 +42,7 @@ def terms(text: str) -> list[str]:
 class Matcher:
     """Cosines against all templates; ``weights`` by word, ``rare`` that of any other word."""
 
-    def __init__(self, templates: dict[str, list[str]], weights: dict[str, float], rare: float):
+    def __init__(self, templates: dict[str, list[str]], weights: dict[str, float], rare: float, threshold: float = 0.8):
         self.weights, self.rare, self.postings, self.names = weights, rare, {}, []
         for name, texts in sorted(templates.items()):
             for text in texts:
@@ -51,8 +51,9 @@ class Matcher:
                 for w, x in vector.items():
                     self.postings.setdefault(w, []).append((len(self.names), x / norm))
                 self.names.append(name)
-        # words that are common in the scanned files alone never make a match: a candidate needs one of the others
-        self.telling = {w for w in self.postings if weights.get(w, rare) > 0.3 * rare}
+        # a cosine is at most the root of the summed squares of the template's entries that the candidate has
+        self.most = {w: max(x for _, x in entries) ** 2 for w, entries in self.postings.items()}
+        self.least = threshold * threshold - 1e-9
 
     def vector(self, words: list[str]) -> dict[str, float]:
         out: dict[str, float] = {}
@@ -61,7 +62,8 @@ class Matcher:
         return out
 
     def best(self, words: list[str]) -> tuple[float, str] | None:
-        if self.telling.isdisjoint(words):
+        """Greatest cosine and its template; None only where no cosine can reach the threshold."""
+        if sum(self.most[w] for w in self.most.keys() & words) < self.least:
             return None
         vector = self.vector(words)
         norm = math.sqrt(sum(x * x for x in vector.values()))
@@ -75,7 +77,7 @@ class Matcher:
 
 def document_frequencies(files: DataFrame, text_col: str, words: list[str]) -> tuple[dict[str, int], int]:
     """In how many files each template word stands, and how many files there are."""
-    found = F.array_distinct(F.array_intersect(F.split(F.lower(text_col), r"[^a-z0-9.-]+"), F.lit(words)))
+    found = F.array_intersect(F.regexp_extract_all(F.lower(text_col), F.lit(_WORD.pattern), F.lit(0)), F.lit(words))
     counts = files.select(F.explode(found).alias("w")).groupBy("w").count().collect()  # at most one row per template word
     return {r["w"]: r["count"] for r in counts}, files.count()
 
@@ -94,7 +96,7 @@ def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col:
 
     @arrow_udf("struct<license: string, score: double, whole: boolean>")
     def own(column: pa.Array) -> pa.Array:
-        matcher, out = Matcher(templates, weights, rare), []
+        matcher, out = Matcher(templates, weights, rare, threshold), []
         for text in column.to_pylist():
             top, whole, lines = None, False, []
             for line in (text or "").split("\n"):
@@ -102,8 +104,8 @@ def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col:
                 if found and (hit := matcher.best(found)) and (top is None or hit > top):
                     top = hit
                 lines.append(found)
-            if top and len(lines) > 1 and (hit := matcher.best([w for x in lines for w in x])) and hit[0] >= threshold:
-                top, whole = max(top, hit), True
+            if len(lines) > 1 and (hit := matcher.best([w for x in lines for w in x])) and hit[0] >= threshold:
+                top, whole = max(top or hit, hit), True
             whole = whole or bool(top and len(lines) == 1)
             out.append({"license": top[1], "score": round(top[0], 6), "whole": whole} if top and top[0] >= threshold else None)
         return pa.array(out, pa.struct([("license", pa.string()), ("score", pa.float64()), ("whole", pa.bool_())]))

@@ -158,6 +158,19 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_common_licences(spark):
+    header = 'Licensed under the Apache License, Version 2.0 (the "License");'
+    mit = "Released under the MIT License."
+    rows = [(i, f"d{i}/x.txt", [header + "\nbody of a file", f"prose number {i}", f"{i}\n{mit}"][i % 3]) for i in range(300)] + [(300, "e/LICENSE", header), (301, "e/f.txt", "prose")]
+    got = {r["id"]: (r["license"], r["basis"]) for r in licenses.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    own = [("Apache-2.0", "header"), (None, None), ("MIT", "header")]
+    assert {i: got[i] for i in range(300) if i % 3 != 2} == {i: own[i % 3] for i in range(300) if i % 3 != 2}
+    assert {got[i][0] for i in range(2, 300, 3)} == {"MIT"} and got[300] == ("Apache-2.0", "file") and got[301] == ("Apache-2.0", "inherited")
+    # words at the end of a sentence count as those within
+    counts, n = licenses.document_frequencies(spark.createDataFrame([("the license.",), ("License",), ("v. 2.0.",), (None,)], "text string"), "text", ["license", "2.0"])
+    assert counts == {"license": 2, "2.0": 1} and n == 4
+
+
 def test_licences_of_documents(spark, sf):
     found = {r["doc_id"]: r["license"] for r in queries.op8_license_scan(spark, sf).where("basis IN ('header', 'file')").collect()}
     stated = {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").where(r"text RLIKE '(?m)^(Licensed under|Released under the MIT|This work is licensed)'").collect()}
