@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from directories.
 
 Words are weighed by how many of the scanned files have them, counted over all files. Every line of a file is a candidate
-header, and the whole file a candidate licence file; a candidate's vector has all its words, those of no template at the
+header, so is every run of as many successive words as a template has, across line breaks, and the whole file is a
+candidate licence file; a candidate's vector has all its words, those of no template at the
 greatest weight, so prose around a phrase lowers the cosine. A file named like a licence, or alike to a template as a
 whole, licenses its directory. A file without a licence of its own inherits that of its nearest ancestor directory with
 one, by joins over directories.
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ TEMPLATES = {
 }
 LICENCE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+#: A word broken after its hyphen, and what stands before a comment's next line.
+_BROKEN = re.compile(r"(?<=[A-Za-z0-9])-\n[^A-Za-z0-9\n]*(?=[A-Za-z0-9])")
 #: Directories (of at most a few hundred bytes) that may be broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -43,7 +47,7 @@ class Matcher:
     """Cosines against all templates; ``weights`` by word, ``rare`` that of any other word."""
 
     def __init__(self, templates: dict[str, list[str]], weights: dict[str, float], rare: float, threshold: float = 0.8):
-        self.weights, self.rare, self.postings, self.names = weights, rare, {}, []
+        self.weights, self.rare, self.postings, self.names, self.vectors = weights, rare, {}, [], []
         for name, texts in sorted(templates.items()):
             for text in texts:
                 vector = self.vector(terms(text))
@@ -51,9 +55,16 @@ class Matcher:
                 for w, x in vector.items():
                     self.postings.setdefault(w, []).append((len(self.names), x / norm))
                 self.names.append(name)
+                self.vectors.append(({w: x / norm for w, x in vector.items()}, len(terms(text))))
         # a cosine is at most the root of the summed squares of the template's entries that the candidate has
         self.most = {w: max(x for _, x in entries) ** 2 for w, entries in self.postings.items()}
         self.least = threshold * threshold - 1e-9
+        self.index = {w: k for k, w in enumerate(self.postings)}
+        #: squares of the templates' entries by word; the last column is for all other words
+        self.squares = np.zeros((len(self.names), len(self.index) + 1))
+        for w, k in self.index.items():
+            for i, x in self.postings[w]:
+                self.squares[i, k] = x * x
 
     def vector(self, words: list[str]) -> dict[str, float]:
         out: dict[str, float] = {}
@@ -74,6 +85,38 @@ class Matcher:
         i = max(range(len(dots)), key=lambda i: (dots[i], self.names[i]))
         return (dots[i] / norm, self.names[i]) if norm else None
 
+    def windows(self, words: list[str]) -> tuple[float, str] | None:
+        """Greatest cosine of a template to a run of as many words as it has; None only where no cosine can reach the threshold."""
+        if sum(self.most[w] for w in self.most.keys() & words) < self.least:
+            return None
+        other, top = len(self.index), None
+        ids = np.array([self.index.get(w, other) for w in words])
+        sums = np.zeros((len(self.names), len(ids) + 1))
+        np.cumsum(self.squares[:, ids], axis=1, out=sums[:, 1:])
+        for i, (vector, size) in enumerate(self.vectors):
+            if size > len(words):
+                continue
+            starts = np.flatnonzero(sums[i, size:] - sums[i, : len(words) - size + 1] >= self.least)
+            for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+                if len(run):
+                    hit = (self._sliding(words, int(run[0]), int(run[-1]), vector, size), self.names[i])
+                    top = hit if top is None or hit > top else top
+        return top
+
+    def _sliding(self, words: list[str], first: int, last: int, vector: dict[str, float], size: int) -> float:
+        """Greatest cosine of the windows that start at ``first`` to ``last``; a step changes two words."""
+        counts: dict[str, int] = {}
+        dot = square = best = 0.0
+        for k in range(first, last + size):
+            for w, step in ((words[k], 1), (words[k - size], -1))[: 1 + (k >= first + size)]:
+                n, x = counts.get(w, 0), self.weights.get(w, self.rare)
+                counts[w] = n + step
+                dot += step * x * vector.get(w, 0.0)
+                square += x * x * ((n + step) ** 2 - n * n)
+            if k >= first + size - 1:
+                best = max(best, dot / math.sqrt(max(square, 1e-12)))
+        return best
+
 
 def document_frequencies(files: DataFrame, text_col: str, words: list[str]) -> tuple[dict[str, int], int]:
     """In how many files each template word stands, and how many files there are."""
@@ -98,15 +141,19 @@ def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col:
     def own(column: pa.Array) -> pa.Array:
         matcher, out = Matcher(templates, weights, rare, threshold), []
         for text in column.to_pylist():
-            top, whole, lines = None, False, []
+            top, lines = None, []
             for line in (text or "").split("\n"):
                 found = terms(line)
                 if found and (hit := matcher.best(found)) and (top is None or hit > top):
                     top = hit
                 lines.append(found)
-            if len(lines) > 1 and (hit := matcher.best([w for x in lines for w in x])) and hit[0] >= threshold:
+            words = [w for x in lines for w in x]
+            whole = len(lines) == 1 and bool(top and top[0] >= threshold)
+            if len(lines) > 1 and (hit := matcher.best(words)) and hit[0] >= threshold:
                 top, whole = max(top or hit, hit), True
-            whole = whole or bool(top and len(lines) == 1)
+            # a wrapped statement may have a line that is like another licence, so runs of words are always looked at
+            if hit := matcher.windows(terms(_BROKEN.sub("-", text)) if "-\n" in (text or "") else words):
+                top = max(top or hit, hit)
             out.append({"license": top[1], "score": round(top[0], 6), "whole": whole} if top and top[0] >= threshold else None)
         return pa.array(out, pa.struct([("license", pa.string()), ("score", pa.float64()), ("whole", pa.bool_())]))
 

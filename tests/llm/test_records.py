@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+import textwrap
 
 import pytest
 import zstandard
@@ -171,6 +172,33 @@ def test_common_licences(spark):
     assert counts == {"license": 2, "2.0": 1} and n == 4
 
 
+def test_wrapped_and_embedded_licences(spark):
+    prose = " ".join(f"word{i}" for i in range(400))
+    rows = [(100 * i + 10 * j + k, name, text) for i, (name, texts) in enumerate(sorted(licenses.TEMPLATES.items())) for j, t in enumerate(texts) for k, text in enumerate((
+        "# " + textwrap.fill(t, 40).replace("\n", "\n# ") + "\n" + prose, prose + "\n/* " + textwrap.fill(t, 72).replace("\n", "\n * ") + "\n */\n" + prose, f"{prose} {t} {prose}",
+    ))]
+    df = spark.createDataFrame([(i, f"d{i}/x.c", t) for i, _, t in rows] + [(-1, "p/x.c", prose + "\n" + prose), (-2, "q/x.c", "the the " * 9_000)], "id long, path string, text string")
+    got = {r["id"]: (r["license"], r["basis"], r["score"]) for r in licenses.scan(df).collect()}
+    assert got == {i: (name, "header", 1.0) for i, name, _ in rows} | {-1: (None, None, None), -2: (None, None, None)}
+
+
+def test_sliding_cosines():
+    rng = random.Random(2)
+    texts = {n: t for n, t in licenses.TEMPLATES.items()}
+    known = sorted({w for t in texts.values() for x in t for w in licenses.terms(x)})
+    matcher = licenses.Matcher(texts, {w: rng.uniform(0.1, 3) for w in known}, 3.0, 0.5)
+    for _ in range(100):
+        t = licenses.terms(rng.choice(rng.choice(list(texts.values()))))
+        words = [*rng.choices([*known, "x", "y"], k=20), *(w if rng.random() < 0.8 else "x" for w in t), *rng.choices(known, k=20)]
+        expected = 0.0
+        for vector, size in matcher.vectors:
+            for p in range(len(words) - size + 1):
+                v = matcher.vector(words[p : p + size])
+                expected = max(expected, sum(x * vector.get(w, 0) for w, x in v.items()) / math.sqrt(sum(x * x for x in v.values())))
+        got = matcher.windows(words)
+        assert expected < 0.5 if got is None else got[0] == pytest.approx(expected) or expected < 0.5
+
+
 def test_licences_of_documents(spark, sf):
     found = {r["doc_id"]: r["license"] for r in queries.op8_license_scan(spark, sf).where("basis IN ('header', 'file')").collect()}
     stated = {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").where(r"text RLIKE '(?m)^(Licensed under|Released under the MIT|This work is licensed)'").collect()}
