@@ -234,6 +234,13 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), word_count(F.col("text")).alias("words"), F.coalesce(F.size(paragraphs(F.col("text"))), F.lit(0)).cast("long").alias("paragraphs"))
 
 
+@query()
+def word_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and paragraphs of all documents, those with blank lines included. Held against brute force in tests."""
+    counts = (word_count(F.col("text")).alias("words"), F.coalesce(F.size(paragraphs(F.col("text"))), F.lit(0)).cast("long").alias("paragraphs"))
+    return t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *counts)
+
+
 @query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(coalesce(html, ''), '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B-\x1F\x7F-\x{9F}\x{202A}-\x{202E}\x{2066}-\x{2069}]', '', 'g')) AS clean_md5 FROM pages""")
 def case_labels_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as they may be shown: without control characters and direction overrides."""
