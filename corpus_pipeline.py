@@ -6,8 +6,9 @@ Parquet and read again as the next stage's docs. All but the last return the col
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lexmill.llm import decontaminate, langid, pii
 from lexmill.llm.bpe import Tokenizer
@@ -23,16 +24,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn("__language", found).where(~F.col("__language.rejected")).drop("__language")
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """Id and 128-bit digest of the text, in the order of ids: rows of one key are equal in both. A null id is the last."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, IntegralType):  # eight bytes whose order is that of the numbers
+        number = F.unhex(F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    else:
+        number = F.encode(F.col("doc_id").cast("string"), "UTF-8")
+    digest = F.when(F.col("text").isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.md5("text")))
+    return F.concat(F.coalesce(F.concat(F.unhex(F.lit("00")), number), F.unhex(F.lit("01"))), digest)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; of rows that repeat a kept id, one."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group stays; of rows equal in id and text, one. Rows that share an id, or have none, are
+    told apart by their texts."""
+    keyed = docs.withColumn("__row", _row_key(docs))
+    kept = near_duplicates(keyed, id_col="__row").where("kept").select(F.col("doc_id").alias("__row")).distinct()
+    return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__found"]), "left_anti")
+    """Documents that contain a benchmark item go, and no others that share their id."""
+    keyed = docs.withColumn("__row", _row_key(docs))
+    found = decontaminate.matches(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row").select(F.col("doc_id").alias("__row")).distinct()
+    return keyed.join(found, "__row", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 import corpus_pipeline
 from lexmill.llm.near_dedup import near_duplicates
 
@@ -30,3 +34,22 @@ def test_nulls_and_clashes(spark, sf):
     assert corpus_pipeline.STAGES[1][1](spark, docs, sf).count() == 4
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rows_of_one_id_are_told_apart(spark, sf, kind):
+    rng = random.Random(4)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60))
+    item = max((r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()), key=len)
+    ids = [None, None, None, 7, 7, -3, 5, 5, 5]
+    texts = [prose() for _ in ids]
+    texts[2], texts[4] = texts[2] + " " + item, item + " " + texts[4]
+    texts[8] = texts[3]  # the copy has the lesser id and stays
+    texts[7] = texts[6]
+    rows = [(i if i is None or kind == "long" else str(i), t, "en", "s", len(t)) for i, t in zip(ids, texts)]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, sf)
+    shown = lambda df: sorted((str(r["doc_id"]), r["text"]) for r in df.collect())
+    expected = [0, 1, 2, 4, 5, 6, 8]
+    assert kept.columns == docs.columns and shown(kept) == sorted((str(ids[i]), texts[i]) for i in expected)
+    assert shown(corpus_pipeline.decontamination(spark, kept, sf)) == sorted((str(ids[i]), texts[i]) for i in expected if i not in (2, 4))
