@@ -2,7 +2,7 @@
 
 The plain patterns give the base spans. They are found in time linear in the text, by maximal runs that are cut by rule.
 
-The semi-Markov field scores whole candidate segments: of the tokens near a digit, an ``@`` or the word *dot*, every segment of at
+The semi-Markov field scores whole candidate segments: of the tokens near a digit, an ``@``, the word *dot*, or *at* in brackets or before a domain, every segment of at
 most SPAN tokens that begins and ends plausibly is described by features of the whole segment (shape, digit groups, check
 digit, separators, neighbours). Dynamic programming over the tokens chooses boundaries and types together. Its weights are
 learned by stochastic gradient ascent on the exact log-likelihood (forward-backward over segments) from generated sentences, a
@@ -28,7 +28,7 @@ from lexmill.llm.batches import text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Longest segment, in tokens.
-SPAN = 16
+SPAN = 24
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -104,7 +104,7 @@ def base_spans(text: str) -> dict[str, Spans]:
 # ---- the field ------------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|[^A-Za-z0-9\s]")
-_ANCHOR = re.compile(r"[0-9@]|\b[dD][oO][tT]\b")
+_ANCHOR = re.compile(r"(?i)[0-9@]|\bdot\b|[\[({]\s{0,2}at\s{0,2}[\])}]|\bat\s{1,2}[a-z0-9-]{1,64}\.[a-z]", re.ASCII)
 #: Characters around an anchor that are looked at; overlapping surroundings are joined.
 AROUND = 48
 _CUES = {
@@ -245,7 +245,8 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
 
     def email() -> str:
         at, dot = rng.choice([("@", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), ("@", ".")])
-        return word() + rng.choice(["", ".", "_"]).join(["", number(2)]) + at + word() + rng.choice(["", dot + word()]) + dot + rng.choice(["com", "org", "net", "de", "fr"])
+        local = word() + (rng.choice(["", ".", "_"]).join(["", number(2)]) if rng.random() < 0.6 else "")
+        return local + at + word() + rng.choice(["", dot + word()]) + dot + rng.choice(["com", "org", "net", "de", "fr"])
 
     def phone() -> str:
         a, b, c = number(3), number(3), number(4)

@@ -65,6 +65,20 @@ def test_field_on_unseen_sentences():
     assert right >= 0.95 * found and right >= 0.95 * wanted
 
 
+@pytest.mark.parametrize("mail", ["anna [at] example.com", "anna.meier(at)example.org", "anna.meier [at] mail [dot] example [dot] com", "anna at example.com"])
+def test_addresses_without_digits(mail):
+    text = f"please write to {mail}, or wait"
+    assert [(k, text[a:b]) for k, a, b, _ in pii.spans(text, pii.train())] == [("email", mail)]
+
+
+def test_every_generated_label_is_a_candidate():
+    rng = random.Random(12)
+    for _ in range(500):
+        text, labels = pii._sentence(rng)
+        known = {seg[2:] for region in pii._regions(text) for seg in pii._candidates(text, *region)[1]}
+        assert {(a, b) for _, a, b in labels} <= known, text
+
+
 def test_pii_columns(spark):
     texts = [None, "", "mail a.b@c.de now, 10.0.0.1 and +1 (743) 555-3824", "write jo04 [at] there [dot] com", "😀 4111 1111 1111 1111", "plain words only. at the dot"]
     df = spark.createDataFrame([(t, 1) for t in texts], "text string, found int")
