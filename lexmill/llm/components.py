@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
 Every round is two partially aggregated group-bys and joins over the edge table; nothing is gathered on the driver
-but a row count and a checksum. Hubs are safe: an aggregate of a hub is combined map-side, and the join that sends
-the hub's minimum to its neighbours has one row on the other side, so adaptive execution can split it.
+but a row count and a checksum. Hubs are safe: the minimum of a hub is combined before the shuffle, and is then sent to the hub's
+edges by broadcast, so they stay where they are; only edges of nodes that hold a small share of all edges are shuffled.
 """
 
 from __future__ import annotations
@@ -10,17 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.batches import join_hot
 from lexmill.session import Scratch
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool, total: int) -> DataFrame:
     """edges: (a, b), a > b. Small: connect a and its smaller neighbours to their minimum; large: the larger ones."""
     if small:
         sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     else:
         sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = sides.groupBy("u").agg(F.min("v").alias("m"))
-    joined = sides.join(least, "u").select("u", "v", F.least("m", "u").alias("m"))
+    least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    joined = join_hot(sides, least, "u", total).select("u", "v", F.least("m", "u").alias("m"))
     if small:
         linked = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:
@@ -42,6 +43,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == check or not check[0]:
             break
         state = check
-        last, edges = edges, scratch.write(_star(_star(edges, small=False), small=True), "components")
-        scratch.drop(last)
+        large = scratch.write(_star(edges, False, 2 * check[0]), "components")
+        last, edges = edges, scratch.write(_star(large, True, check[0]), "components")
+        scratch.drop(last, large)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -7,10 +7,12 @@ Plan, in order:
 2. Rows of equal sets form a class. All later steps see one row per class, so exact copies cost nothing more.
 3. Registers are cut into BANDS bands of ROWS registers; classes that agree in a band share a bucket. At a similarity of
    0.75 a pair misses all buckets with probability (1 - 0.75**4)**40 = 2.5e-7.
-4. Star round: each class against the least class of each of its buckets. Verified links form components.
-5. Cross round: in buckets that hold several components, all pairs of classes of different components, in blocks;
-   emitted are only pairs that may be linked by size, parity bound and likelihood estimate, from the pair's first
-   bucket only. Verified links join the components. No bucket is capped; a large one is dealt out as block pairs.
+4. Star rounds: each class against one class of each of its buckets, a row per class and bucket. Verified links form components. In
+   the first round all buckets take part; in each further one, with other centres, those that hold several components and
+   more than BLOCK classes, as long as there are any and a round joins some of them.
+5. Cross round: in buckets that still hold several components, the classes outside a bucket's largest component meet each other and
+   those inside, in blocks; emitted are only pairs that may be linked by size, parity bound and likelihood estimate, from the pair's
+   first bucket only, a few thousand at a time. Verified links join the components. No bucket is capped.
 
 The parity sketch of a set has at least two bits for each element; a bit is the parity of the elements hashed to it. Two
 sketches differ in at most as many bits as the sets differ in elements, so the filter loses no link.
@@ -22,11 +24,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.batches import bound_batches, join_hot, raw, text_batches, words_of
 from lexmill.llm.components import components
 from lexmill.llm.setsketch import M, jaccard, sketch
 from lexmill.llm.shingles import WordHashes, intersection_size, shingle_sets
@@ -35,8 +38,11 @@ from lexmill.session import Scratch
 BANDS, ROWS = 40, 4
 #: Classes of a bucket that one task compares with as many others at a time.
 BLOCK = 2048
-#: Class rows (24 bytes each) that may be broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Candidate pairs that are estimated and emitted at a time.
+STEP = 20_000
+#: Bytes of the table of candidates (class digest and least id, see CANDIDATE_BYTES) that may be broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 32 << 20
+CANDIDATE_BYTES = 80
 SURE = 0.20
 
 
@@ -55,136 +61,147 @@ def _folded(words: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _batches(texts: list, size: int = 1_000_000) -> Iterator[slice]:
-    """Slices of about ``size`` characters."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "") + 2_000
-        if total >= size:
-            yield slice(start, i + 1)
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+SIGNATURE = "doc_id {id}, n_shingles bigint, node binary, regs binary, odd binary"
 
 
-SIGNATURE = "doc_id {id}, n_shingles bigint, node binary, regs binary, odd binary"
+def _digests(sets: list[np.ndarray]) -> list[bytes | None]:
+    return [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """One row per document: set size, set digest, registers and parity sketch (all null but the size for an empty set)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for pdf in frames:
-            texts = [None if t is None or t is pd.NA or t != t else t for t in pdf["text"].tolist()]
-            for at in _batches(texts):
-                sets = shingle_sets(texts[at], cache, width)
-                regs = sketch(sets)
-                yield pd.DataFrame({
-                    "doc_id": pdf["doc_id"].iloc[at],
-                    "n_shingles": [len(s) for s in sets],
-                    "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                    "regs": [r.tobytes() if len(s) else None for r, s in zip(regs, sets)],
-                    "odd": [parity(s).tobytes() if len(s) else None for s in sets],
-                })
+        for batch in batches:
+            start = 0
+            for texts in text_batches(batch.column(1)):
+                sets = shingle_sets(texts, cache, width)
+                regs = [r.tobytes() if len(s) else None for r, s in zip(sketch(sets), sets)]
+                odd = [parity(s).tobytes() if len(s) else None for s in sets]
+                columns = [batch.column(0).slice(start, len(texts)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (_digests(sets), regs, odd))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "regs", "odd"])
+                start += len(texts)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, SIGNATURE.format(id=rows.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(run, SIGNATURE.format(id=rows.schema["doc_id"].dataType.simpleString()))
+
+
+def _registers(column: pa.Array) -> np.ndarray:
+    data, at = raw(column)
+    return data[at[0] : at[-1]].view(np.uint16).reshape(-1, M)
+
+
+def _pairs(batch: pa.RecordBatch, ok: np.ndarray) -> pa.RecordBatch:
+    return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of (a, b): those that may be linked by size, parity bound and estimate."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"), F.col("odd").alias(f"o{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            ra, rb = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
-            na, nb = pdf["na"].to_numpy(), pdf["nb"].to_numpy()
-            ok = jaccard(ra, rb, na, nb) >= percent / 100 - SURE
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "ra", "rb", "oa", "ob")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for b in batches if b.num_rows):
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+            ok = jaccard(_registers(batch.column("ra")), _registers(batch.column("rb")), na, nb) >= percent / 100 - SURE
+            left, right = words_of(batch.column("oa")), words_of(batch.column("ob"))
             for i in np.flatnonzero(ok):
-                x, y = (np.frombuffer(pdf[c].iat[i], np.uint64) for c in ("oa", "ob"))
+                x, y = left[i], right[i]
                 while len(x) > len(y):
                     x = _folded(x)
                 while len(y) > len(x):
                     y = _folded(y)
                 ok[i] = (100 + percent) * int(np.bitwise_count(x ^ y).sum()) <= (100 - percent) * int(na[i] + nb[i])
-            yield pdf.loc[ok, ["a", "b"]]
+            yield _pairs(batch, ok)
 
-    return both.mapInPandas(run, "a binary, b binary")
+    return both.mapInArrow(run, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of (a, b): those whose full sets have 100 * intersection >= percent * union."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            ok = []
-            for x, y in zip(pdf["ha"], pdf["hb"]):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.zeros(batch.num_rows, bool)
+            for i, (p, q) in enumerate(zip(words_of(batch.column("ha")), words_of(batch.column("hb")))):
                 common = intersection_size(p, q)
-                ok.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
+                ok[i] = 100 * common >= percent * (len(p) + len(q) - common)
+            yield _pairs(batch, ok)
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a binary, b binary")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary")
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """From rows (bucket, band, part, left, node, label, n_shingles, regs, odd), sorted by bucket and part, the pairs of
-    different labels that may be linked. Parts are pairs of blocks; left rows meet right rows, or each other if a part is a
-    block with itself (all its rows are left)."""
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        n, band = rows["n_shingles"].to_numpy(), int(rows["band"].iat[0])
-        label = pd.factorize(rows["label"])[0]
-        left = rows["left"].to_numpy(bool)
-        alone = left.all()
-        regs = np.frombuffer(b"".join(rows["regs"]), np.uint16).reshape(-1, M)
-        odd = [np.frombuffer(x, np.uint64) for x in rows["odd"]]
-        size = np.array([len(x) for x in odd])
-        found = []
+class _Part:
+    """The rows of one part: a block of classes that meet each other, or two blocks that meet."""
+
+    def __init__(self, rows: pa.RecordBatch, percent: int):
+        self.rows, self.percent, self.band = rows, percent, rows.column("band")[0].as_py()
+        self.n = rows.column("n_shingles").to_numpy(zero_copy_only=False)
+        self.label = rows.column("label").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        self.left = rows.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        self.regs, self.odd = _registers(rows.column("regs")), words_of(rows.column("odd"))
+
+    def candidates(self) -> Iterator[np.ndarray]:
+        """Pairs of rows of different labels that size and parity bound allow, some at a time."""
+        n, label, left, alone = self.n, self.label, self.left, self.left.all()
+        size = np.array([len(x) for x in self.odd])
         for s in np.unique(size):
             at = np.flatnonzero((size == s) | (size == 2 * s))
-            words = np.stack([odd[i] if size[i] == s else _folded(odd[i]) for i in at])
-            step = max(1, 4_000_000 // max(1, words.size))
+            words = np.stack([self.odd[i] if size[i] == s else _folded(self.odd[i]) for i in at])
+            step = max(1, 1_000_000 // max(1, words.size))
             for k in range(0, len(at), step):
                 i = at[k : k + step]
                 differ = np.bitwise_count(words[k : k + step, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.int64)
-                ok = (100 + percent) * differ <= (100 - percent) * (n[i][:, None] + n[at][None, :])
+                ok = (100 + self.percent) * differ <= (100 - self.percent) * (n[i][:, None] + n[at][None, :])
                 ok &= (label[i][:, None] != label[at][None, :]) & ((size[i][:, None] == s) | (size[at][None, :] == s))
-                ok &= 100 * np.minimum(n[i][:, None], n[at][None, :]) >= percent * np.maximum(n[i][:, None], n[at][None, :])
+                ok &= 100 * np.minimum(n[i][:, None], n[at][None, :]) >= self.percent * np.maximum(n[i][:, None], n[at][None, :])
                 ok &= (i[:, None] < at[None, :]) if alone else (left[i][:, None] & ~left[at][None, :])
                 x, y = np.nonzero(ok)
-                found.append(np.stack([i[x], at[y]], axis=1))
-        p = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        keep = []
-        for q in np.array_split(p, max(1, len(p) // 20_000)):
-            if len(q):
-                a, b = regs[q[:, 0]], regs[q[:, 1]]
-                agree = (a[:, : BANDS * ROWS] == b[:, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
-                keep.append(q[(agree.argmax(axis=1) == band) & (jaccard(a, b, n[q[:, 0]], n[q[:, 1]]) >= percent / 100 - SURE)])
-        p = np.concatenate(keep) if keep else p
-        node = rows["node"].to_numpy()
-        return pd.DataFrame({"a": node[p[:, 0]], "b": node[p[:, 1]], "la": rows["label"].to_numpy()[p[:, 0]], "lb": rows["label"].to_numpy()[p[:, 1]]})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in frames:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            group = pdf["bucket"].ne(pdf["bucket"].shift()) | pdf["part"].ne(pdf["part"].shift())
-            starts = np.flatnonzero(group.to_numpy())
-            for s, e in zip(starts[:-1], starts[1:]):
-                yield compare(pdf.iloc[s:e])
-            rest = pdf.iloc[starts[-1] :]
-        if rest is not None and len(rest):
-            yield compare(rest)
-
-    return members.mapInPandas(run, "a binary, b binary, la binary, lb binary")
+                for z in range(0, len(x), STEP):
+                    yield np.stack([i[x[z : z + STEP]], at[y[z : z + STEP]]], axis=1)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for p in self.candidates():
+            a, b = self.regs[p[:, 0]], self.regs[p[:, 1]]
+            agree = (a[:, : BANDS * ROWS] == b[:, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
+            p = p[(agree.argmax(axis=1) == self.band) & (jaccard(a, b, self.n[p[:, 0]], self.n[p[:, 1]]) >= self.percent / 100 - SURE)]
+            if len(p):
+                node, label = self.rows.column("node"), self.rows.column("label")
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(p[:, k])) for c in (node, label) for k in (0, 1)], ["a", "b", "la", "lb"])
+
+
+def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """From rows (bucket, band, part, left, node, label, n_shingles, regs, odd), sorted by bucket and part, the pairs of
+    different labels that may be linked. Left rows of a part meet its other rows, or each other if all are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held.clear()
+                yield from _Part(whole, percent).found()
+
+        for batch in (b for b in batches if b.num_rows):
+            keys = list(zip(batch.column("bucket").to_pylist(), batch.column("part").to_pylist()))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for start, end in zip(cuts, cuts[1:]):
+                if keys[start] != key:
+                    yield from close()
+                    key = keys[start]
+                held.append(batch.slice(start, end - start))
+        yield from close()
+
+    return members.mapInArrow(run, "a binary, b binary, la binary, lb binary")
+
+
+def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, label) after links (la, lb) between labels."""
+    joined = components(found, "la", "lb").select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return labels.join(joined, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -193,56 +210,93 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Links: ``100 * intersection >= percent * union`` of shingle sets. Null, empty and word-free texts have an empty set, no
     links, and stay. Repeated rows get equal results; rows of a repeated id with other texts are classed by their texts.
     A null id is never a component's id unless the component has no other. Other columns are not read. An empty table gives
-    an empty one.
+    an empty one. A text of any length is one row of one batch.
     """
+    bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     rows = scratch.write(signatures(docs, id_col, text_col, width), "signatures")
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("odd").alias("odd"))
     nodes = scratch.write(nodes, "classes")
     bands = nodes.select("node", F.posexplode(F.array(*[F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS) for i in range(BANDS)])).alias("band", "value"))
     bands = bands.select(F.xxhash64("band", "value").alias("bucket"), "band", "node")
-    shared = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    members = scratch.write(bands.join(shared.select("bucket", "first"), "bucket"), "buckets")
+    shared = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n"), F.max("node").alias("last")).where("first < last")
+    shared = scratch.write(shared.select("bucket", "first", "n"), "shared")
+    members = scratch.write(join_hot(bands, shared, "bucket", BANDS * nodes.count()), "buckets")
+    rows_in = members.count()
 
     ids = members.select("node").distinct().join(nodes.select("node", "least_id"), "node")
     ids = scratch.write(ids, "candidates")
-    placed = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    placed = F.broadcast(ids) if ids.count() * CANDIDATE_BYTES <= BROADCAST_BYTES else ids
 
-    def full(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for pdf in frames:
-            texts = pdf["text"].tolist()
-            for at in _batches(texts):
-                sets = [s.tobytes() for s in shingle_sets(texts[at], cache, width)]
-                out = pd.DataFrame({"node": [xxhash.xxh3_128_digest(s) for s in sets], "hashes": sets})
-                yield out[out["node"].to_numpy() == pdf["node"].iloc[at].to_numpy()]
+        for batch in batches:
+            start = 0
+            for texts in text_batches(batch.column(0)):
+                sets, node = shingle_sets(texts, cache, width), batch.column(1).slice(start, len(texts)).to_pylist()
+                start += len(texts)
+                right = [i for i, d in enumerate(_digests(sets)) if d == node[i]]
+                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in right], pa.binary()), pa.array([sets[i].tobytes() for i in right], pa.binary())], ["node", "hashes"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    sets = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("text", "node").mapInPandas(full, "node binary, hashes binary").dropDuplicates(["node"])
+    sets = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("text", "node").mapInArrow(full, "node binary, hashes binary").dropDuplicates(["node"])
     sets = scratch.write(sets, "sets")
 
     star = members.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    labels = components(_verified(_similar(star, nodes, percent), sets, percent))
+    linked = components(_verified(_similar(star, nodes, percent), sets, percent))
+    labels = ids.select("node").join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     labels = scratch.write(labels, "labels")
 
-    labelled = members.select("bucket", "band", "node").join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size")).where("l < h")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    part = lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"))
+    def mixed_buckets(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their labels; and (bucket, n, top, most) of the buckets with several: rows, largest label, rows of that one."""
+        labelled = members.select("bucket", "band", "node").join(labels, "node")
+        by_label = labelled.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+        mixed = by_label.groupBy("bucket").agg(F.sum("k").alias("n"), F.max_by("label", F.struct("k", "label")).alias("top"), F.max("k").alias("most")).where("n > most")
+        return labelled, scratch.write(mixed, "mixed")
+
+    labelled, mixed = mixed_buckets(labels)
+    turn = 0
+    while True:
+        large = mixed.where(F.col("n") > BLOCK)
+        size = large.agg(F.count("*"), F.sum("n")).first()
+        if not size[0]:
+            break
+        turn += 1
+        mine = join_hot(labelled, large.select("bucket", "n"), "bucket", rows_in)
+        centre = mine.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(turn), "node")).alias("c"), F.count("*").alias("n"))
+        pairs = join_hot(mine, centre, "bucket", size[1]).where(F.col("label") != F.col("c.label")).select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.label").alias("la"), F.col("label").alias("lb"))
+        pairs = scratch.write(pairs.distinct(), "star")
+        found = scratch.write(_verified(_similar(pairs.select("a", "b"), nodes, percent), sets, percent).join(pairs, ["a", "b"]).select("la", "lb").distinct(), "links")
+        done = not found.take(1)
+        old_labels, old_mixed = labels, mixed
+        if not done:
+            labels = scratch.write(_relabelled(labels, found), "labels")
+            labelled, mixed = mixed_buckets(labels)
+            scratch.drop(old_labels, old_mixed)
+        scratch.drop(pairs, found)
+        if done:
+            break
+
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    parted = mixed.select("bucket", "n", "top", blocks(F.col("most")).alias("tops"), blocks(F.col("n") - F.col("most")).alias("rest"))
+    inside = F.col("label") == F.col("top")
+    pair = lambda i, j: F.concat_ws("-", i.cast("string"), j.cast("string"))
+    others = F.sequence(F.lit(0), F.col("rest") - 1)
+    at = F.pmod(F.xxhash64("node"), F.when(inside, F.col("tops")).otherwise(F.col("rest"))).cast("int")
+    to_others = F.transform(others, lambda o: F.struct(F.concat(F.lit("t"), pair(F.col("own"), o)).alias("part"), F.lit(True).alias("left")))
+    to_tops = F.transform(F.sequence(F.lit(0), F.col("tops") - 1), lambda t: F.struct(F.concat(F.lit("t"), pair(t, F.col("own"))).alias("part"), F.lit(False).alias("left")))
+    among = F.transform(others, lambda o: F.struct(pair(F.least(o, F.col("own")), F.greatest(o, F.col("own"))).alias("part"), (F.col("own") <= o).alias("left")))
     parts = (
-        labelled.join(mixed.select("bucket", blocks.alias("blocks")), "bucket")
-        .withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        .withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), part)))
-        .select("bucket", "band", "node", "label", (F.col("part.i") * F.col("blocks") + F.col("part.j")).alias("part"), (F.col("own") == F.col("part.i")).alias("left"))
+        join_hot(labelled, parted, "bucket", rows_in)
+        .withColumn("own", at)
+        .select("bucket", "band", "node", "label", F.inline(F.when(F.col("label") == F.col("top"), to_others).otherwise(F.concat(to_tops, among))))
     )
     whole = parts.join(nodes.select("node", "n_shingles", "regs", "odd"), "node").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
     cross = scratch.write(_cross_pairs(whole, percent), "pairs")
-    found = _verified(cross.select("a", "b"), sets, percent).join(cross, ["a", "b"]).select("la", "lb")
-    joined = components(found, "la", "lb").select(F.col("node").alias("label"), F.col("label").alias("top"))
-    scratch.drop(members, ids, sets, cross)
+    found = scratch.write(_verified(cross.select("a", "b"), sets, percent).join(cross, ["a", "b"]).select("la", "lb").distinct(), "links")
+    classes = nodes.select("node", "least_id").join(_relabelled(labels, found), "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("top"))
+    scratch.drop(members, shared, ids, sets, mixed, cross)
 
-    classes = nodes.select("node", "least_id").join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
-    classes = classes.join(joined, "label", "left").select("node", "least_id", F.coalesce("top", "label").alias("top"))
     tops = classes.groupBy("top").agg(F.min("least_id").alias("component"))
     classes = classes.join(tops, "top").select("node", "component")
     out = rows.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
