@@ -17,6 +17,10 @@ from lexmill.llm.queries import vocabulary
 from lexmill.session import materialize
 
 
+#: Row keys that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the identifier rejects go. It learns from the stage's own labelled rows; without any, all are rejected."""
     model = langid.train(docs)
@@ -35,19 +39,27 @@ def _row_key(docs: DataFrame) -> Column:
     return F.concat(F.coalesce(F.concat(F.unhex(F.lit("00")), number), F.unhex(F.lit("01"))), digest)
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """Marked for broadcast if its counted rows (keys of some 40 bytes) are few; beyond, the join shuffles."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays; of rows equal in id and text, one. Rows that share an id, or have none, are
-    told apart by their texts."""
+    told apart by their texts. Texts move only where a row is repeated: others stay or go by the keys of those that go."""
     keyed = docs.withColumn("__row", _row_key(docs))
-    kept = near_duplicates(keyed, id_col="__row").where("kept").select(F.col("doc_id").alias("__row")).distinct()
-    return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    found = near_duplicates(keyed, id_col="__row").groupBy(F.col("doc_id").alias("__row")).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    found = materialize(found.where("NOT kept OR n > 1"), "found")
+    once = keyed.join(_few(found.select("__row")), "__row", "left_anti")
+    repeated = keyed.join(_few(found.where("kept").select("__row")), "__row", "left_semi").dropDuplicates(["__row"])
+    return once.unionByName(repeated).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go, and no others that share their id."""
     keyed = docs.withColumn("__row", _row_key(docs))
     found = decontaminate.matches(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row").select(F.col("doc_id").alias("__row")).distinct()
-    return keyed.join(found, "__row", "left_anti").select(*docs.columns)
+    return keyed.join(_few(materialize(found, "found")), "__row", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql.functions import arrow_udf
 
-from lexmill.llm.batches import text_batches
+from lexmill.llm.batches import bound_batches, text_batches
 from lexmill.llm.pretokens import token_starts
 
 
@@ -214,6 +214,7 @@ class Tokenizer:
     text, ``decode`` the bytes of ids."""
 
     def __init__(self, spark: SparkSession, path: str):
+        bound_batches(spark)
         self.ranks: Broadcast = spark.sparkContext.broadcast(load_ranks(path))
         self.key = path
 

@@ -69,8 +69,9 @@ def format_turns(rows: DataFrame, tokenizer: Tokenizer, conv: str = "conv_id", t
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(ids)), pa.ListArray.from_arrays(at, pa.array(np.cumsum(loss[:-1]) > 0))], ["ids", "mask"])
 
     made = rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    made = made.withColumn("f", assemble.asNondeterministic()("role", "text"))  # wherever the rows lie, so one long conversation is many tasks
     made = made.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return made.select("conv_id", "turn", assemble.asNondeterministic()("role", "text").alias("f")).select("conv_id", "turn", "f.ids", "f.mask")
+    return made.select("conv_id", "turn", "f.ids", "f.mask")
 
 
 def read_turns(ids: list[int], mask: list[bool], table: dict[int, bytes], first: int) -> tuple[str, str, str, int]:

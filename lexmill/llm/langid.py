@@ -15,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lexmill.llm.batches import text_batches
+from lexmill.llm.batches import bound_batches, text_batches
 
 BUCKETS, SIZE = 1 << 16, 16
 GRAMS = (2, 3, 4)
@@ -151,21 +151,32 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
     return model
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 600, **options) -> Model:
-    """Fit on about ``per_label`` rows of each label. Rows without id, text or label teach nothing. The sample is chosen by
-    a hash of the id, at a share that follows from the labels' counts; it is all that reaches the driver."""
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 600, max_chars: int = 100_000, max_labels: int = 1_000, **options) -> Model:
+    """Fit on at most ``per_label`` whole texts of each label, of at most ``max_chars`` characters each; that sample is all that reaches
+    the driver. Rows without id, text or label teach nothing.
+
+    Rows are drawn by a hash of id and text, so equal rows are drawn together and count once; each label's share follows from an
+    estimate of its distinct rows, and where more are drawn, those of the least hashes stay. More than ``max_labels`` labels are
+    an error.
+    """
+    bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.where(F.char_length("text") <= max_chars).withColumn("draw", F.xxhash64("doc_id", "text"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("n")).limit(max_labels + 1).collect()
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
     if not counts:
         return fit([], [])
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_label / n))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    sample = rows.where(draw < share[F.col("lang")]).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "text"])
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_label / max(r["n"], 1)))])
+    drawn = rows.where(F.pmod("draw", F.lit(1 << 20)) / (1 << 20) < share[F.col("lang")]).dropDuplicates(["lang", "draw"])
+    order = Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 20)), "draw")
+    sample = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_label).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "text"])
     return fit(sample["text"].tolist(), sample["lang"].tolist(), **options)
 
 
 def predict(docs: DataFrame, model: Model, text: Column) -> Column:
     """struct<lang, score, rejected> of each whole text; other columns are not read."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf("struct<lang: string, score: double, rejected: boolean>")

@@ -20,15 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lexmill.llm.batches import text_batches
+from lexmill.llm.batches import bound_batches, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Longest segment, in tokens.
-SPAN = 24
+SPAN = 32
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -106,7 +106,7 @@ def base_spans(text: str) -> dict[str, Spans]:
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|[^A-Za-z0-9\s]")
 _ANCHOR = re.compile(r"(?i)[0-9@]|\bdot\b|[\[({]\s{0,2}at\s{0,2}[\])}]|\bat\s{1,2}[a-z0-9-]{1,64}\.[a-z]", re.ASCII)
 #: Characters around an anchor that are looked at; overlapping surroundings are joined.
-AROUND = 48
+AROUND, WIDEN = 48, 128
 _CUES = {
     "email": re.compile(r"(?i)(?:e-?mail|mail|contact|write)\W*(?:\w+\W+)?$"),
     "ip": re.compile(r"(?i)(?:\bip|host|server|address)\W*(?:\w+\W+)?$"),
@@ -160,14 +160,21 @@ def _features(text: str, start: int, end: int) -> list[float]:
 
 
 def _regions(text: str) -> Iterator[tuple[int, int]]:
-    """Joined surroundings of the anchors, widened to white space or at most twice AROUND."""
+    """Joined surroundings of the anchors. Each side reaches on to the next white space, by WIDEN characters at most, so that it
+    cuts no token that a segment may have."""
     start = end = None
     for m in _ANCHOR.finditer(text):
-        if start is None or m.start() - AROUND > end:
+        if start is None or m.start() - AROUND - WIDEN > end:
             if start is not None:
                 yield start, end
-            start = max(m.start() - AROUND, end or 0)
+            low, start = end or 0, max(m.start() - AROUND, end or 0)
+            low = max(low, start - WIDEN)
+            while start > low and not text[start - 1].isspace():
+                start -= 1
         end = min(len(text), m.end() + AROUND)
+        high = min(len(text), end + WIDEN)
+        while end < high and not text[end].isspace():
+            end += 1
     if start is not None:
         yield start, end
 
@@ -246,6 +253,8 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     def email() -> str:
         at, dot = rng.choice([("@", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), ("@", ".")])
         local = word() + (rng.choice(["", ".", "_"]).join(["", number(2)]) if rng.random() < 0.6 else "")
+        if rng.random() < 0.25:
+            local = word() + dot + word()
         return local + at + word() + rng.choice(["", dot + word()]) + dot + rng.choice(["com", "org", "net", "de", "fr"])
 
     def phone() -> str:
@@ -349,6 +358,8 @@ def find(text: Column, weights: np.ndarray | None = None) -> Column:
     """array<struct<kind, start, end, base>> of each whole text; empty for a null or empty one. Base spans of different kinds may
     overlap; added spans overlap nothing."""
     weights = train() if weights is None else weights
+    if spark := SparkSession.getActiveSession():
+        bound_batches(spark)
 
     @arrow_udf("array<struct<kind: string, start: int, end: int, base: boolean>>")
     def run(column: pa.Array) -> pa.Array:

@@ -22,6 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.batches import bound_batches, join_hot
+from lexmill.session import Scratch
+
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 4 << 20
@@ -83,12 +86,17 @@ def parse_records(frame: bytes) -> Iterator[tuple[int, dict[str, str], bytes, by
 
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, digest, original, is_revisit). Of equal payloads of at least ``min_bytes`` the largest id is the
-    response; rows that repeat that id are responses too. Without any id, all are responses."""
+    response; rows that repeat that id are responses too. Without any id, all are responses. Digests that very many pages have are
+    broadcast, all others joined by a shuffle."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     least = F.octet_length("payload") >= min_bytes
-    originals = rows.where(least).groupBy("digest").agg(F.max("page_id").alias("original"))
-    joined = rows.join(originals, "digest", "left").withColumn("original", F.when(least, F.col("original")))
+    originals = rows.where(least).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
+    originals = Scratch(pages.sparkSession).write(originals, "originals")
+    total = originals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    joined = join_hot(rows.where(least), originals, "digest", total)  # copies of a page that is found very often stay where they are
+    if min_bytes > 0:
+        joined = joined.unionByName(rows.where(~least).withColumn("original", F.lit(None).cast("long")))
     return joined.withColumn("is_revisit", F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original")))
 
 
@@ -136,6 +144,7 @@ def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", frame
         if made:
             yield close()
 
+    bound_batches(pages.sparkSession)
     mark_revisits(pages, **columns).mapInPandas(bundles, ARCHIVE).write.option("compression", "uncompressed").parquet(path)
     return pages.sparkSession.read.schema(ARCHIVE).parquet(path)
 

@@ -131,3 +131,41 @@ def test_fingerprint(spark, n):
     got = decontaminate._fingerprint(spark.createDataFrame([(hashes,)], "w array<long>"), "w").first()["print"]
     expected = sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in hashes) > n)
     assert got & ((1 << 64) - 1) == expected
+
+
+def test_decoding_against_every_segmentation():
+    """The dynamic programme finds a segmentation of the greatest score among all of them."""
+    weights, tried = pii.train(), 0
+    for text in ("call 212-555-0199 or 4111 1111", "a [at] b.com 10.0.0.1", "1234567 8901", "x@y.de, z at q dot org"):
+        for start, end in pii._regions(text):
+            ends, segments = pii._candidates(text, start, end)
+            if not 1 <= len(segments) <= 60:
+                continue
+            score = [max(sum(f * w for f, w in zip(pii._features(text, s, e), weights[:, k])) for k in range(len(pii.KINDS))) for _, _, s, e in segments]
+
+            def best(at, ends=ends, segments=segments, score=score):
+                rest = [score[k] + best(segments[k][1]) for k in range(len(segments)) if segments[k][0] >= at]
+                return max([0.0, *rest])
+
+            got = {(s, e) for _, s, e in pii.decode(text, weights)}
+            total = sum(score[k] for k, seg in enumerate(segments) if seg[2:] in got)
+            assert total == pytest.approx(best(0)), text
+            tried += 1
+    assert tried >= 2
+
+
+def test_long_tokens_near_an_anchor():
+    for mail in ("a" * 60 + " [at] site [dot] com", "john dot doe at example dot co dot uk"):
+        text = f"words before {mail} and after"
+        assert [(k, text[a:b]) for k, a, b, _ in pii.spans(text, pii.train())] == [("email", mail)]
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    rows = [(1, "the same text", "en")] * 500 + [(i, f"text number {i}", "en") for i in range(2, 300)] + [(i, f"le texte {i}", "fr") for i in range(300, 330)] + [(900, "x" * 200, "fr")]
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda texts, labels, **o: seen.update(texts=texts, labels=labels))
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_label=40, max_chars=100)
+    assert 20 <= seen["labels"].count("en") <= 40 and seen["labels"].count("fr") == 30
+    assert len(seen["texts"]) == len(set(seen["texts"])) and max(map(len, seen["texts"])) <= 100
+    with pytest.raises(ValueError):
+        langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_labels=1)
