@@ -119,7 +119,9 @@ _IP_SHAPE = re.compile(r"[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3}")
 _PHONE_SHAPES = (re.compile(r"\(?[0-9]{3}\)?[\s.-]?[0-9]{3}[\s.-][0-9]{4}"), re.compile(r"00[0-9]{1,3}(?:[\s.-]?[0-9]{2,5}){2,4}"))
 _MORE = re.compile(rf"(?i){_DOT}[a-z0-9]")
 _DATE = re.compile(r"(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4})")
-N_FEATURES = 27
+# Common top-level domains.
+_TOP = re.compile(r"(?i)(?<![a-z0-9])(?:com|org|net|edu|gov|info|io|de|fr|es|uk|it|nl|eu|ch|at|us)$")
+N_FEATURES = 28
 
 
 def _features(text: str, start: int, end: int) -> list[float]:
@@ -156,6 +158,7 @@ def _features(text: str, start: int, end: int) -> list[float]:
         *[float(_CUES[k].search(left) is not None) for k in KINDS],
         float(s.startswith("(") != (")" in s)),
         float(_MORE.match(text, end) is not None),
+        float(_TOP.search(s) is not None),
     ]
 
 
@@ -255,7 +258,7 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         local = word() + (rng.choice(["", ".", "_"]).join(["", number(2)]) if rng.random() < 0.6 else "")
         if rng.random() < 0.25:
             local = word() + dot + word()
-        return local + at + word() + rng.choice(["", dot + word()]) + dot + rng.choice(["com", "org", "net", "de", "fr"])
+        return local + at + word() + rng.choice(["", dot + word()]) + dot + rng.choice(["com", "org", "net", "de", "fr", "co" + dot + "uk"])
 
     def phone() -> str:
         a, b, c = number(3), number(3), number(4)
