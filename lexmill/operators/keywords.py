@@ -1,16 +1,18 @@
-"""Weighted keyword lists: validation, one pattern per bucket of literals, native scoring, and exact judging with evidence.
+"""Weighted keyword lists: validation, one pass for all literals, and verdicts by column expressions.
 
-``score`` is a plan of built-in functions: each field is folded once, each bucket's pattern runs once per field, and gates, field
-multipliers, vetoes and the review band are column expressions over the found literals. ``judge`` gives the same verdict
-with offsets, snippets and a sentence of reasons, from an Arrow function. Both use the same patterns.
+An Arrow function finds, in one automaton pass over each field, how often each term stands there and where first (``phrases``); Spark
+has no expression for thousands of literals with offsets. All that follows, gates, field multipliers, veto, review band
+and the sentence of reasons, are expressions over the array of found terms.
 
-Literals that fold alike in case and boundaries share a bucket. At one place the longest literal of a bucket whose boundary holds
-is found and shorter ones are not; matches may overlap. Buckets are independent of each other.
+Literals that fold alike in case and sides are treated together: at one place the longest whose sides are free is found and
+shorter ones are not; hits may overlap. Treatments are independent of each other.
 """
 
 from __future__ import annotations
 
+import collections
 import datetime as dt
+import functools
 import json
 import re
 from dataclasses import dataclass, field
@@ -21,7 +23,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lexmill.functions.text import compose, fold, fold_string
+from lexmill.functions.text import fold_string
+from lexmill.operators.phrases import Finder, Text, Treatment, is_word
 
 EPSILON, BAND, SNIPPET, REASON_TERMS, SUBSTRING_LEAST = 1e-9, 3.0, 90, 8, 6
 MATCHES = ("word", "phrase", "substring", "regex")
@@ -117,27 +120,28 @@ def _rules() -> tuple[dict, dict, dict, dict]:
     return whole, scoring, term, exclusion
 
 
-def _is_acronym(literal: str) -> bool:
-    s = literal.strip()
-    return bool(s) and not re.search(r"\s", s) and not any(c.islower() for c in s)
+def _abbreviates(literal: str) -> bool:
+    """One word, and no small letter in it."""
+    return len(literal.split()) == 1 and not any(map(str.islower, literal))
 
 
 def _consistency(terms: tuple[Term, ...]) -> list[str]:
-    """What holds between terms, and between a term and the literals that inherit from it."""
-    errors, ids = [], [t.id for t in terms]
-    errors += [f"term {i!r}: duplicate id" for i in sorted({i for i in ids if ids.count(i) > 1})]
-    for t in terms:
-        errors += [f"term {t.id!r}: requires itself" for r in t.requires if r == t.id]
-        errors += [f"term {t.id!r}: requires unknown {r!r}" for r in t.requires if r not in ids]
-        words = [x for x in t.literals if not _is_acronym(x)]
-        applies = t.case_sensitive and t.match != "regex"
-        if t.case_sensitive_exception and not (applies and words):
-            errors.append(f"term {t.id!r}: needs no case_sensitive_exception")
-        elif applies and words and not t.case_sensitive_exception:
-            errors.append(f"term {t.id!r}: case_sensitive literal {words[0]!r} is no acronym")
-        if t.match == "substring":
-            errors += [f"term {t.id!r}: substring literal {x!r} has under {SUBSTRING_LEAST} characters" for x in t.literals if len(x.strip()) < SUBSTRING_LEAST]
-    return errors
+    """What holds between terms, and between a term and its literals."""
+    times = collections.Counter(t.id for t in terms)
+    rules = [
+        (lambda t: times[t.id] > 1, "duplicate id"),
+        (lambda t: t.id in t.requires, "requires itself"),
+        (lambda t: not times.keys() >= set(t.requires), "requires an unknown term"),
+        (lambda t: t.match == "substring" and min(len(x.strip()) for x in t.literals) < SUBSTRING_LEAST, f"a substring literal has under {SUBSTRING_LEAST} characters"),
+        (lambda t: _wordy(t) and not t.case_sensitive_exception, "a case_sensitive literal is no abbreviation"),
+        (lambda t: t.case_sensitive_exception and not _wordy(t), "needs no case_sensitive_exception"),
+    ]
+    return [f"term {t.id!r}: {what}" for t in terms for broken, what in rules if broken(t)]
+
+
+def _wordy(t: Term) -> bool:
+    """Case counts for it although a literal of it is an ordinary word."""
+    return t.case_sensitive and t.match != "regex" and not all(map(_abbreviates, t.literals))
 
 
 def parse(document: Any) -> KeywordList:
@@ -167,240 +171,212 @@ def load(path: str) -> KeywordList:
         return parse(json.load(f))
 
 
-# ---- patterns -------------------------------------------------------------------------------------------------------
+# ---- finding --------------------------------------------------------------------------------------------------------
 
 
-def _trie(literals: list[str]) -> str:
-    """A pattern that shares prefixes and tries the longest literal first. White space in a literal is any white space."""
-    root: dict = {}
-    for literal in literals:
-        node = root
-        for token in re.findall(r"\s+|\S", literal):
-            node = node.setdefault(r"\s+" if token.isspace() else re.escape(token), {})
-        node[""] = {}
+def folded(literal: str, cased: bool) -> str:
+    return re.sub(r"\s+", " ", fold_string(literal, not cased)).strip()
 
-    def pattern(node: dict) -> str:
-        branches = [k + pattern(v) for k, v in sorted(node.items()) if k]
-        body = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
-        return "" if not branches else f"(?:{body})?" if "" in node else body
 
-    return pattern(root)
+def literals(terms: tuple[Term, ...]) -> list[tuple[str, Treatment, int]]:
+    """Folded literals of all terms but regular expressions, with their treatment and the place of their term in the list. A side must be
+    free if the literal has a word character there; sides of a substring never."""
+    out = []
+    for i, t in enumerate(terms):
+        for x in (folded(x, t.case_sensitive) for x in t.literals if t.match != "regex"):
+            free = [t.match != "substring" and is_word(c) for c in (x[0], x[-1])]
+            out.append((x, Treatment(t.case_sensitive, *free), i))
+    return out
 
 
-@dataclass(frozen=True)
-class Bucket:
-    """Literals of one treatment; ``owners``: folded literal to the ids of its terms."""
+class Scanner:
+    """A list as one Python worker uses it."""
 
-    case_sensitive: bool
-    left: bool
-    right: bool
-    owners: tuple[tuple[str, tuple[str, ...]], ...]
+    def __init__(self, keywords: KeywordList):
+        self.finder = Finder(literals(keywords.terms))
+        self.patterns = [(i, re.compile(p, 0 if t.case_sensitive else re.IGNORECASE)) for i, t in enumerate(keywords.terms) if t.match == "regex" for p in t.literals]
+        self.vetoes = [(e.match == "regex", re.compile(e.pattern, re.IGNORECASE) if e.match == "regex" else self._literal(e)) for e in keywords.exclusions]
+
+    @staticmethod
+    def _literal(e: Exclusion) -> re.Pattern:
+        x = folded(e.pattern, False)
+        side = lambda c, look: look if e.match != "substring" and is_word(c) else ""
+        return re.compile(side(x[0], r"(?<!\w)") + re.escape(x) + side(x[-1], r"(?!\w)"))
+
+    def veto(self, text: Text) -> tuple[int, str] | None:
+        """The first exclusion that holds, and the words it is about."""
+        for k, (raw, pattern) in enumerate(self.vetoes):
+            if raw:  # regular expressions see white space as it is
+                if m := pattern.search(fold_string(text.composed, False)):
+                    return k, text.composed[m.start() : m.end()]
+            elif m := pattern.search(text.low):
+                start, end = text.span(*m.span())
+                return k, text.composed[start:end]
+        return None
+
+    def count(self, text: Text) -> dict[int, list[int]]:
+        """Term to occurrences, start and end of the first; terms in the order in which they are met."""
+        met: dict[int, list[int]] = {}
+        spans = [(term, *text.span(start, end)) for term, start, end in self.finder.hits(text)]
+        if self.patterns:
+            raw = fold_string(text.composed, False)
+            spans += [(term, *m.span()) for term, p in self.patterns for m in p.finditer(raw)]
+        for term, start, end in spans:
+            met.setdefault(term, [0, start, end])[0] += 1
+        return met
+
+
+@functools.lru_cache(8)
+def scanner(keywords: KeywordList) -> Scanner:
+    return Scanner(keywords)
 
-    @property
-    def pattern(self) -> str:
-        body = _trie([x for x, _ in self.owners])
-        return rf"{r'(?<!\w)' if self.left else ''}(?=({body}){r'(?!\w)' if self.right else ''})"
 
+def snippet(text: str, start: int, end: int, radius: int = SNIPPET) -> str:
+    """A match with ``radius`` characters on either side, on one line; an ellipsis where more text follows."""
+    shown = re.sub(r"\s+", " ", text[max(start - radius, 0) : end + radius]).strip()
+    return "…" * (start > radius) + shown + "…" * (end + radius < len(text))
 
-def _folded(literal: str, case_sensitive: bool) -> str:
-    return re.sub(r"\s+", " ", fold_string(literal, not case_sensitive)).strip()
 
+_HIT = [("term", pa.int32()), ("field", pa.int32()), ("n", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("snippet", pa.string())]
+_FOUND = pa.struct([("veto", pa.struct([("exclusion", pa.int32()), ("field", pa.int32()), ("text", pa.string())])), ("hits", pa.list_(pa.struct(_HIT)))])
+FOUND = "struct<veto: struct<exclusion: int, field: int, text: string>, hits: array<struct<term: int, field: int, n: int, start: int, end: int, text: string, snippet: string>>>"
 
-def buckets(terms: tuple[Term, ...]) -> list[Bucket]:
-    """By case and boundaries. A side has a boundary if the literal has a word character there; substrings have none."""
-    groups: dict[tuple[bool, bool, bool], dict[str, list[str]]] = {}
-    for t in terms:
-        for literal in t.literals if t.match != "regex" else ():
-            x = _folded(literal, t.case_sensitive)
-            side = lambda c: t.match != "substring" and bool(re.match(r"\w", c))  # noqa: B023, E731
-            owners = groups.setdefault((t.case_sensitive, side(x[0]), side(x[-1])), {}).setdefault(x, [])
-            if t.id not in owners:
-                owners.append(t.id)
-    return [Bucket(*key, tuple((x, tuple(ids)) for x, ids in group.items())) for key, group in sorted(groups.items())]
 
+def find(keywords: KeywordList, **columns: Column) -> Column:
+    """What a record's fields hold: the first exclusion met, or else all terms found, by field in the list's order and then as met.
+    Terms, fields and exclusions are known by their places in the list. Fields that are not in the list are not read; null and
+    empty ones hold nothing."""
+    places = [i for i, (name, _) in enumerate(keywords.fields) if name in columns]
 
-def _exclusion_pattern(e: Exclusion) -> str:
-    if e.match == "regex":
-        return e.pattern
-    x = _folded(e.pattern, False)
-    word = lambda c: e.match != "substring" and re.match(r"\w", c)
-    body = r"\s+".join(map(re.escape, x.split(" ")))
-    return (r"(?<!\w)" if word(x[0]) else "") + body + (r"(?!\w)" if word(x[-1]) else "")
+    def one(record: tuple) -> dict:
+        scan, hits = scanner(keywords), []
+        for i, raw in zip(places, record):
+            if not raw:
+                continue
+            text = Text.of(raw)
+            if veto := scan.veto(text):
+                return {"veto": {"exclusion": veto[0], "field": i, "text": repr(veto[1])}, "hits": []}
+            for term, (n, start, end) in scan.count(text).items():
+                hits.append({"term": term, "field": i, "n": n, "start": start, "end": end, "text": text.composed[start:end], "snippet": snippet(text.composed, start, end)})
+        return {"veto": None, "hits": hits}
+
+    @arrow_udf(FOUND)
+    def run(*arrays: pa.Array) -> pa.Array:
+        return pa.array(list(map(one, zip(*(a.to_pylist() for a in arrays)))), _FOUND)
 
+    return run.asNondeterministic()(*[columns[keywords.fields[i][0]] for i in places]) if places else F.lit(None).cast(FOUND)
 
-# ---- native scoring -------------------------------------------------------------------------------------------------
 
+# ---- verdicts -------------------------------------------------------------------------------------------------------
 
-def score(keywords: KeywordList, **columns: Column) -> Column:
-    """struct<passed, score, vetoed, needs_review, terms array<struct<id, occurrences, gated, weight>>> of a record's fields.
-
-    Columns are named like the list's fields; a field that is missing, null or empty is not there. Terms stand in list order.
-    """
-    fields = [(name, m, columns[name]) for name, m in keywords.fields if name in columns]
-    composed = {name: compose(F.coalesce(c, F.lit(""))) for name, _, c in fields}
-    found_in = buckets(keywords.terms)
-    low = {n: fold(c) for n, c in composed.items()}
-    cased = {n: fold(c, lower=False) for n, c in composed.items()}
-    hits = {}
-    for name in composed:
-        for k, b in enumerate(found_in):
-            raw = F.regexp_extract_all(cased[name] if b.case_sensitive else low[name], F.lit("(?U)" + b.pattern), 1)
-            hits[name, k] = F.transform(raw, lambda x: F.regexp_replace(x, r"(?U)\s+", " "))
-    veto = F.lit(False)
-    for e in keywords.exclusions:
-        for name in composed:
-            veto = veto | (low[name].rlike("(?U)" + _exclusion_pattern(e)) if e.match != "regex" else cased[name].rlike("(?iU)" + e.pattern))
-
-    per_field = []
-    for t in keywords.terms:
-        counts = []
-        for name in composed:
-            if t.match == "regex":
-                flags = "(?U)" if t.case_sensitive else "(?iU)"
-                parts = [F.size(F.regexp_extract_all(cased[name], F.lit(flags + p), 0)) for p in t.literals]
-            else:
-                parts = []
-                for k, b in enumerate(found_in):
-                    mine = [x for x, owners in b.owners if t.id in owners]
-                    if mine:
-                        parts.append(F.size(F.filter(hits[name, k], _one_of(mine))))
-            counts.append(sum(parts[1:], parts[0]))
-        per_field.append(F.struct(F.lit(t.id).alias("id"), F.array(*counts).alias("counts")))
-
-    index = {t.id: i for i, t in enumerate(keywords.terms)}
-    total = lambda all_, i: F.aggregate(F.get(all_, F.lit(i))["counts"], F.lit(0), lambda a, b: a + b)
-    multipliers = [m for _, m, _ in fields]
-
-    def rated(all_: Column) -> Column:
-        out = []
-        for i, t in enumerate(keywords.terms):
-            counts = F.get(all_, F.lit(i))["counts"]
-            shut = F.lit(False)
-            for r in t.requires:
-                shut = shut | (total(all_, index[r]) == 0)
-            if keywords.count_term_once:  # the strongest field; the first of equals
-                weight = F.lit(0.0)
-                for k in sorted(range(len(multipliers)), key=lambda k: (multipliers[k], -k)):
-                    weight = F.when(F.get(counts, F.lit(k)) > 0, F.lit(t.weight * multipliers[k])).otherwise(weight)
-            else:
-                weight = sum((F.get(counts, F.lit(k)) * F.lit(t.weight * m) for k, m in enumerate(multipliers)), F.lit(0.0))
-            out.append(F.struct(F.lit(t.id).alias("id"), total(all_, i).alias("occurrences"), shut.alias("gated"), F.when(shut, 0.0).otherwise(weight).alias("weight")))
-        return F.filter(F.array(*out), lambda x: x["occurrences"] > 0)
+VERDICT = "passed, score, vetoed, needs_review, reason, matches array<struct<term_id, field, weight, occurrences, start, end, matched_text, snippet, gated>>"
 
-    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def verdict(terms: Column) -> Column:
-        points = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x["weight"])
-        return let(points, lambda p: F.struct(
-            (p + EPSILON >= keywords.min_score).alias("passed"), p.alias("score"), F.lit(False).alias("vetoed"),
-            ((p + EPSILON >= keywords.min_score) & F.lit(keywords.review_band > 0) & (p + EPSILON < keywords.ceiling)).alias("needs_review"), terms.alias("terms"),
-        ))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    judged = let(let(F.array(*per_field), rated), verdict)
-    none = F.array().cast("array<struct<id: string, occurrences: int, gated: boolean, weight: double>>")
-    return F.when(veto, F.struct(F.lit(False).alias("passed"), F.lit(0.0).alias("score"), F.lit(True).alias("vetoed"), F.lit(False).alias("needs_review"), none.alias("terms"))).otherwise(judged)
 
+def shortest(number: Column) -> Column:
+    """A number in six significant digits at most, without zeros that say nothing."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.6g", number), r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
 
-def _one_of(values: list[str]):
-    return lambda x: x.isin(*values)
 
+def _table(values: list) -> Column:
+    return F.array(*map(F.lit, values))
 
-# ---- exact judging --------------------------------------------------------------------------------------------------
 
-_MATCH = "array<struct<term_id: string, field: string, weight: double, occurrences: int, start: int, end: int, matched_text: string, snippet: string, gated: boolean>>"
-VERDICT = f"struct<passed: boolean, score: double, vetoed: boolean, needs_review: boolean, reason: string, matches: {_MATCH}>"
+def _weighted(keywords: KeywordList, hits: Column) -> Column:
+    """The hits with id and name, weight and gate. A term whose required terms aren't all there is gated, and weighs nothing."""
+    factors = [m for _, m in keywords.fields]
+    # fields by rank: the greatest multiplier first, of equals the first
+    rank = {i: r for r, i in enumerate(sorted(range(len(factors)), key=lambda i: (-factors[i], i)))}
+    ids, weights, rank = _table([t.id for t in keywords.terms]), _table([float(t.weight) for t in keywords.terms]), _table([rank[i] for i in range(len(factors))])
+    names, factors = _table([n for n, _ in keywords.fields]), _table([float(m) for m in factors])
+    place = {t.id: i for i, t in enumerate(keywords.terms)}
+    needs = [(i, [place[r] for r in t.requires]) for i, t in enumerate(keywords.terms) if t.requires]
+    wanted = F.create_map(*[x for i, r in needs for x in (F.lit(i), _table(r))]) if needs else None
 
+    def over(met: Column) -> Column:
+        def each(h: Column) -> Column:
+            gated = F.coalesce(F.size(F.array_except(F.try_element_at(wanted, h["term"]), met)) > 0, F.lit(False)) if needs else F.lit(False)
+            full = F.get(weights, h["term"]) * F.get(factors, h["field"])
+            if keywords.count_term_once:  # the whole weight in the term's best field
+                better = F.exists(hits, lambda x: (x["term"] == h["term"]) & (F.get(rank, x["field"]) < F.get(rank, h["field"])))
+                weight = F.when(better, 0.0).otherwise(full)
+            else:
+                weight = full * h["n"]
+            return F.struct(
+                F.get(ids, h["term"]).alias("term_id"), F.get(names, h["field"]).alias("field"), F.when(gated, 0.0).otherwise(weight).alias("weight"), h["n"].alias("occurrences"),
+                h["start"].alias("start"), h["end"].alias("end"), h["text"].alias("matched_text"), h["snippet"].alias("snippet"), gated.alias("gated"),
+                (~gated & (F.get(weights, h["term"]) > 0)).alias("counts"),
+            )
 
-class Judge:
-    """The list compiled once per Python worker."""
-
-    def __init__(self, keywords: KeywordList):
-        self.list = keywords
-        self.terms = {t.id: t for t in keywords.terms}
-        self.buckets = [(b, re.compile(b.pattern), dict(b.owners)) for b in buckets(keywords.terms)]
-        self.regexes = [(t, [re.compile(p, 0 if t.case_sensitive else re.IGNORECASE) for p in t.literals]) for t in keywords.terms if t.match == "regex"]
-        self.exclusions = [(e, re.compile(_exclusion_pattern(e), re.IGNORECASE if e.match == "regex" else 0)) for e in keywords.exclusions]
-
-    def _hits(self, text: str) -> list[tuple[str, int, int]]:
-        """(term, start, end) in scan order: bucket by bucket, then the regular expressions."""
-        low, cased = fold_string(text), fold_string(text, False)
-        out = []
-        for b, pattern, owners in self.buckets:
-            for m in pattern.finditer(cased if b.case_sensitive else low):
-                for term in owners[re.sub(r"\s+", " ", m[1])]:
-                    out.append((term, m.start(1), m.end(1)))
-        for t, patterns in self.regexes:
-            out += [(t.id, m.start(), m.end()) for p in patterns for m in p.finditer(cased)]
-        return out
-
-    def __call__(self, record: dict[str, str | None]) -> dict:
-        import unicodedata
-
-        k, found, texts = self.list, {}, {}
-        for name, _ in k.fields:
-            if not record.get(name):
-                continue
-            text = texts[name] = unicodedata.normalize("NFC", record[name])
-            for e, pattern in self.exclusions:
-                if m := pattern.search(fold_string(text, e.match != "regex")):
-                    why = VETOED.format(pattern=e.pattern, field=name, text=text[m.start() : m.end()], why=e.reason)
-                    return {"passed": False, "score": 0.0, "vetoed": True, "needs_review": False, "reason": why, "matches": []}
-            for term, start, end in self._hits(text):
-                hit = found.setdefault(term, {}).setdefault(name, [0, start, end])
-                hit[0] += 1
-        multipliers, matches, contributors, points = dict(k.fields), [], [], 0.0
-        for term, per_field in found.items():
-            t = self.terms[term]
-            gated = any(r not in found for r in t.requires)
-            best = max(per_field, key=multipliers.__getitem__)
-            for name, (n, start, end) in per_field.items():
-                times = (name == best) if k.count_term_once else n
-                weight = 0.0 if gated else t.weight * multipliers[name] * times
-                points += weight
-                matches.append({"term_id": term, "field": name, "weight": weight, "occurrences": n, "start": start, "end": end, "matched_text": texts[name][start:end], "snippet": snippet(texts[name], start, end), "gated": gated})
-            if not gated and t.weight > 0:
-                contributors.append(term)
-        passed = points + EPSILON >= k.min_score
-        review = passed and k.review_band > 0 and points + EPSILON < k.ceiling
-        return {"passed": passed, "score": points, "vetoed": False, "needs_review": review, "reason": self._reason(points, contributors, passed, review), "matches": matches}
-
-    def _reason(self, points: float, contributors: list[str], passed: bool, review: bool) -> str:
-        k = self.list
-        source = f"{k.jurisdiction} list v{k.list_version}"
-        if not contributors:
-            return NO_TERM.format(source=source)
-        more = len(contributors) - REASON_TERMS
-        terms = ", ".join(contributors[:REASON_TERMS]) + (f" and {more} more" if more > 0 else "")
-        band = IN_BAND.format(least=k.min_score, ceiling=k.ceiling) if review else ""
-        return DECIDED.format(score=points, comparison="reaches" if passed else "is below", least=k.min_score, band=band, source=source, terms=terms)
-
+        return F.transform(hits, each)
 
-def snippet(text: str, start: int, end: int, radius: int = SNIPPET) -> str:
-    """Surroundings of a match in the unfolded text; an ellipsis where they are cut."""
-    left, right = max(0, start - radius), min(len(text), end + radius)
-    return ("…" if left else "") + re.sub(r"\s+", " ", text[left:right]).strip() + ("…" if right < len(text) else "")
+    return _let(F.array_distinct(F.transform(hits, lambda h: h["term"])), over)
 
 
 def judge(keywords: KeywordList, **columns: Column) -> Column:
-    """A record's verdict with evidence; see VERDICT."""
-    names = list(columns)
-
-    @arrow_udf(VERDICT)
-    def run(*arrays: pa.Array) -> pa.Array:
-        one = Judge(keywords)
-        rows = zip(*[a.to_pylist() for a in arrays])
-        return pa.array([one(dict(zip(names, r))) for r in rows], _ARROW)
+    """A record's verdict: struct<VERDICT>. Matches stand by field in the list's order and then as met. A record without any field has
+    no match; one with an exclusion is vetoed and has none either."""
+    source = f"{keywords.jurisdiction} list v{keywords.list_version}"
+    band = keywords.review_band > 0
+
+    def reason(points: Column, matches: Column, passed: Column, review: Column) -> Column:
+        def said(ids: Column) -> Column:
+            more = F.size(ids) - REASON_TERMS
+            shown = F.concat(F.array_join(F.slice(ids, 1, REASON_TERMS), ", "), F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+            inside = F.lit(IN_BAND.format(least=keywords.min_score, ceiling=keywords.ceiling) if band else "")
+            values = {"score": shortest(points), "comparison": F.when(passed, "reaches").otherwise("is below"), "band": F.when(review, inside).otherwise(""), "terms": shown}
+            return F.when(F.size(ids) == 0, NO_TERM.format(source=source)).otherwise(_filled(DECIDED, values, least=keywords.min_score, source=source))
+
+        return _let(F.array_distinct(F.transform(F.filter(matches, lambda m: m["counts"]), lambda m: m["term_id"])), said)
+
+    def decided(matches: Column) -> Column:
+        def by(points: Column) -> Column:
+            passed = points + EPSILON >= keywords.min_score
+            review = passed & F.lit(band) & (points + EPSILON < keywords.ceiling)
+            shown = F.transform(matches, lambda m: F.struct(*[m[c].alias(c) for c in ("term_id", "field", "weight", "occurrences", "start", "end", "matched_text", "snippet", "gated")]))
+            return F.struct(passed.alias("passed"), points.alias("score"), F.lit(False).alias("vetoed"), review.alias("needs_review"), reason(points, matches, passed, review).alias("reason"), shown.alias("matches"))
+
+        return _let(F.aggregate(matches, F.lit(0.0), lambda a, m: a + m["weight"]), by)
+
+    def whole(found: Column) -> Column:
+        hits = F.coalesce(found["hits"], F.from_json(F.lit("[]"), FOUND[FOUND.index("array<") : -1]))
+        judged = _let(_weighted(keywords, hits), decided)
+        if not keywords.exclusions:
+            return judged
+        veto = found["veto"]
+        at = lambda values, i: F.get(_table(values), i)
+        values = {"pattern": at([repr(e.pattern) for e in keywords.exclusions], veto["exclusion"]), "field": at([n for n, _ in keywords.fields], veto["field"]), "text": veto["text"], "why": at([e.reason for e in keywords.exclusions], veto["exclusion"])}
+        vetoed = F.struct(F.lit(False).alias("passed"), F.lit(0.0).alias("score"), F.lit(True).alias("vetoed"), F.lit(False).alias("needs_review"), _filled(VETOED, values).alias("reason"), judged["matches"].alias("matches"))
+        return F.when(veto.isNotNull(), vetoed).otherwise(judged)
+
+    return _let(find(keywords, **columns), whole)
+
+
+def _filled(wording: str, values: dict[str, Column], **fixed) -> Column:
+    """A wording with columns in the places of its names."""
+    parts = re.split(r"\{(\w+)(?:!r)?(?::g)?\}", wording)
+    known = {k: f"{v:g}" if isinstance(v, float) else v for k, v in fixed.items()}
+    return F.concat(*[F.lit(p) if i % 2 == 0 else values[p] if p in values else F.lit(known[p]) for i, p in enumerate(parts) if p])
 
-    return run.asNondeterministic()(*columns.values())
 
-
-_ARROW = pa.struct([
-    ("passed", pa.bool_()), ("score", pa.float64()), ("vetoed", pa.bool_()), ("needs_review", pa.bool_()), ("reason", pa.string()),
-    ("matches", pa.list_(pa.struct([
-        ("term_id", pa.string()), ("field", pa.string()), ("weight", pa.float64()), ("occurrences", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
-        ("matched_text", pa.string()), ("snippet", pa.string()), ("gated", pa.bool_()),
-    ]))),
-])
+def score(keywords: KeywordList, **columns: Column) -> Column:
+    """The verdict without its evidence: struct<passed, score, vetoed, needs_review, terms array<struct<id, occurrences, gated, weight>>>,
+    a row for each term, in the list's order."""
+
+    def short(v: Column) -> Column:
+        mine = lambda i: F.filter(v["matches"], lambda m: m["term_id"] == i)
+        sums = lambda i: F.struct(
+            i.alias("id"), F.aggregate(mine(i), F.lit(0), lambda a, m: a + m["occurrences"]).alias("occurrences"), F.exists(mine(i), lambda m: m["gated"]).alias("gated"),
+            F.aggregate(mine(i), F.lit(0.0), lambda a, m: a + m["weight"]).alias("weight"),
+        )
+        met = F.array_intersect(_table([t.id for t in keywords.terms]), F.transform(v["matches"], lambda m: m["term_id"]))
+        return F.struct(*[v[c].alias(c) for c in ("passed", "score", "vetoed", "needs_review")], F.transform(met, sums).alias("terms"))
+
+    return _let(judge(keywords, **columns), short)
 
 
 def chain(stages: list[tuple[str, Column]]) -> Column:

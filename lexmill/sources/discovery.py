@@ -1,7 +1,6 @@
-"""Discovery of candidates: adaptive windows over a source that states its totals, and a Python data source over recorded pages.
+"""Discovery of candidates: spans of a source that states its totals, and a Python data source over recorded pages.
 
-The planner is a pure function of the source's counts: it never asks for more than a page can hold, grows after thin windows and
-shrinks after full ones. One partition reads, so a source's request rate stays that of one client.
+The planner is a pure function of the source's counts. One partition reads, so a source's request rate stays that of one client.
 """
 
 from __future__ import annotations
@@ -9,85 +8,99 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import random
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-TICK, GROW, SHRINK = dt.timedelta(seconds=1), 0.25, 0.75
 #: HTTP statuses worth another try.
 RETRIED = frozenset([408, 425, 429, 500, 502, 503, 504])
+SECOND = dt.timedelta(seconds=1)
 
 
-@dataclass(frozen=True)
-class Window:
-    start: dt.datetime
-    stop: dt.datetime
-
-    @property
-    def width(self) -> dt.timedelta:
-        return self.stop - self.start
-
-    def halved(self, floor: dt.timedelta) -> Window:
-        return Window(self.start, min(self.start + max(self.width / 2, floor), self.stop))
-
-    def grown(self, ceiling: dt.timedelta) -> Window:
-        return Window(self.start, self.start + min(2 * self.width, ceiling))
-
-    def cursor(self, offset: int) -> str:
-        return f"{self.start.isoformat()}/{self.stop.isoformat()}#{offset}"
-
-
-def inclusive_windows(count: Callable[[Window], int], since: dt.datetime, until: dt.datetime, page: int, width: dt.timedelta, floor: dt.timedelta, ceiling: dt.timedelta) -> Iterator[tuple[Window, int]]:
-    """Windows inclusive at both ends, the next one starting a second after the last; each with its count. Only a window of the
-    least width may hold more than a page."""
-    start = since
-    while start <= until:
-        w = Window(start, min(start + width, until))
-        n = count(w)
-        while n > page and w.width > floor:
-            w = w.halved(floor)
-            n = count(w)
-        yield w, n
-        width = max(w.width, TICK)
-        if n <= GROW * page:
-            width = min(2 * width, ceiling)
-        elif n >= SHRINK * page:
-            width = max(width / 2, floor)
-        start = w.stop + TICK
-
-
-def half_open_windows(count: Callable[[Window], int], since: dt.datetime, until: dt.datetime, cap: int, width: dt.timedelta, floor: dt.timedelta) -> Iterator[tuple[Window, int]]:
-    """Windows that include their start only, halved while they hold ``cap`` or more; empty ones are not given."""
-    start = since
-    while start < until:
-        w = Window(start, min(start + width, until))
-        n = count(w)
-        while n >= cap and w.width > floor:
-            w = w.halved(floor)
-            n = count(w)
-        if n:
-            yield w, n
-        start = w.stop
+class Span(NamedTuple):
+    """A stretch of a source's time line, and how many candidates the source says it has."""
+
+    first: dt.datetime
+    last: dt.datetime
+    found: int
 
 
 @dataclass(frozen=True)
-class Backoff:
-    """Pauses between tries: the server's own wish verbatim, else half of a doubling pause and half at random."""
+class Planner:
+    """Cuts a time line into spans that a source can answer, from its own counts.
+
+    ``closed``: the source counts both ends, so the next span begins a second later; else it leaves out the end. A span is
+    cut in two while it holds more than ``most``, unless it is no longer than ``least``. The next span is as long as the last one;
+    with ``thin`` (a share of ``most``) it doubles, up to ``longest``, after a span at or under that share, and halves after one at
+    or over 1 - ``thin``.
+    """
+
+    most: int
+    width: dt.timedelta
+    least: dt.timedelta
+    longest: dt.timedelta | None = None
+    closed: bool = True
+    thin: float = 0.25
+
+    def spans(self, count: Callable[[dt.datetime, dt.datetime], int], since: dt.datetime, until: dt.datetime) -> Iterator[Span]:
+        """All spans in order, empty ones as well. Ends that are still to be covered wait on a stack, the nearest on top."""
+        gap = SECOND if self.closed else dt.timedelta()
+        at, width, ends = since, self.width, []
+        while at < until or (self.closed and at == until):
+            ends.append(min(at + width, until))
+            while True:
+                span = Span(at, ends[-1], count(at, ends[-1]))
+                length = span.last - span.first
+                if span.found <= self.most or length <= self.least:
+                    break
+                ends.append(at + max(length / 2, self.least))
+            width = self._next(max(length, SECOND), span.found)
+            at = span.last + gap
+            ends.clear()
+            yield span
+
+    def _next(self, length: dt.timedelta, found: int) -> dt.timedelta:
+        if self.longest is None:
+            return self.width
+        share = found / self.most
+        return min(length * 2, self.longest) if share <= self.thin else max(length / 2, self.least) if share >= 1 - self.thin else length
+
+
+def within(rows: DataFrame, column: str, since: dt.datetime, until: dt.datetime) -> DataFrame:
+    """Candidates inside the caller's own bounds, both included: a source that knows days or minutes only answers with more. Without a
+    time a candidate stays."""
+    return rows.where(F.col(column).isNull() | F.col(column).between(F.lit(since), F.lit(until)))
+
+
+def pauses(draws: Iterator[float], first: float = 1.0, longest: float = 60.0) -> Iterator[float]:
+    """Seconds to wait before each further try: half of a doubling time, and as much of the other half as is drawn."""
+    time_ = first
+    for draw in draws:
+        yield min(time_, longest) * (1 + draw) / 2
+        time_ *= 2
 
-    least: float = 1.0
-    most: float = 60.0
-    tries: int = 5
 
-    def pause(self, attempt: int, retry_after: float | None, draw: float) -> float:
-        if retry_after is not None:
-            return retry_after
-        whole = min(self.most, self.least * 2**attempt)
-        return whole / 2 + draw * whole / 2
+@dataclass(frozen=True)
+class Retries:
+    """When to ask a source again, and after how long: as long as it says, or by ``pauses``."""
 
-    def retries(self, status: int, attempt: int) -> bool:
-        return status in RETRIED and attempt < self.tries
+    tries: int = 5
+    seed: int = 0
+
+    def schedule(self, answers: Iterator[tuple[int, float | None]]) -> Iterator[float]:
+        """For a request's answers (status, seconds the source asks for) in order, the wait before each further try; ends with an answer
+        that is final, or when the tries are used up."""
+        draw = random.Random(self.seed)
+        for (status, wish), own, _ in zip(answers, pauses(iter(draw.random, None)), range(self.tries)):
+            if status not in RETRIED:
+                return
+            yield own if wish is None else wish
 
 
 class Pace:

@@ -97,24 +97,28 @@ def test_hold_back_against_loop(spark):
     assert got == expected
 
 
-def test_windows():
-    rng = random.Random(4)
+def test_spans():
+    rng, hour, day = random.Random(4), dt.timedelta(hours=1), dt.timedelta(days=1)
     start = dt.datetime(2026, 1, 1)
     for _ in range(50):
         items = [start + dt.timedelta(seconds=rng.randint(0, 86_400)) for _ in range(rng.randint(0, 300))]
-        until = start + dt.timedelta(days=1)
-        count = lambda w: sum(w.start <= x <= w.stop for x in items)  # noqa: B023, E731
-        got = list(discovery.inclusive_windows(count, start, until, 20, dt.timedelta(hours=1), discovery.TICK, dt.timedelta(hours=6)))
-        assert sum(n for _, n in got) == len(items) and all(b[0].start == a[0].stop + discovery.TICK for a, b in zip(got, got[1:]))
-        assert all(n <= 20 or w.width <= discovery.TICK for w, n in got)
-        half = lambda w: sum(w.start <= x < w.stop for x in items)  # noqa: B023, E731
-        got = list(discovery.half_open_windows(half, start, until + discovery.TICK, 20, dt.timedelta(hours=1), dt.timedelta(seconds=60)))
-        assert sum(n for _, n in got) == len(items)
-
-
-def test_backoff():
-    b = discovery.Backoff()
-    assert b.pause(0, 7, 0) == 7 and b.pause(10, None, 1) == 60 and b.pause(1, None, 0) == 1 and b.retries(503, 0) and not b.retries(404, 0)
+        count = lambda a, b: sum(a <= x <= b for x in items)  # noqa: B023, E731
+        got = list(discovery.Planner(20, hour, discovery.SECOND, 6 * hour).spans(count, start, start + day))
+        assert sum(x.found for x in got) == len(items) and got[-1].last == start + day
+        assert all(b.first == a.last + discovery.SECOND for a, b in zip(got, got[1:]))
+        assert all(x.found <= 20 or x.last - x.first <= discovery.SECOND for x in got) and max(x.last - x.first for x in got) <= 6 * hour
+        half = lambda a, b: sum(a <= x < b for x in items)  # noqa: B023, E731
+        got = list(discovery.Planner(20, hour, dt.timedelta(seconds=60), closed=False).spans(half, start, start + day + discovery.SECOND))
+        assert sum(x.found for x in got) == len(items) and all(b.first == a.last for a, b in zip(got, got[1:]))
+    assert len(list(discovery.Planner(20, hour, discovery.SECOND, 6 * hour).spans(lambda a, b: 0, start, start + day))) < 8
+
+
+def test_bounds_and_retries(spark):
+    rows = spark.createDataFrame([(i, None if i == 9 else dt.datetime(2026, 1, 1, i)) for i in range(10)], "id int, modified_at timestamp_ntz")
+    assert sorted(r["id"] for r in discovery.within(rows, "modified_at", dt.datetime(2026, 1, 1, 2), dt.datetime(2026, 1, 1, 4)).collect()) == [2, 3, 4, 9]
+    assert list(discovery.pauses(iter([0, 0, 1, 1]), longest=3)) == [0.5, 1, 3, 3]
+    r = discovery.Retries(tries=3)
+    assert list(r.schedule(iter([(503, 7), (404, None), (503, 1)]))) == [7] and len(list(r.schedule(iter([(503, None)] * 9)))) == 3 and list(r.schedule(iter([(200, None)]))) == []
 
 
 def test_recorded_source(spark, tmp_path):
