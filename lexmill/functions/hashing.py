@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 SEPARATOR, MISSING = "\x1f", "\x00"
 
 
-def fingerprint(*parts: Column) -> Column:
-    """SHA-256 over parts, each followed by a separator; null is a byte of its own, so it differs from empty."""
-    return F.sha2(F.concat(*[F.concat(F.coalesce(p.cast("string"), F.lit(MISSING)), F.lit(SEPARATOR)) for p in parts]), 256)
+def fingerprint(*parts: Column, more: Column | None = None) -> Column:
+    """SHA-256 over parts, each followed by a separator; null is a byte of its own, so it differs from empty. ``more``: an array of
+    further parts."""
+    ended = lambda p: F.concat(F.coalesce(p.cast("string"), F.lit(MISSING)), F.lit(SEPARATOR))
+    whole = [ended(p) for p in parts]
+    if more is not None:
+        whole.append(F.array_join(F.transform(more, ended), ""))
+    return F.sha2(F.concat(*whole), 256)
 
 
 def _pads(key: bytes) -> tuple[str, str]:

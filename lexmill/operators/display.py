@@ -17,6 +17,17 @@ def counts(raw: DataFrame) -> DataFrame:
     return good.select("code", F.floor("n").cast("long").alias("case_count"), F.coalesce("map_feature_id", "code").alias("map_feature_id"))
 
 
+def summaries(rows: DataFrame, payload: str) -> DataFrame:
+    """Case summaries out of loose JSON, beside the other columns: rows whose code or id is no text, or an empty one, are dropped; any
+    other value that is no text is null."""
+    found = F.try_parse_json(payload)
+    names = ("jurisdiction_code", "jurisdiction_name", "source_id", "title", "court_name", "decision_date")
+    # a variant that is text is one whose type is a string; casting alone would turn numbers into text
+    text = lambda n: F.when(F.schema_of_variant(F.try_variant_get(found, f"$.{n}", "variant")) == "STRING", F.try_variant_get(found, f"$.{n}", "string"))
+    read = rows.select(*[c for c in rows.columns if c != payload], *[text(n).alias(n) for n in names])
+    return read.where("jurisdiction_code <> '' AND source_id <> ''")
+
+
 def reading_order(documents: DataFrame, own_language: Column) -> DataFrame:
     """Documents with text: by type, the case's own language first, then by language and id."""
     kind = F.array_position(F.lit(READING_ORDER), F.col("doc_type"))

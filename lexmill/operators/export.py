@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import csv_cell
@@ -46,6 +46,20 @@ def run_log_name(finished_at: Column) -> Column:
     return F.concat(F.extract(F.lit("YEAROFWEEK"), finished_at).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(finished_at).cast("string"), 2, "0"))
 
 
+def free_names(logs: DataFrame) -> DataFrame:
+    """Adds ``name`` to rows (stem, pos): the stem for the first log that has it, then the stem with _2, _3 and so on; no name is given
+    twice, so none is overwritten."""
+    place = F.row_number().over(Window.partitionBy("stem").orderBy("pos"))
+    return logs.withColumn("k", place).withColumn("name", F.when(F.col("k") == 1, F.col("stem")).otherwise(F.concat_ws("_", "stem", F.col("k").cast("string")))).drop("k")
+
+
+def human_duration(seconds: Column) -> Column:
+    """2 h 5 min, 3 min 20 s, 7 s"""
+    n = seconds.cast("long")
+    two = lambda a, x, b, y: F.concat(a.cast("string"), F.lit(f" {x} "), b.cast("string"), F.lit(f" {y}"))
+    return F.when(n >= 3600, two(F.floor(n / 3600), "h", F.floor(n % 3600 / 60), "min")).when(n >= 60, two(F.floor(n / 60), "min", n % 60, "s")).otherwise(F.concat(n.cast("string"), F.lit(" s")))
+
+
 def prune(logs: DataFrame, keep: int) -> DataFrame:
     """The logs to delete: all but the newest ``keep``."""
     newest = logs.orderBy(F.desc("finished_at"), F.desc("id")).limit(keep).select("id")

@@ -59,6 +59,22 @@ def replace_children(old: DataFrame, new: DataFrame, changed: DataFrame) -> Data
     return kept.unionByName(new.join(changed.select("case_id").distinct(), "case_id", "left_semi"))
 
 
+def upsert_courts(courts: DataFrame, named: DataFrame) -> DataFrame:
+    """Courts by (jurisdiction_code, source_identifier): what is named anew overwrites all descriptive fields, what is not stays. Of
+    several rows for one court the last by name counts. Seeding a vocabulary is the same, and doing it twice changes nothing."""
+    key = ["jurisdiction_code", "source_identifier"]
+    rest = [c for c in courts.columns if c not in key]
+    new = named.groupBy(*key).agg(F.max(F.struct(*rest)).alias("n"))
+    both = courts.select(*key, F.struct(*rest).alias("o")).join(new, key, "full_outer")
+    return both.select(*key, *[F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rest])
+
+
+def resolve_citations(citations: DataFrame, cases: DataFrame) -> DataFrame:
+    """Adds the id of the case that a citation names, where there is one (an extension). Of cases with one identifier the first counts."""
+    known = cases.groupBy(F.col("source_id").alias("target")).agg(F.min("id").alias("target_case_id"))
+    return citations.join(known, "target", "left")
+
+
 def distinct_citations(citations: DataFrame) -> DataFrame:
     """First of each (case, target, type) by position; blank targets are dropped."""
     some = citations.withColumn("target", F.trim("target")).where("target <> ''")

@@ -37,6 +37,24 @@ def missing(candidates: DataFrame, held: DataFrame) -> DataFrame:
     return candidates.join(complete, "identifier", "left_anti")
 
 
+def outcomes(candidates: DataFrame, held: DataFrame) -> DataFrame:
+    """What one pass does with each candidate: skipped if it is held, failed if its payloads could not be had, else written. An entry is
+    complete once it is committed with its metadata, so whatever a broken pass left is written anew by the next."""
+    complete = held.where(F.col("metadata_identifier") == F.col("identifier")).select("identifier", F.lit(True).alias("__held"))
+    joined = candidates.join(complete.distinct(), "identifier", "left")
+    return joined.withColumn("outcome", F.when(F.col("__held"), "skipped").when(F.col("failed"), "failed").otherwise("written")).drop("__held")
+
+
+def write(entries: DataFrame, path: str) -> None:
+    """Entries (identifier, jurisdiction_code, metadata, payloads) by jurisdiction. Rows of names that collide are refused before anything
+    is written; a folder appears whole or not at all, by Spark's commit."""
+    named = entries.withColumn("f", folder_name(F.col("identifier"))).select("*", F.col("f.name").alias("name"), F.col("f.error").alias("error")).drop("f")
+    bad = named.where("error IS NOT NULL").select("identifier").unionByName(collisions(named).join(named.withColumn("name", F.lower("name")), "name").select("identifier"))
+    if first := bad.take(1):
+        raise ValueError(f"{first[0][0]!r}: no folder of its own")
+    named.drop("error").write.mode("append").partitionBy("jurisdiction_code").parquet(path)
+
+
 def manifest(runs: DataFrame) -> DataFrame:
     """One row: start, number of runs, bytes, and the last HISTORY runs, oldest first."""
     recent = runs.orderBy(F.desc("finished_at"), F.desc("id")).limit(HISTORY)

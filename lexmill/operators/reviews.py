@@ -11,16 +11,26 @@ SORTS = {
 }
 
 
-def queue(reviews: DataFrame, cases: DataFrame, sort: str, statuses: tuple[str, ...] = ("pending",), jurisdictions: tuple[str, ...] = (), list_version: str | None = None) -> DataFrame:
-    """Reviews by status, jurisdiction of their case and list version, in a total order; no status means any."""
+def queue(reviews: DataFrame, cases: DataFrame, sort: str, statuses: tuple[str, ...] = ("pending",), jurisdictions: tuple[str, ...] = (), list_version: str | None = None, decided_by: str | None = None) -> DataFrame:
+    """Reviews by status, jurisdiction of their case, list version and who decided, in a total order; no status means any."""
+    by, column = SORTS[sort]
+    rows = _chosen(reviews, cases, statuses, jurisdictions, list_version, decided_by)
+    return rows.orderBy(by(column), F.desc("id") if sort.endswith("desc") else F.asc("id"))
+
+
+def count(reviews: DataFrame, cases: DataFrame, statuses: tuple[str, ...] = ("pending",), jurisdictions: tuple[str, ...] = (), list_version: str | None = None, decided_by: str | None = None) -> DataFrame:
+    """How many reviews ``queue`` would give, as one row; nothing is sorted."""
+    return _chosen(reviews, cases, statuses, jurisdictions, list_version, decided_by).agg(F.count("*").alias("n"))
+
+
+def _chosen(reviews: DataFrame, cases: DataFrame, statuses: tuple[str, ...], jurisdictions: tuple[str, ...], list_version: str | None, decided_by: str | None) -> DataFrame:
     out = reviews.where(F.col("status").isin(*statuses)) if statuses else reviews
     if list_version:
         out = out.where(F.col("list_version") == list_version)
     if jurisdictions:
         mine = cases.where(F.col("jurisdiction_code").isin(*jurisdictions)).select(F.col("id").alias("__case"))
         out = out.join(mine, out["case_id"] == mine["__case"], "left_semi")
-    by, column = SORTS[sort]
-    return out.orderBy(by(column), F.desc("id") if sort.endswith("desc") else F.asc("id"))
+    return out.where(F.col("decided_by") == decided_by) if decided_by else out
 
 
 def currency(reviews: DataFrame, cases: DataFrame) -> DataFrame:

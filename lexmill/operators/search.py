@@ -25,6 +25,7 @@ class Criteria:
     term: str | None = None
     jurisdictions: tuple[str, ...] = ()
     law_domain: str | None = None
+    law_subfield: str | None = None
     language: str | None = None
     court_id: int | None = None
     topic: str | None = None
@@ -47,16 +48,16 @@ class Criteria:
 
     def active(self) -> int:
         """How many filters are set."""
-        return sum(bool(x) for x in (self.term, self.jurisdictions, self.law_domain, self.language, self.court_id is not None, self.topic, self.decided_from or self.decided_until))
+        return sum(bool(x) for x in (self.term, self.jurisdictions, self.law_domain, self.law_subfield, self.language, self.court_id is not None, self.topic, self.decided_from or self.decided_until))
 
     def to_query(self) -> str:
         """Canonical order; defaults are left out."""
-        pairs = [("q", self.term), *[("jurisdiction", c) for c in self.jurisdictions], ("law_domain", self.law_domain), ("language", self.language), ("court_id", self.court_id), ("topic", self.topic), ("date_from", self.decided_from), ("date_to", self.decided_until), ("sort", self.sort if self.sort != "date_desc" else None)]
+        pairs = [("q", self.term), *[("jurisdiction", c) for c in self.jurisdictions], ("law_domain", self.law_domain), ("law_subfield", self.law_subfield), ("language", self.language), ("court_id", self.court_id), ("topic", self.topic), ("date_from", self.decided_from), ("date_to", self.decided_until), ("sort", self.sort if self.sort != "date_desc" else None)]
         return urlencode([(k, v) for k, v in pairs if v not in (None, "")])
 
     @classmethod
     def from_query(cls, query: str) -> Criteria:
-        names = {"q": "term", "law_domain": "law_domain", "language": "language", "topic": "topic", "sort": "sort"}
+        names = {"q": "term", "law_domain": "law_domain", "law_subfield": "law_subfield", "language": "language", "topic": "topic", "sort": "sort"}
         out = cls()
         for k, v in parse_qsl(query):
             if k == "jurisdiction":
@@ -86,16 +87,20 @@ def term_predicate(term: str, columns: tuple[str, ...] = ("title", "abstract", "
     return out
 
 
-def matching(cases: DataFrame, c: Criteria, documents: DataFrame | None = None) -> DataFrame:
+def matching(cases: DataFrame, c: Criteria, documents: DataFrame | None = None, topics: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Cases that meet all criteria. With ``documents``, a term also matches in a document's full text: the ids of those are
-    found first, without their texts, and marked by a left join on distinct ids, so no case is repeated."""
+    found first, without their texts, and marked by a left join on distinct ids, so no case is repeated. ``topics``: the tables of topics
+    (id, slug) and of links (case_id, topic_id); without them cases have a column ``topic_slug``."""
     out = cases if c.include_unpublished else cases.where("is_published")
     if c.jurisdictions:
         out = out.where(F.col("jurisdiction_code").isin(*c.jurisdictions))
-    for name in ("law_domain", "language", "court_id"):
+    for name in ("law_domain", "law_subfield", "language", "court_id"):
         if getattr(c, name) is not None:
             out = out.where(F.col(name) == getattr(c, name))
-    if c.topic:
+    if c.topic and topics:
+        tagged = topics[1].join(topics[0].where(F.col("slug") == c.topic).select(F.col("id").alias("topic_id")), "topic_id", "left_semi")
+        out = out.join(tagged.select(F.col("case_id").alias("id")), "id", "left_semi")
+    elif c.topic:
         out = out.where(F.col("topic_slug") == c.topic)
     if c.decided_from:
         out = out.where(F.col("decision_date") >= F.lit(c.decided_from))

@@ -68,10 +68,10 @@ def case_search_exists_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, Criteria(term=TERM), full_text=True).select(_SUMMARY)
 
 
-@query(f"""{_SELECT} FROM cases WHERE is_published AND jurisdiction_code IN ('EN', 'FR') AND law_domain = 'private'
-AND decision_date BETWEEN date '2016-01-01' AND date '2022-12-31' AND court_id = 3""", dates=("decision_date",))
+@query(f"""{_SELECT} FROM cases WHERE is_published AND jurisdiction_code IN ('DE', 'EN', 'ES', 'FR') AND law_domain = 'private'
+AND decision_date BETWEEN date '2016-01-01' AND date '2022-12-31' AND court_id = 5""", dates=("decision_date",))
 def case_search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Criteria(jurisdictions=("EN", "FR"), law_domain="private", court_id=3, decided_from=dt.date(2016, 1, 1), decided_until=dt.date(2022, 12, 31))
+    c = Criteria(jurisdictions=("DE", "EN", "ES", "FR"), law_domain="private", court_id=5, decided_from=dt.date(2016, 1, 1), decided_until=dt.date(2022, 12, 31))
     return _found(spark, sf_dir, c).select(_SUMMARY)
 
 
