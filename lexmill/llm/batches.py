@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +25,21 @@ def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
         spark.conf.set(name, str(size))
 
 
+@functools.lru_cache(1)
+def _trim():
+    """glibc's function that gives free memory back; nothing where there is none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Free memory goes back to the system. Python workers outlive their tasks, and several of them share an executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def text_batches(column: pa.Array, size: int = 400_000) -> Iterator[list[str | None]]:
     """The texts of an Arrow column in order, in lists of about ``size`` bytes; a longer text is a list of its own. Only one list
-    is a Python object at a time."""
+    is a Python object at a time, and after the last one free memory is given back."""
     length = pc.binary_length(column).fill_null(0).to_pylist()
     start = total = 0
     for i, n in enumerate(length):
@@ -35,6 +49,7 @@ def text_batches(column: pa.Array, size: int = 400_000) -> Iterator[list[str | N
             start, total = i + 1, 0
     if start < len(length):
         yield column.slice(start).to_pylist()
+    release()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql.functions import arrow_udf
 
-from lexmill.llm.batches import bound_batches, text_batches
+from lexmill.llm.batches import bound_batches, release, text_batches
 from lexmill.llm.pretokens import token_starts
 
 
@@ -135,7 +135,7 @@ def _heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Ids of slices, merged together for many slices and remembered; emptied before it would hold more than ``bound``."""
 
-    bound = 250_000
+    bound = 120_000
     #: Slices looked up at a time.
     many = 32_768
 
@@ -241,6 +241,7 @@ class Tokenizer:
 
         @arrow_udf("binary")
         def text(column: pa.Array) -> pa.Array:
+            release()
             table = _once(key + "#decode", lambda: _token_table(ranks.value))
             tokens = table.take(column.flatten())  # its data are the bytes of all rows, one after the other
             if tokens.null_count:

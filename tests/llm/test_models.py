@@ -84,6 +84,7 @@ def test_pii_columns(spark):
     df = spark.createDataFrame([(t, 1) for t in texts], "text string, found int")
     rows = df.select("text", pii.find(F.col("text")).alias("f"))
     got = rows.select("text", "f", pii.redact(F.col("text"), F.col("f")).alias("r"), pii.digest(F.col("f")).alias("d")).collect()
+    assert [r["r"] for r in rows.select(pii.redacted(F.col("text")).alias("r")).collect()] == [r["r"] for r in got]
     assert [r["r"] for r in got] == [None, "", "mail <EMAIL> now, <IP> and <PHONE>", "write <EMAIL>", "😀 <CARD>", "plain words only. at the dot"]
     assert got[2]["d"] == "email:5:13,ip:19:27,phone:32:49" and got[4]["d"] == "card:2:21"
     assert [x["base"] for x in got[3]["f"]] == [False]
