@@ -37,7 +37,7 @@ from lexmill.session import Scratch
 
 BANDS, ROWS = 40, 4
 #: Classes of a bucket that one task compares with as many others at a time.
-BLOCK = 2048
+BLOCK = 1024
 #: Candidate pairs that are estimated and emitted at a time.
 STEP = 20_000
 #: Bytes of the table of candidates (class digest and least id, see CANDIDATE_BYTES) that may be broadcast; beyond, the join shuffles.
@@ -219,9 +219,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = scratch.write(nodes, "classes")
     bands = nodes.select("node", F.posexplode(F.array(*[F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS) for i in range(BANDS)])).alias("band", "value"))
     bands = bands.select(F.xxhash64("band", "value").alias("bucket"), "band", "node")
-    shared = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n"), F.max("node").alias("last")).where("first < last")
-    shared = scratch.write(shared.select("bucket", "first", "n"), "shared")
-    members = scratch.write(join_hot(bands, shared, "bucket", BANDS * nodes.count()), "buckets")
+    shared = bands.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    shared = scratch.write(shared.select("bucket", "first"), "shared")
+    # both sides are shuffled as they are, so adaptive execution can split a frequent bucket
+    members = scratch.write(bands.join(shared.select("bucket", "first"), "bucket"), "buckets")
     rows_in = members.count()
 
     ids = members.select("node").distinct().join(nodes.select("node", "least_id"), "node")
