@@ -9,7 +9,7 @@ Plan, in order:
    0.75 a pair misses all buckets with probability (1 - 0.75**4)**40 = 2.5e-7.
 4. Star rounds: each class against one class of each of its buckets, a row per class and bucket. Verified links form components. In
    the first round all buckets take part; in each further one, with other centres, those that hold several components and
-   more than BLOCK classes, as long as there are any and a round joins some of them.
+   more than LARGE classes, as long as there are any and a round joins some of them.
 5. Cross round: in buckets that still hold several components, the classes outside a bucket's largest component meet each other and
    those inside, in blocks; emitted are only pairs that may be linked by size, parity bound and likelihood estimate, from the pair's
    first bucket only, a few thousand at a time. Verified links join the components. No bucket is capped.
@@ -37,7 +37,9 @@ from lexmill.session import Scratch
 
 BANDS, ROWS = 40, 4
 #: Classes of a bucket that one task compares with as many others at a time.
-BLOCK = 1024
+BLOCK = 2048
+#: Classes of a bucket beyond which a further star round comes before comparing in blocks.
+LARGE = 16 * 2048
 #: Candidate pairs that are estimated and emitted at a time.
 STEP = 20_000
 #: Bytes of the table of candidates (class digest and least id, see CANDIDATE_BYTES) that may be broadcast; beyond, the join shuffles.
@@ -223,7 +225,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = scratch.write(shared.select("bucket", "first"), "shared")
     # both sides are shuffled as they are, so adaptive execution can split a frequent bucket
     members = scratch.write(bands.join(shared.select("bucket", "first"), "bucket"), "buckets")
-    rows_in = members.count()
 
     ids = members.select("node").distinct().join(nodes.select("node", "least_id"), "node")
     ids = scratch.write(ids, "candidates")
@@ -258,12 +259,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled, mixed = mixed_buckets(labels)
     turn = 0
     while True:
-        large = mixed.where(F.col("n") > BLOCK)
+        large = mixed.where(F.col("n") > LARGE)
         size = large.agg(F.count("*"), F.sum("n")).first()
         if not size[0]:
             break
         turn += 1
-        mine = join_hot(labelled, large.select("bucket", "n"), "bucket", rows_in)
+        mine = labelled.join(large.select("bucket"), "bucket")
         centre = mine.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(turn), "node")).alias("c"), F.count("*").alias("n"))
         pairs = join_hot(mine, centre, "bucket", size[1]).where(F.col("label") != F.col("c.label")).select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.label").alias("la"), F.col("label").alias("lb"))
         pairs = scratch.write(pairs.distinct(), "star")
@@ -288,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     to_tops = F.transform(F.sequence(F.lit(0), F.col("tops") - 1), lambda t: F.struct(F.concat(F.lit("t"), pair(t, F.col("own"))).alias("part"), F.lit(False).alias("left")))
     among = F.transform(others, lambda o: F.struct(pair(F.least(o, F.col("own")), F.greatest(o, F.col("own"))).alias("part"), (F.col("own") <= o).alias("left")))
     parts = (
-        join_hot(labelled, parted, "bucket", rows_in)
+        labelled.join(parted.drop("n"), "bucket")
         .withColumn("own", at)
         .select("bucket", "band", "node", "label", F.inline(F.when(F.col("label") == F.col("top"), to_others).otherwise(F.concat(to_tops, among))))
     )

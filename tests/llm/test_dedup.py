@@ -57,8 +57,10 @@ def test_against_all_pairs(spark, seed):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
 
 
-def test_blocks_of_large_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("large", [5, 1000])
+def test_blocks_of_large_buckets(spark, monkeypatch, large):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "LARGE", large)
     rows = corpus(3, families=4, size=30)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = near_dedup.near_duplicates(df).collect()
