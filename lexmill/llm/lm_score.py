@@ -8,7 +8,7 @@ two bigrams that share a bucket share their counts, in both models alike.
 A document's score is the mean over its words of target loss minus background loss: the lower, the more like the target.
 
 ``train`` and ``score`` are that bounded model, for callers that want one of a given size. ``score_all`` has no bound: every word
-and every bigram of all documents has counts of its own, in tables that grow with the input.
+and every bigram of all documents has a count of its own, in rows that grow with the input.
 """
 
 from __future__ import annotations
@@ -23,14 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lexmill.llm.batches import text_batches
-from lexmill.session import Scratch, materialize
+from lexmill.llm.batches import bound_batches, text_batches
+from lexmill.llm.shingles import WordHashes, _mix
+from lexmill.session import materialize
 
 VOCABULARY, BUCKETS = 32_768, 1 << 18
 #: Ids (8 bytes each) of target documents that may be broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Most frequent rows of a table of counts that are broadcast; only the others, none of them frequent, are joined by a shuffle.
-HOT_ROWS = 250_000
+#: Bytes of text whose grams are counted and looked up together by ``score_all``.
+PART_BYTES = 16 << 20
 #: Stands for the start of a text among the hashes of words.
 START = 0
 SMOOTH, MIX = 0.5, 0.6
@@ -177,78 +178,187 @@ def score(docs: DataFrame, model: Model, text: Column) -> Column:
     return run.asNondeterministic()(text)
 
 
-def _hashed(text: Column) -> Column:
-    """64-bit hashes of the words; a null text has none."""
-    return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BLANK), ""), lambda w: F.xxhash64(w))
+def _grams(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word grams of all texts, each text after START; the grams of the pairs that end at each word; and the texts' lengths.
 
+    A gram is a 64-bit hash whose lowest bit tells pairs from words.
+    """
+    flat, length = [], []
+    for t in texts:
+        words = [] if t is None else t.lower().encode("utf-8", "surrogatepass").split()
+        flat.append(START)
+        flat += [cache[w] & ~1 for w in words]
+        length.append(len(words))
+    word, length = np.array(flat, np.uint64), np.array(length, np.int64)
+    is_word = np.ones(len(word), bool)
+    is_word[np.cumsum(length + 1) - (length + 1)] = False
+    at = np.flatnonzero(is_word)
+    with np.errstate(over="ignore"):
+        pair = _mix(_mix(word[at - 1]) * np.uint64(0x9E3779B97F4A7C15) + word[at]) | np.uint64(1)
+    return word, pair, length
 
-def _bigrams(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row (a, b) per word: the word before it, or START, and the word."""
-    before = F.concat(F.array(F.lit(START).cast("long")), F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))))
-    pairs = F.explode(F.arrays_zip(before.alias("a"), F.col("words").alias("b")))
-    return rows.where("size(words) > 0").select(*columns, pairs.alias("p")).select(*columns, F.col("p.a").alias("a"), F.col("p.b").alias("b"))
 
+def _text_grams(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a table with the columns text and t, some texts at a time: see ``_grams``; and t of each text."""
+    cache = WordHashes()
+    for batch in table.select(["text", "t"]).to_batches():
+        start, t = 0, batch.column(1).to_numpy(zero_copy_only=False)
+        for texts in text_batches(batch.column(0)):
+            yield *_grams(texts, cache), t[start : start + len(texts)]
+            start += len(texts)
 
-def _parted(table: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The rows with the greatest counts, ``hot_rows`` at most and marked for broadcast, and all others."""
-    steps = table.groupBy(F.floor(F.log2("background")).cast("int").alias("step")).count().collect()  # at most 63 rows
-    least, total = 63, 0
-    for step, n in sorted(((r["step"], r["count"]) for r in steps), reverse=True):
-        total += n
-        if total > hot_rows:
-            break
-        least = step
-    is_hot = F.col("background") >= (1 << least if least < 63 else (1 << 63) - 1)
-    return F.broadcast(table.where(is_hot)), table.where(~is_hot)
 
+def _tallied(gram: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams in order; how often each occurs; and how often where ``target`` is set."""
+    order = np.argsort(gram, kind="stable")
+    gram, target = gram[order], target[order]
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.empty(0, np.int64)
+    return gram[first], np.diff(np.append(first, len(gram))), np.add.reduceat(target.astype(np.int64), first) if len(first) else first
 
-def _found(rows: DataFrame, parts: tuple[DataFrame, DataFrame], on: list[str], names: dict[str, str]) -> DataFrame:
-    """Rows with the counts of their key, every one of which the table has. Frequent keys never shuffle."""
-    hot, cold = (p.withColumnsRenamed(names) for p in parts)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
-    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Eight-byte numbers as bytes, first bytes first: small numbers leave long runs of zeros, which a shuffle compresses."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def counted(docs: DataFrame, target_ids: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Exact counts over all documents: (word, target, background), with START once per document, and for each bigram (a, b, target,
-    background, a_target, a_background, b_target, b_background) with those of its words."""
-    ids = target_ids.select(F.col(id_col).alias("key")).where("key is not null").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    rows = docs.select(F.col(id_col).alias("doc_id"), _hashed(F.col(text_col)).alias("words"))
-    flagged = rows.join(ids, rows["doc_id"] == ids["key"], "left").select("words", F.col("key").isNotNull().cast("long").alias("t"))
-    sums = [F.sum("t").alias("target"), F.count("*").alias("background")]
-    seen = flagged.select("t", F.explode(F.concat(F.array(F.lit(START).cast("long")), "words")).alias("word"))
-    words = scratch.write(seen.groupBy("word").agg(*sums), "words")
-    pairs = scratch.write(_bigrams(flagged, "t").groupBy("a", "b").agg(*sums), "pairs")
-    parts = _parted(words, hot_rows)
-    both = pairs
-    for x in ("a", "b"):
-        both = _found(both, parts, [x], {"word": x, "target": f"{x}_target", "background": f"{x}_background"})
-    bigrams = scratch.write(both, "bigrams")
-    scratch.drop(pairs)
-    return words, bigrams
-
-
-def score_all(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+
+def _loosened(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
+
+
+def _steps(gram: np.ndarray) -> np.ndarray:
+    """The first of ascending grams and the differences after it; ``cumsum`` gives the grams again."""
+    return np.diff(gram, prepend=np.zeros(1, np.uint64))
+
+
+def _dealt(gram: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct ascending grams: the buckets that hold any; their grams' order by bucket; and where each bucket begins and ends."""
+    bucket = ((gram >> np.uint64(1)) % np.uint64(n_parts)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    some, n = np.unique(bucket, return_counts=True)
+    return some, order, np.concatenate([[0], np.cumsum(n)])
+
+
+PACKED = "gram binary, target binary, background binary"
+
+
+def _requests(gram: np.ndarray, target: np.ndarray, n_parts: int, part: int) -> pa.RecordBatch:
+    """A row (bucket, part, gram, target, background) for each bucket: distinct grams and their counts."""
+    gram, background, target = _tallied(gram, target)
+    some, order, ends = _dealt(gram, n_parts)
+    cut = lambda x, f: pa.array([_squeezed(f(x[order[i:j]])) for i, j in zip(ends[:-1], ends[1:])], pa.binary())
+    same = lambda x: x
+    columns = [pa.array(some), pa.array(np.full(len(some), part, np.int64)), cut(gram, _steps), cut(target, same), cut(background, same)]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "part", "gram", "target", "background"])
+
+
+def _asked(parts: DataFrame, n_parts: int) -> DataFrame:
+    """For each part its own counts of grams, dealt over ``n_parts`` buckets of grams."""
+
+    def run(table: pa.Table) -> pa.Table:
+        grams, flags = [np.empty(0, np.uint64)], [np.empty(0, bool)]
+        for word, pair, length, t in _text_grams(table):
+            grams += [word, pair]
+            flags += [np.repeat(t, length + 1), np.repeat(t, length)]
+        return pa.Table.from_batches([_requests(np.concatenate(grams), np.concatenate(flags), n_parts, table.column("part")[0].as_py())])
+
+    return parts.groupBy("part").applyInArrow(run, f"bucket bigint, part bigint, {PACKED}")
+
+
+def _totals(rows: DataFrame, n_parts: int) -> dict[str, int]:
+    """n, target, background: distinct words, and their counts. Counted where the rows (text, t) lie; only counts are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, flags, n = [], [], 0
+        for batch in batches:
+            for word, _, length, t in _text_grams(pa.Table.from_batches([batch])):
+                held.append(word)
+                flags.append(np.repeat(t, length + 1))
+                n += len(word)
+                if n > 4_000_000:
+                    yield _requests(np.concatenate(held), np.concatenate(flags), n_parts, 0)
+                    held, flags, n = [], [], 0
+        if held:
+            yield _requests(np.concatenate(held), np.concatenate(flags), n_parts, 0)
+
+    def add(table: pa.Table) -> pa.Table:
+        gram, sums = _merged(table)
+        word = gram != START
+        found = [int(word.sum()), *(int(sums[c][word].sum()) for c in ("target", "background"))]
+        return pa.table({k: pa.array([v], pa.int64()) for k, v in zip(("n", "target", "background"), found)})
+
+    counts = rows.mapInArrow(run, f"bucket bigint, part bigint, {PACKED}").groupBy("bucket").applyInArrow(add, "n bigint, target bigint, background bigint")
+    return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "target", "background"))).first().asDict()
+
+
+def _merged(table: pa.Table, at: list[np.ndarray] | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Distinct grams of all rows and the sums of their counts; to ``at`` goes, for each row, where its grams are among them."""
+    each = [np.cumsum(_loosened(x, np.uint64), dtype=np.uint64) for x in table.column("gram").to_pylist()]
+    gram, place = np.unique(np.concatenate(each), return_inverse=True)
+    sums = {}
+    for c in ("target", "background"):
+        sums[c] = np.zeros(len(gram), np.int64)
+        np.add.at(sums[c], place, np.concatenate([_loosened(x, np.int64) for x in table.column(c).to_pylist()]))
+    if at is not None:
+        at += np.split(place, np.cumsum([len(x) for x in each])[:-1])
+    return gram, sums
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """For each request (part, bucket) the counts over all parts of its grams, in their order; the grams aren't sent again."""
+
+    def run(table: pa.Table) -> pa.Table:
+        at = []
+        _, sums = _merged(table, at)
+        counts = {c: pa.array([_squeezed(x[i]) for i in at], pa.binary()) for c, x in sums.items()}
+        return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), **counts})
+
+    return asked.groupBy("bucket").applyInArrow(run, "part bigint, bucket bigint, target binary, background binary")
+
+
+def score_all(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) per row of ``docs``, by models of every word and bigram of ``docs``.
 
-    Target, background, null texts and null ids are as in ``train``. A word is known by a 64-bit hash, a bigram by two. A score
-    depends on the text alone, so losses are added up by a 64-bit hash of the text; rows of one text add up as many times the
-    losses and the words, and their mean stays.
+    Target, background, null texts and null ids are as in ``train``. A word or bigram is known by a 64-bit hash. Rows are dealt
+    by id and text to parts of about ``part_bytes`` bytes of text (a longer text is in one part). Each part asks once for each of
+    its grams, so a gram has at most as many requests as there are parts, however frequent it is; requests meet by gram and the
+    exact sums return to the parts. Other columns are not read; an empty table gives an empty one; equal rows get equal scores.
     """
-    scratch = Scratch(docs.sparkSession)
-    words, bigrams = counted(docs, target_ids, scratch, id_col, text_col, hot_rows)
-    is_word = F.col("word") != START
-    total = words.where(is_word).agg(F.count("*").alias("n"), F.coalesce(F.sum("target"), F.lit(0)).alias("target"), F.coalesce(F.sum("background"), F.lit(0)).alias("background")).first()
-
-    def loss(side: str) -> Column:
-        single = (F.col(f"b_{side}") + SMOOTH) / F.lit(total[side] + SMOOTH * (total["n"] + 1))
-        pair = F.col(side) / F.greatest(F.col(f"a_{side}"), F.lit(1))
-        return -F.log(MIX * pair + (1 - MIX) * single)
-
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), _hashed(F.col(text_col)).alias("words"))
-    names = {x: x for x in ("a", "b")}
-    found = _found(_bigrams(texts, "key"), _parted(bigrams, hot_rows), ["a", "b"], names)
-    means = found.groupBy("key").agg(F.avg(loss("target")).alias("target_loss"), F.avg(loss("background")).alias("background_loss"))
-    out = texts.select("doc_id", "key", F.size("words").cast("long").alias("n_words")).join(means, "key", "left")
-    return out.select("doc_id", "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    bound_batches(docs.sparkSession)
+    ids = target_ids.select(F.col(id_col).alias("key")).where("key is not null").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = size // part_bytes + 1
+    flagged = rows.join(ids, rows["doc_id"] == ids["key"], "left")
+    parts = flagged.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)).cast("long").alias("part"), "doc_id", "text", F.col("key").isNotNull().alias("t"))
+    total = _totals(parts.select("text", "t"), n_parts)
+
+    def run(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        held = list(_text_grams(mine))
+        gram = np.unique(np.concatenate([x for word, pair, _, _ in held for x in (word, pair)]))
+        _, order, _ = _dealt(gram, n_parts)
+        count, answers = {c: np.zeros(len(gram), np.int64) for c in ("target", "background")}, answers.sort_by("bucket")
+        for c, counts in count.items():
+            counts[order] = np.concatenate([_loosened(x, np.int64) for x in answers.column(c).to_pylist()])
+        n_words, losses = [np.empty(0, np.int64)], {c: [np.empty(0)] for c in count}
+        for word, pair, length, _ in held:
+            n_words.append(length)
+            place, pairs = np.searchsorted(gram, word), np.searchsorted(gram, pair)
+            is_word = np.ones(len(word), bool)
+            is_word[np.cumsum(length + 1) - (length + 1)] = False
+            at = np.flatnonzero(is_word)
+            owner = np.repeat(np.arange(len(length)), length)
+            for c, counts in count.items():
+                single = (counts[place[at]] + SMOOTH) / (total[c] + SMOOTH * (total["n"] + 1))
+                loss = -np.log(MIX * counts[pairs] / np.maximum(counts[place[at - 1]], 1) + (1 - MIX) * single)
+                mean = np.full(len(length), np.nan)
+                np.divide(np.bincount(owner, loss, minlength=len(length)), length, out=mean, where=length > 0)
+                losses[c].append(mean)
+        n_words = np.concatenate(n_words)
+        target, background = (np.concatenate(losses[c]) for c in ("target", "background"))
+        double = lambda x: pa.array(x, pa.float64(), mask=n_words == 0)
+        return pa.table({"doc_id": mine.column("doc_id"), "n_words": pa.array(n_words), "target_loss": double(target), "background_loss": double(background), "score": double(target - background)})
+
+    answers = _answered(_asked(parts, n_parts))  # all columns, so that one shuffle of the texts serves both uses
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, f"doc_id {kind}, n_words bigint, target_loss double, background_loss double, score double")

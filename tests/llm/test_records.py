@@ -110,8 +110,8 @@ def test_losses_against_counting(spark):
             assert r["target_loss"] == pytest.approx(loss(text, sides[0])) and r["background_loss"] == pytest.approx(loss(text, sides[1]))
 
 
-@pytest.mark.parametrize("hot_rows", [0, 3, 1_000_000])
-def test_every_word_and_bigram_is_counted(spark, hot_rows):
+@pytest.mark.parametrize("part_bytes", [1000, 100_000, lm_score.PART_BYTES])
+def test_every_word_and_bigram_is_counted(spark, part_bytes):
     rng = random.Random(5)
     common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(40_000)]
     texts = [" ".join([*rng.choices(common, k=10), *rng.sample(rare, 300)]) for _ in range(300)] + ["A b  a b\n", None, "", "a b", "a b"]
@@ -136,10 +136,10 @@ def test_every_word_and_bigram_is_counted(spark, hot_rows):
     for i, t in enumerate(texts):
         w = ["<s>", *(t or "").lower().split()]
         expected[(i if i != 7 else None, len(w) - 1, *[round(loss(w, s), 9) if len(w) > 1 else None for s in sides])] += 1
-    got = lm_score.score_all(df, good, hot_rows=hot_rows).collect()
+    got = lm_score.score_all(df, good, part_bytes=part_bytes).collect()
     rounded = lambda x: None if x is None else round(x, 9)
     assert collections.Counter((r["doc_id"], r["n_words"], rounded(r["target_loss"]), rounded(r["background_loss"])) for r in got) == expected
-    assert lm_score.score_all(df.limit(0), good, hot_rows=hot_rows).count() == 0
+    assert lm_score.score_all(df.limit(0), good, part_bytes=part_bytes).count() == 0
 
 
 def test_licences(spark):
