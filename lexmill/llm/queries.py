@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, decontaminate, langid, licenses, lm_score, pii, quality, warc
+from lexmill.llm import chat, decontaminate, langid, licenses, lm_score, merkle, pii, quality, warc
 from lexmill.llm.bpe import Tokenizer
 from lexmill.llm.near_dedup import near_duplicates
 from lexmill.session import scratch_path
@@ -110,8 +110,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of documents: every row's leaf, proof and what a tampered row folds to."""
+    return merkle.document_manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_bundles, op2_lm_scoring, op3_language_id, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_chat_formatting, op7_byte_level_bpe, op8_license_scan, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_lm_scoring, op3_language_id, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_chat_formatting, op7_byte_level_bpe, op8_license_scan, op9_pii, op10_quality_rules, op11_merkle_manifest)}
 
 
 OP1 = r"""
@@ -202,6 +207,48 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed::BIGINT AS failed FROM f
 """
 
+OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, lang, n_chars,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)) AS crc
+  FROM documents
+), e AS (
+  SELECT doc_id, source, crc % 2 = 1 AS tampered,
+    concat_ws('', strlen(doc_id::VARCHAR) || ':' || doc_id, CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+      CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END, CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END) AS head,
+    text, replace(text, chr(10), '') AS bare FROM d
+), l AS (
+  SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+    CASE WHEN tampered THEN sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(bare) || ':' || bare END) END AS other FROM e
+), t AS (
+  SELECT source, 0 AS lvl, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, leaf AS h, count(*) OVER (PARTITION BY source) AS m FROM l
+  UNION ALL
+  SELECT source, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (max(m) + 2) // 3 FROM t WHERE m > 1 GROUP BY source, lvl, i // 3
+), s AS (SELECT source, lvl AS top, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS m FROM t WHERE m = 1
+), u AS (
+  SELECT 0 AS lvl, i, subroot AS h, m FROM s
+  UNION ALL
+  SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (max(m) + 2) // 3 FROM u WHERE m > 1 GROUP BY lvl, i // 3
+), root AS (SELECT h AS root, lvl AS top FROM u WHERE m = 1
+), w AS (
+  SELECT l.doc_id, l.source, l.leaf, coalesce(l.other, l.leaf) AS f, '' AS p, 0 AS step, row_number() OVER (PARTITION BY l.source ORDER BY l.doc_id) - 1 AS i, s.top AS top, s.i AS place, root.top AS over, subroot, root
+  FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source, root
+  UNION ALL
+  SELECT w.doc_id, w.source, w.leaf, sha256(coalesce(g.a, '') || w.f || coalesce(g.b, '')), w.p || coalesce(g.a, '') || coalesce(g.b, ''), w.step + 1,
+    CASE WHEN w.step + 1 = w.top THEN w.place ELSE w.i // 3 END, w.top, w.place, w.over, w.subroot, w.root
+  FROM w JOIN (
+    SELECT x.source, x.lvl, x.i, FALSE AS above, string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i) AS a, string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i) AS b
+    FROM t x JOIN t y ON x.source IS NOT DISTINCT FROM y.source AND x.lvl = y.lvl AND x.i // 3 = y.i // 3 GROUP BY x.source, x.lvl, x.i
+    UNION ALL
+    SELECT NULL, x.lvl, x.i, TRUE, string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i)
+    FROM u x JOIN u y ON x.lvl = y.lvl AND x.i // 3 = y.i // 3 GROUP BY x.lvl, x.i
+  ) g ON g.i = w.i AND ((NOT g.above AND w.step < w.top AND g.lvl = w.step AND g.source IS NOT DISTINCT FROM w.source) OR (g.above AND w.step >= w.top AND g.lvl = w.step - w.top))
+  WHERE w.step < w.top + w.over
+)
+SELECT doc_id, leaf, subroot, root, sha256(p) AS proof_sha256, f AS folded_root, f = root AS verified FROM w WHERE step = top + over
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_bundles": OP1, "op4_minhash_near_dedup": OP4, "op5_benchmark_decontamination": OP5, "op6_chat_formatting": OP6, "op10_quality_rules": OP10}
+    return {"op1_warc_bundles": OP1, "op4_minhash_near_dedup": OP4, "op5_benchmark_decontamination": OP5, "op6_chat_formatting": OP6, "op10_quality_rules": OP10, "op11_merkle_manifest": OP11}
