@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, decontaminate, langid, licenses, lm_score, merkle, pii, quality, warc
+from lexmill.llm import chat, decontaminate, hard_negatives, langid, licenses, lm_score, merkle, pii, quality, warc
 from lexmill.llm.bpe import Tokenizer
 from lexmill.llm.near_dedup import near_duplicates
 from lexmill.session import scratch_path
@@ -115,8 +115,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the rows whose id is divisible by 100; labels of those divisible by 7 are the next one."""
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_bundles, op2_lm_scoring, op3_language_id, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_chat_formatting, op7_byte_level_bpe, op8_license_scan, op9_pii, op10_quality_rules, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_lm_scoring, op3_language_id, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_chat_formatting, op7_byte_level_bpe, op8_license_scan, op9_pii, op10_quality_rules, op11_merkle_manifest, op12_hard_negatives)}
 
 
 OP1 = r"""
@@ -249,6 +256,22 @@ WITH RECURSIVE d AS (
 SELECT doc_id, leaf, subroot, root, sha256(p) AS proof_sha256, f AS folded_root, f = root AS verified FROM w WHERE step = top + over
 """
 
+OP12 = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM (SELECT anchor_id, other AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS o FROM s WHERE same) WHERE o <= 5
+), n AS (
+  SELECT p.anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_bundles": OP1, "op4_minhash_near_dedup": OP4, "op5_benchmark_decontamination": OP5, "op6_chat_formatting": OP6, "op10_quality_rules": OP10, "op11_merkle_manifest": OP11}
+    return {"op1_warc_bundles": OP1, "op4_minhash_near_dedup": OP4, "op5_benchmark_decontamination": OP5, "op6_chat_formatting": OP6, "op10_quality_rules": OP10, "op11_merkle_manifest": OP11, "op12_hard_negatives": OP12}
