@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, decontaminate, hard_negatives, langid, licenses, lm_score, merkle, pii, quality, warc
+from lexmill.llm import chat, decontaminate, hard_negatives, langid, licenses, line_quality, lm_score, merkle, pii, quality, warc
 from lexmill.llm.bpe import Tokenizer
 from lexmill.llm.near_dedup import near_duplicates
 from lexmill.session import scratch_path
@@ -122,8 +122,17 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, by a model that learns from labels of documents not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = line_quality.train(docs.where(~held_out), _table(spark, sf_dir, "labels").where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), line_quality.predict(docs, model, F.col("text"))["score"].alias("score"))
+    return found.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_bundles, op2_lm_scoring, op3_language_id, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_chat_formatting, op7_byte_level_bpe, op8_license_scan, op9_pii, op10_quality_rules, op11_merkle_manifest, op12_hard_negatives)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_lm_scoring, op3_language_id, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_chat_formatting, op7_byte_level_bpe, op8_license_scan, op9_pii, op10_quality_rules, op11_merkle_manifest, op12_hard_negatives, op13_quality_classifier)}
 
 
 OP1 = r"""
