@@ -7,13 +7,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import os
 import random
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -119,20 +119,27 @@ class Pace:
 CANDIDATE = "source_id string, jurisdiction_code string, modified_at string, content_hash string, title string"
 
 
-def _page(path: str) -> Iterator[tuple]:
-    with open(path, encoding="utf-8") as f:
-        for line in f:
+def store_of(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store of a URI, and the path in it; a plain path is a local one."""
+    return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri else (pyarrow.fs.LocalFileSystem(), uri)
+
+
+def _page(folder: str, name: str) -> Iterator[tuple]:
+    store, path = store_of(folder)
+    with store.open_input_stream(f"{path}/{name}") as f:
+        for line in f.read().decode("utf-8").splitlines():
             r = json.loads(line)
             yield tuple(r.get(c.split()[0]) for c in CANDIDATE.split(", "))
 
 
 def _pages(folder: str) -> list[str]:
-    return sorted(p for p in os.listdir(folder) if p.endswith(".jsonl"))
+    store, path = store_of(folder)
+    return sorted(f.base_name for f in store.get_file_info(pyarrow.fs.FileSelector(path)) if f.base_name.endswith(".jsonl"))
 
 
 class RecordedSource(DataSource):
-    """``spark.read.format("recorded_source").load(folder)``, and readStream: pages of recorded candidates, oldest first. The
-    folder must be one that the reading process sees."""
+    """``spark.read.format("recorded_source").load(folder)``, and readStream: pages of recorded candidates, oldest first, from
+    any store that Arrow reads."""
 
     @classmethod
     def name(cls) -> str:
@@ -157,7 +164,7 @@ class _Batch(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for name in _pages(self.folder):
-            yield from _page(os.path.join(self.folder, name))
+            yield from _page(self.folder, name)
 
 
 class _Stream(SimpleDataSourceStreamReader):
@@ -173,7 +180,7 @@ class _Stream(SimpleDataSourceStreamReader):
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         """The rows of a few pages; Spark sends this iterator between processes, so it is one over a list."""
-        return iter([row for name in _pages(self.folder)[start["page"] : end["page"]] for row in _page(os.path.join(self.folder, name))])
+        return iter([row for name in _pages(self.folder)[start["page"] : end["page"]] for row in _page(self.folder, name)])
 
 
 def register(spark) -> None:
