@@ -36,13 +36,17 @@ def last_of_each(candidates: DataFrame, order: list[str]) -> DataFrame:
     return top.select(*KEY, *[F.col(f"t.{c}").alias(c) for c in (*order, *rest)])
 
 
-def upsert(snapshot: DataFrame, offers: DataFrame, now: Column) -> DataFrame:
+def upsert(snapshot: DataFrame, offers: DataFrame, now: Column, order: str | None = None) -> DataFrame:
     """Next snapshot: new keys at revision 1, changed ones in place at the next revision, equal ones only touched. ``offers`` has
-    at most one row per key. Topics and reviews are tables of their own, so an update leaves them alone."""
-    old = snapshot.select(*KEY, F.struct("content_hash", "title", "revision", "first_seen_at", "last_seen_at").alias("o"))
-    new = offers.select(*KEY, F.struct("content_hash", "title").alias("n"))
+    at most one row per key. Topics and reviews are tables of their own, so an update leaves them alone. With ``order``, a column of both,
+    an offer that isn't after the stored one counts for nothing, so that offers may come late or twice."""
+    placed = [order] if order else []
+    old = snapshot.select(*KEY, F.struct("content_hash", "title", "revision", "first_seen_at", "last_seen_at", *placed).alias("o"))
+    new = offers.select(*KEY, F.struct("content_hash", "title", *placed).alias("n"))
     both = old.join(new, KEY, "full_outer")
     absent, unknown, same = F.col("n").isNull(), F.col("o").isNull(), F.col("n.content_hash") == F.col("o.content_hash")
+    if order:
+        absent = absent | F.coalesce(F.col(f"n.{order}") <= F.col(f"o.{order}"), F.lit(False))
     keeps = absent | F.coalesce(same, F.lit(False))
     pick = lambda c: F.when(keeps, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
     return both.select(
@@ -50,6 +54,7 @@ def upsert(snapshot: DataFrame, offers: DataFrame, now: Column) -> DataFrame:
         F.when(unknown, 1).when(keeps, F.col("o.revision")).otherwise(F.col("o.revision") + 1).alias("revision"),
         F.when(unknown, now).otherwise(F.col("o.first_seen_at")).alias("first_seen_at"),
         F.when(absent, F.col("o.last_seen_at")).otherwise(now).alias("last_seen_at"),
+        *[F.when(absent, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in placed],
     )
 
 

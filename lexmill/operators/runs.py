@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,14 @@ def failure_kinds(failures: DataFrame) -> DataFrame:
     return failures.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind")
 
 
+def failure_sample(failures: DataFrame, most: int = 20) -> DataFrame:
+    """(kind, n, sample): how many records failed by each kind, and the first ``most`` of them by pos. Every task keeps ``most`` rows of a
+    kind before anything is shuffled, so a kind with any number of failures stays small."""
+    first = failures.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("pos", "identifier"))).where(F.col("k") <= most)
+    sample = first.groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "identifier"))), lambda x: x["identifier"]).alias("sample"))
+    return failures.groupBy("kind").agg(F.count("*").alias("n")).join(sample, "kind")
+
+
 def quarantined(attempts: DataFrame, limit: int = 3) -> DataFrame:
     """Records whose last ``limit`` attempts all failed (an extension)."""
     last_ok = attempts.where("NOT failed").groupBy("source_id").agg(F.max("pos").alias("__ok"))

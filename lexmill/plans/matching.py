@@ -1,4 +1,4 @@
-"""Queries of folding, keyword matching, markup and streaming."""
+"""Queries of folding, keyword matching and markup."""
 
 from __future__ import annotations
 
@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import compose, fold
 from lexmill.operators import export, keywords, phrases
 from lexmill.plans.search import query
-from lexmill.session import scratch_path
 from lexmill.sources import markup
 from lexmill.sources import tables as t
-from lexmill.streaming.ingest import Ingest
 
 #: The test tables' letters with marks, for an oracle that strips accents.
 _FOLDED = "lower(strip_accents({}))"
@@ -102,17 +100,3 @@ def exclusion_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of every page. Held against a second parser in tests."""
     return t.table(spark, sf_dir, "pages").select("page_id", markup.html_text(F.col("html")).alias("text"))
-
-
-@query("""SELECT jurisdiction_code, source_id, content_hash FROM (
-  SELECT jurisdiction_code, source_id, 'h' || floor(value)::INT % 7 AS content_hash, row_number() OVER (PARTITION BY jurisdiction_code, source_id ORDER BY pos DESC) AS k FROM candidates WHERE NOT failed) WHERE k = 1""")
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidates as a stream, merged into a snapshot; what it holds at the end."""
-    rows = spark.readStream.schema(t.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    offers = rows.selectExpr(
-        "concat('J', user_id % 40) AS jurisdiction_code", "concat('REC:', user_id) AS source_id", "event_id AS pos", "cast(ts AS timestamp) AS modified_at",
-        "concat('h', cast(floor(value) AS int) % 7) AS content_hash", "concat('offer ', event_id) AS title", "event_type = 'error' AS failed",
-    )
-    ingest = Ingest(spark, scratch_path(spark, "ingest"))
-    ingest.run(offers)
-    return ingest.snapshot().select("jurisdiction_code", "source_id", "content_hash")

@@ -44,6 +44,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of the shared store; none if there is no such folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in store.listStatus(target)] if store.exists(target) else []
+
+
 class Scratch:
     """Tables that one computation writes to the shared folder; those it no longer needs it can drop."""
 
