@@ -1,181 +1,47 @@
 """Cross-entropy difference of documents under a target and a background n-gram model.
 
-Both models are interpolated bigram models over one vocabulary: the most frequent words of all documents, ``size`` at most, and
-``<unk>``. Word counts, and the counts of words and bigrams in target and background, are gathered from every document.
-Bigrams of word ids are counted in a fixed number of buckets, so a model is a few arrays of fixed size whatever the corpus;
-two bigrams that share a bucket share their counts, in both models alike.
+Both models are interpolated bigram models over one vocabulary: every word of all documents, the end of a text, and one unseen event.
+Every word and every bigram of all documents has an exact count of its own, in rows that grow with the input; nothing is
+capped. An event's probability after a context is MIX of its share among the context's successors and the rest of its smoothed share among
+all events; after a context that the model has never seen, the smoothed share alone. So the probabilities after any context
+sum to 1.
 
 A document's score is the mean over its words of target loss minus background loss: the lower, the more like the target.
-
-``train`` and ``score`` are that bounded model, for callers that want one of a given size. ``score_all`` has no bound: every word
-and every bigram of all documents has a count of its own, in rows that grow with the input.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from lexmill.llm.batches import bound_batches, text_batches
 from lexmill.llm.shingles import WordHashes, _mix
-from lexmill.session import materialize
 
-VOCABULARY, BUCKETS = 32_768, 1 << 18
 #: Ids (8 bytes each) of target documents that may be broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Bytes of text whose grams are counted and looked up together by ``score_all``.
+#: Bytes of text whose grams are counted and looked up together.
 PART_BYTES = 16 << 20
+#: Characters of a long text whose words are Python objects at a time.
+PIECE = 1 << 20
 #: Stands for the start of a text among the hashes of words.
 START = 0
 SMOOTH, MIX = 0.5, 0.6
-BLANK = r"[\x20\x09-\x0D]+"
-
-
-#: Steps of word counts per doubling, when the least count of the vocabulary is looked for.
-STEPS = 64
-
-
-def split_words(text: str | None) -> list[str]:
-    """Lower-cased words; ASCII white space separates."""
-    return [] if text is None else [w.decode("utf-8", "surrogatepass") for w in text.lower().encode("utf-8", "surrogatepass").split()]
-
-
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all documents."""
-    words = docs.select(F.explode(F.split(F.lower(text_col), BLANK)).alias("word")).where("word <> ''")
-    return words.groupBy("word").agg(F.count("*").alias("n"))
-
-
-def frequent(counts: DataFrame, size: int) -> dict[str, int]:
-    """Word to id, in order of the words: all words whose count reaches the least step with at most ``size`` words from there on.
 
-    Words are counted by the step of their count (a few thousand steps at most), so no task sorts the words of the corpus.
-    """
-    stepped = counts.withColumn("step", F.floor(F.log2("n") * STEPS).cast("int"))
-    cut, total = None, 0
-    for step, n in sorted(((r["step"], r["count"]) for r in stepped.groupBy("step").count().collect()), reverse=True):
-        total += n
-        if total > size:
-            break
-        cut = step
-    if cut is None:
-        return {}
-    return {w: i for i, w in enumerate(sorted(r["word"] for r in stepped.where(F.col("step") >= cut).select("word").collect()))}
-
-
-def bigram_buckets(ids: np.ndarray) -> np.ndarray:
-    """Bucket of each pair of successive ids."""
-    a, b = ids[:-1].astype(np.uint64), ids[1:].astype(np.uint64)
-    with np.errstate(over="ignore"):
-        h = (a * np.uint64(0x9E3779B97F4A7C15) ^ b) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (h >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
-
-
-def encode(texts: list[str | None], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of all texts, each text after a start id (the last one), and the length of each text."""
-    unknown, start = len(vocabulary), len(vocabulary) + 1
-    flat, length = [], []
-    for t in texts:
-        words = split_words(t)
-        flat.append(start)
-        flat += [vocabulary.get(w, unknown) for w in words]
-        length.append(len(words))
-    return np.array(flat, np.int64), np.array(length, np.int64)
-
-
-@dataclass
-class Model:
-    """Counts by word id (all words, <unk>, start) and by bigram bucket; row 0 target, row 1 background."""
-
-    vocabulary: dict[str, int]
-    words: np.ndarray
-    bigrams: np.ndarray
-
-    def losses(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean loss per word of each text (nan without words), target and background; and the texts' lengths."""
-        ids, length = encode(texts, self.vocabulary)
-        first = np.cumsum(length + 1) - (length + 1)
-        word = np.ones(len(ids), bool)
-        word[first] = False
-        at = np.flatnonzero(word)
-        bucket = bigram_buckets(ids)[at - 1] if len(at) else at
-        owner = np.repeat(np.arange(len(texts)), length)
-        out = np.full((2, len(texts)), np.nan)
-        size = len(self.vocabulary) + 1
-        for k in range(2):
-            single = (self.words[k, ids[at]] + SMOOTH) / (self.words[k, :size].sum() + SMOOTH * size)
-            context = self.words[k, ids[at - 1]]
-            pair = np.minimum(self.bigrams[k, bucket], context) / np.maximum(context, 1)
-            loss = -np.log(MIX * pair + (1 - MIX) * single)
-            np.divide(np.bincount(owner, loss, minlength=len(texts)), length, out=out[k], where=length > 0)
-        return out, length
-
-
-def _count(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """(slot, target, background) sums; docs: (text, is_target). A slot is a word id, or a bigram bucket after all words. Each
-    task adds up its documents before anything is shuffled."""
-    shared, size = docs.sparkSession.sparkContext.broadcast(vocabulary), len(vocabulary) + 2
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, size + BUCKETS), np.int64)
-        for pdf in frames:
-            target, texts, start = pdf["is_target"].to_numpy(bool), pdf["text"].tolist(), 0
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and chars < 2_000_000:
-                    chars, end = chars + len(texts[end] or ""), end + 1
-                ids, length = encode(texts[start:end], shared.value)
-                chosen = np.repeat(target[start:end], length + 1)
-                bucket, inside = bigram_buckets(ids), ids[1:] != size - 1
-                for k, mine in ((0, chosen), (1, slice(None))):
-                    total[k, :size] += np.bincount(ids[mine], minlength=size)
-                    total[k, size:] += np.bincount(bucket[inside & chosen[1:]] if k == 0 else bucket[inside], minlength=BUCKETS)
-                start = end
-        some = np.flatnonzero(total[1])
-        yield pd.DataFrame({"slot": some, "target": total[0, some], "background": total[1, some]})
-
-    parts = docs.select("text", "is_target").mapInPandas(run, "slot bigint, target bigint, background bigint")
-    return parts.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def train(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY) -> Model:
-    """Target: the documents whose id is in ``target_ids``; background: all documents. Null texts count nothing, null ids are
-    in the background only. Without target documents both losses are those of unseen words."""
-    vocabulary = frequent(materialize(word_counts(docs, text_col), "words"), size)
-    ids = target_ids.select(F.col(id_col).alias("key")).where("key is not null").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    flagged = rows.join(ids, rows["doc_id"] == ids["key"], "left").select("text", F.col("key").isNotNull().alias("is_target"))
-    counts = _count(flagged, vocabulary).toPandas()
-    total = np.zeros((2, len(vocabulary) + 2 + BUCKETS))
-    total[:, counts["slot"]] = counts[["target", "background"]].to_numpy().T
-    return Model(vocabulary, total[:, : len(vocabulary) + 2], total[:, len(vocabulary) + 2 :])
 
-
-def score(docs: DataFrame, model: Model, text: Column) -> Column:
-    """struct<n_words, target_loss, background_loss, score>; losses and score are null for texts without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @arrow_udf("struct<n_words: bigint, target_loss: double, background_loss: double, score: double>")
-    def run(column: pa.Array) -> pa.Array:
-        parts, lengths = [np.empty((2, 0))], [np.empty(0, np.int64)]
-        for texts in text_batches(column):
-            loss, length = shared.value.losses(texts)
-            parts.append(loss)
-            lengths.append(length)
-        loss, length = np.concatenate(parts, axis=1), np.concatenate(lengths)
-        none = length == 0
-        double = lambda x: pa.array(x, pa.float64(), mask=none)
-        return pa.StructArray.from_arrays([pa.array(length), double(loss[0]), double(loss[1]), double(loss[0] - loss[1])], ["n_words", "target_loss", "background_loss", "score"])
-
-    return run.asNondeterministic()(text)
+def _hashes(text: str | None, cache: WordHashes) -> Iterator[list[int]]:
+    """Hashes of a text's lower-cased words, ASCII white space between them; a long text by pieces that end at white space."""
+    data = b"" if text is None else text.lower().encode("utf-8", "surrogatepass")
+    start = 0
+    while start < len(data):
+        end = start + PIECE
+        while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        yield [cache[w] & ~1 for w in data[start:end].split()]
+        start = end
 
 
 def _grams(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,35 +51,37 @@ def _grams(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray, np.n
     """
     flat, length = [], []
     for t in texts:
-        words = [] if t is None else t.lower().encode("utf-8", "surrogatepass").split()
-        flat.append(START)
-        flat += [cache[w] & ~1 for w in words]
-        length.append(len(words))
-    word, length = np.array(flat, np.uint64), np.array(length, np.int64)
-    is_word = np.ones(len(word), bool)
-    is_word[np.cumsum(length + 1) - (length + 1)] = False
-    at = np.flatnonzero(is_word)
+        n = 0
+        flat.append(np.array([START], np.uint64))
+        for hashes in _hashes(t, cache):
+            flat.append(np.array(hashes, np.uint64))
+            n += len(hashes)
+        length.append(n)
+    word, length = np.concatenate(flat) if flat else np.empty(0, np.uint64), np.array(length, np.int64)
+    at = _words(length)
     with np.errstate(over="ignore"):
         pair = _mix(_mix(word[at - 1]) * np.uint64(0x9E3779B97F4A7C15) + word[at]) | np.uint64(1)
     return word, pair, length
 
 
-def _text_grams(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of a table with the columns text and t, some texts at a time: see ``_grams``; and t of each text."""
-    cache = WordHashes()
-    for batch in table.select(["text", "t"]).to_batches():
-        start, t = 0, batch.column(1).to_numpy(zero_copy_only=False)
-        for texts in text_batches(batch.column(0)):
-            yield *_grams(texts, cache), t[start : start + len(texts)]
-            start += len(texts)
+def _words(length: np.ndarray) -> np.ndarray:
+    """Places of words among all words with a START before each text."""
+    is_word = np.ones(int(length.sum()) + len(length), bool)
+    is_word[np.cumsum(length + 1) - (length + 1)] = False
+    return np.flatnonzero(is_word)
 
 
-def _tallied(gram: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams in order; how often each occurs; and how often where ``target`` is set."""
-    order = np.argsort(gram, kind="stable")
-    gram, target = gram[order], target[order]
-    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.empty(0, np.int64)
-    return gram[first], np.diff(np.append(first, len(gram))), np.add.reduceat(target.astype(np.int64), first) if len(first) else first
+def _part(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a table with the columns text and t: distinct grams, ascending; where each of its words, then each of its pairs, is among them;
+    the lengths of its texts, and their t."""
+    cache, found = WordHashes(), []
+    for batch in table.select(["text", "t"]).to_batches():
+        for texts in text_batches(batch.column(0)):
+            found.append(_grams(texts, cache))
+    t = table.column("t").to_numpy().astype(bool)
+    empty = np.empty(0, np.uint64)
+    gram, place = np.unique(np.concatenate([*(f[0] for f in found), *(f[1] for f in found), empty]), return_inverse=True)
+    return gram, place, np.concatenate([*(f[2] for f in found), np.empty(0, np.int64)]), t
 
 
 def _squeezed(numbers: np.ndarray) -> bytes:
@@ -241,74 +109,53 @@ def _dealt(gram: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.n
 PACKED = "gram binary, target binary, background binary"
 
 
-def _requests(gram: np.ndarray, target: np.ndarray, n_parts: int, part: int) -> pa.RecordBatch:
-    """A row (bucket, part, gram, target, background) for each bucket: distinct grams and their counts."""
-    gram, background, target = _tallied(gram, target)
-    some, order, ends = _dealt(gram, n_parts)
-    cut = lambda x, f: pa.array([_squeezed(f(x[order[i:j]])) for i, j in zip(ends[:-1], ends[1:])], pa.binary())
-    same = lambda x: x
-    columns = [pa.array(some), pa.array(np.full(len(some), part, np.int64)), cut(gram, _steps), cut(target, same), cut(background, same)]
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "part", "gram", "target", "background"])
-
-
 def _asked(parts: DataFrame, n_parts: int) -> DataFrame:
-    """For each part its own counts of grams, dealt over ``n_parts`` buckets of grams."""
+    """(bucket, part, gram, target, background): for each part its distinct grams and their counts in it, dealt over ``n_parts`` buckets of grams."""
 
     def run(table: pa.Table) -> pa.Table:
-        grams, flags = [np.empty(0, np.uint64)], [np.empty(0, bool)]
-        for word, pair, length, t in _text_grams(table):
-            grams += [word, pair]
-            flags += [np.repeat(t, length + 1), np.repeat(t, length)]
-        return pa.Table.from_batches([_requests(np.concatenate(grams), np.concatenate(flags), n_parts, table.column("part")[0].as_py())])
+        gram, place, length, t = _part(table)
+        background = np.bincount(place, minlength=len(gram))
+        target = np.bincount(place, np.concatenate([np.repeat(t, length + 1), np.repeat(t, length)]), len(gram)).astype(np.int64)
+        some, order, ends = _dealt(gram, n_parts)
+        cut = lambda x, f: pa.array([_squeezed(f(x[order[i:j]])) for i, j in zip(ends[:-1], ends[1:])], pa.binary())
+        same = lambda x: x
+        part = np.full(len(some), table.column("part")[0].as_py(), np.int64)
+        return pa.table({"bucket": pa.array(some), "part": pa.array(part), "gram": cut(gram, _steps), "target": cut(target, same), "background": cut(background, same)})
 
     return parts.groupBy("part").applyInArrow(run, f"bucket bigint, part bigint, {PACKED}")
 
 
-def _totals(rows: DataFrame, n_parts: int) -> dict[str, int]:
-    """n, target, background: distinct words, and their counts. Counted where the rows (text, t) lie; only counts are shuffled."""
+def _merged(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], dict[str, np.ndarray]]:
+    """Distinct grams of all rows; for each row, where its grams are among them; and the sums of their counts."""
+    each = [np.cumsum(_loosened(x, np.uint64), dtype=np.uint64) for x in table.column("gram").to_pylist()]
+    gram, place = np.unique(np.concatenate(each), return_inverse=True)
+    counts = {c: np.concatenate([_loosened(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("target", "background")}
+    sums = {c: np.bincount(place, n, len(gram)).astype(np.int64) for c, n in counts.items()}  # doubles are exact up to 2**53
+    return gram, np.split(place, np.cumsum([len(x) for x in each])[:-1]), sums
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, flags, n = [], [], 0
-        for batch in batches:
-            for word, _, length, t in _text_grams(pa.Table.from_batches([batch])):
-                held.append(word)
-                flags.append(np.repeat(t, length + 1))
-                n += len(word)
-                if n > 4_000_000:
-                    yield _requests(np.concatenate(held), np.concatenate(flags), n_parts, 0)
-                    held, flags, n = [], [], 0
-        if held:
-            yield _requests(np.concatenate(held), np.concatenate(flags), n_parts, 0)
+TOTALS = ("n", "target", "background", "target_texts", "background_texts")
 
-    def add(table: pa.Table) -> pa.Table:
-        gram, sums = _merged(table)
-        word = gram != START
-        found = [int(word.sum()), *(int(sums[c][word].sum()) for c in ("target", "background"))]
-        return pa.table({k: pa.array([v], pa.int64()) for k, v in zip(("n", "target", "background"), found)})
 
-    counts = rows.mapInArrow(run, f"bucket bigint, part bigint, {PACKED}").groupBy("bucket").applyInArrow(add, "n bigint, target bigint, background bigint")
-    return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "target", "background"))).first().asDict()
+def _totals(asked: DataFrame) -> DataFrame:
+    """One row: distinct words, and of both sides how many words and texts there are."""
 
+    def run(table: pa.Table) -> pa.Table:
+        gram, _, sums = _merged(table)
+        start = gram == START
+        word = (gram & np.uint64(1) == 0) & ~start
+        found = [int(word.sum()), *(int(sums[c][which].sum()) for which in (word, start) for c in ("target", "background"))]
+        return pa.table({k: pa.array([v], pa.int64()) for k, v in zip(TOTALS, found)})
 
-def _merged(table: pa.Table, at: list[np.ndarray] | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Distinct grams of all rows and the sums of their counts; to ``at`` goes, for each row, where its grams are among them."""
-    each = [np.cumsum(_loosened(x, np.uint64), dtype=np.uint64) for x in table.column("gram").to_pylist()]
-    gram, place = np.unique(np.concatenate(each), return_inverse=True)
-    sums = {}
-    for c in ("target", "background"):
-        sums[c] = np.zeros(len(gram), np.int64)
-        np.add.at(sums[c], place, np.concatenate([_loosened(x, np.int64) for x in table.column(c).to_pylist()]))
-    if at is not None:
-        at += np.split(place, np.cumsum([len(x) for x in each])[:-1])
-    return gram, sums
+    counts = asked.groupBy("bucket").applyInArrow(run, ", ".join(f"{c} bigint" for c in TOTALS))
+    return counts.agg(F.struct(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS)).alias("totals"))
 
 
 def _answered(asked: DataFrame) -> DataFrame:
     """For each request (part, bucket) the counts over all parts of its grams, in their order; the grams aren't sent again."""
 
     def run(table: pa.Table) -> pa.Table:
-        at = []
-        _, sums = _merged(table, at)
+        _, at, sums = _merged(table)
         counts = {c: pa.array([_squeezed(x[i]) for i in at], pa.binary()) for c, x in sums.items()}
         return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), **counts})
 
@@ -318,10 +165,13 @@ def _answered(asked: DataFrame) -> DataFrame:
 def score_all(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) per row of ``docs``, by models of every word and bigram of ``docs``.
 
-    Target, background, null texts and null ids are as in ``train``. A word or bigram is known by a 64-bit hash. Rows are dealt
-    by id and text to parts of about ``part_bytes`` bytes of text (a longer text is in one part). Each part asks once for each of
-    its grams, so a gram has at most as many requests as there are parts, however frequent it is; requests meet by gram and the
-    exact sums return to the parts. Other columns are not read; an empty table gives an empty one; equal rows get equal scores.
+    Target: the documents whose id is in ``target_ids``; background: all documents. Null texts have no words, null ids are in the
+    background only; losses and score are null without words. A word or bigram is known by a 64-bit hash. Rows are dealt by their place, so
+    that equal rows are spread like others, to parts of about ``part_bytes`` bytes of text; ``docs`` must give the same rows when it is
+    read again, as a table does. A longer text is in one part: its grams take some 100 bytes a word there, its words only a piece at
+    a time. Each part asks once for each of its grams, so a gram has at most as many requests as there are parts, however frequent it
+    is; requests meet by gram and the exact sums return to the parts. Other columns are not read; an empty table gives an empty
+    one; equal rows get equal scores.
     """
     bound_batches(docs.sparkSession)
     ids = target_ids.select(F.col(id_col).alias("key")).where("key is not null").distinct()
@@ -329,36 +179,32 @@ def score_all(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = size // part_bytes + 1
-    flagged = rows.join(ids, rows["doc_id"] == ids["key"], "left")
-    parts = flagged.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)).cast("long").alias("part"), "doc_id", "text", F.col("key").isNotNull().alias("t"))
-    total = _totals(parts.select("text", "t"), n_parts)
+    placed = rows.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_parts)).cast("long"))
+    parts = placed.join(ids, placed["doc_id"] == ids["key"], "left").select("part", "doc_id", "text", F.col("key").isNotNull().alias("t"))
 
     def run(mine: pa.Table, answers: pa.Table) -> pa.Table:
-        held = list(_text_grams(mine))
-        gram = np.unique(np.concatenate([x for word, pair, _, _ in held for x in (word, pair)]))
+        gram, place, length, _ = _part(mine)
         _, order, _ = _dealt(gram, n_parts)
-        count, answers = {c: np.zeros(len(gram), np.int64) for c in ("target", "background")}, answers.sort_by("bucket")
-        for c, counts in count.items():
+        answers = answers.sort_by("bucket")
+        total = answers.column("totals")[0].as_py()
+        at = _words(length)
+        n = len(length) + int(length.sum())
+        event, context, pair = place[:n][at], place[:n][at - 1], place[n:]
+        owner = np.repeat(np.arange(len(length)), length)
+        losses = []
+        for c in ("target", "background"):
+            counts = np.empty(len(gram), np.int64)
             counts[order] = np.concatenate([_loosened(x, np.int64) for x in answers.column(c).to_pylist()])
-        n_words, losses = [np.empty(0, np.int64)], {c: [np.empty(0)] for c in count}
-        for word, pair, length, _ in held:
-            n_words.append(length)
-            place, pairs = np.searchsorted(gram, word), np.searchsorted(gram, pair)
-            is_word = np.ones(len(word), bool)
-            is_word[np.cumsum(length + 1) - (length + 1)] = False
-            at = np.flatnonzero(is_word)
-            owner = np.repeat(np.arange(len(length)), length)
-            for c, counts in count.items():
-                single = (counts[place[at]] + SMOOTH) / (total[c] + SMOOTH * (total["n"] + 1))
-                loss = -np.log(MIX * counts[pairs] / np.maximum(counts[place[at - 1]], 1) + (1 - MIX) * single)
-                mean = np.full(len(length), np.nan)
-                np.divide(np.bincount(owner, loss, minlength=len(length)), length, out=mean, where=length > 0)
-                losses[c].append(mean)
-        n_words = np.concatenate(n_words)
-        target, background = (np.concatenate(losses[c]) for c in ("target", "background"))
-        double = lambda x: pa.array(x, pa.float64(), mask=n_words == 0)
-        return pa.table({"doc_id": mine.column("doc_id"), "n_words": pa.array(n_words), "target_loss": double(target), "background_loss": double(background), "score": double(target - background)})
-
-    answers = _answered(_asked(parts, n_parts))  # all columns, so that one shuffle of the texts serves both uses
+            single = (counts + SMOOTH) / (total[c] + total[f"{c}_texts"] + SMOOTH * (total["n"] + 2))
+            seen = counts[context]
+            p = np.where(seen > 0, MIX * counts[pair] / np.maximum(seen, 1) + (1 - MIX) * single[event], single[event])
+            mean = np.full(len(length), np.nan)
+            np.divide(np.bincount(owner, -np.log(p), minlength=len(length)), length, out=mean, where=length > 0)
+            losses.append(mean)
+        double = lambda x: pa.array(x, pa.float64(), mask=length == 0)
+        return pa.table({"doc_id": mine.column("doc_id"), "n_words": pa.array(length), "target_loss": double(losses[0]), "background_loss": double(losses[1]), "score": double(losses[0] - losses[1])})
+
+    asked = _asked(parts, n_parts)  # one shuffle of the texts, and one of the requests, serve both uses
+    answers = _answered(asked).withColumn("totals", _totals(asked).scalar())
     kind = rows.schema["doc_id"].dataType.simpleString()
     return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, f"doc_id {kind}, n_words bigint, target_loss double, background_loss double, score double")

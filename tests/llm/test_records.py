@@ -78,60 +78,34 @@ def test_quality(spark):
     assert quality.ledger(df.limit(0)).count() == 0
 
 
-def test_losses_against_counting(spark):
-    texts = ["a b a b c", "b c d", None, "", "A b", "z z z", "a b c d e f g"]
-    df = spark.createDataFrame([(i, t, 0.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
-    good = spark.createDataFrame([(0,), (0,), (4,), (None,)], "doc_id long")
-    model = lm_score.train(df, good, size=5)
-    counted = collections.Counter(w for t in texts if t for w in t.lower().split())
-    assert set(model.vocabulary) <= set(counted) and len(model.vocabulary) <= 5
-    assert min(counted[w] for w in model.vocabulary) > max([counted[w] for w in counted if w not in model.vocabulary])
-    name = lambda w: w if w in model.vocabulary else "<unk>"
-    sides = []
-    for ids in ((0, 4), range(len(texts))):
-        one, two = collections.Counter(), collections.Counter()
-        for i in ids:
-            w = ["<s>", *map(name, (texts[i] or "").lower().split())]
-            one.update(w)
-            two.update(zip(w, w[1:]))
-        sides.append((one, two, sum(n for x, n in one.items() if x != "<s>")))
-
-    def loss(text, side):
-        one, two, total = side
-        w = ["<s>", *map(name, text.lower().split())]
-        each = [-math.log(lm_score.MIX * two[a, b] / max(one[a], 1) + (1 - lm_score.MIX) * (one[b] + lm_score.SMOOTH) / (total + lm_score.SMOOTH * (len(model.vocabulary) + 1))) for a, b in zip(w, w[1:])]
-        return sum(each) / len(each)
-
-    for r in df.select("doc_id", lm_score.score(df, model, F.col("text")).alias("s")).select("doc_id", "s.*").collect():
-        text = texts[r["doc_id"]]
-        if not text:
-            assert r["score"] is None and r["n_words"] == 0
-        else:
-            assert r["target_loss"] == pytest.approx(loss(text, sides[0])) and r["background_loss"] == pytest.approx(loss(text, sides[1]))
+def counted(texts, ids):
+    """Counts of words (with the start of each text) and of pairs, how many events there are, by counting."""
+    one, two = collections.Counter(), collections.Counter()
+    for i in ids:
+        w = ["<s>", *(texts[i] or "").lower().split()]
+        one.update(w)
+        two.update(zip(w, w[1:]))
+    return one, two, sum(one.values())  # a start for each end
+
+
+def chance(a, b, side, size):
+    """Of the event b after a, under a model of the counts; size: distinct words of all documents."""
+    one, two, events = side
+    single = (one[b] + lm_score.SMOOTH) / (events + lm_score.SMOOTH * (size + 2))
+    return lm_score.MIX * two[a, b] / one[a] + (1 - lm_score.MIX) * single if one[a] else single
 
 
 @pytest.mark.parametrize("part_bytes", [1000, 100_000, lm_score.PART_BYTES])
-def test_every_word_and_bigram_is_counted(spark, part_bytes):
+def test_every_word_and_bigram_is_counted(spark, part_bytes, monkeypatch):
+    monkeypatch.setattr(lm_score, "PIECE", 700)
     rng = random.Random(5)
     common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(40_000)]
     texts = [" ".join([*rng.choices(common, k=10), *rng.sample(rare, 300)]) for _ in range(300)] + ["A b  a b\n", None, "", "a b", "a b"]
     df = spark.createDataFrame([(i if i != 7 else None, t, 0.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
     good = spark.createDataFrame([(i,) for i in (0, 0, 7, 8, 300, 301, None)], "doc_id long")
-    sides = []
-    for ids in ((0, 8, 300, 301), range(len(texts))):
-        one, two = collections.Counter(), collections.Counter()
-        for i in ids:
-            w = ["<s>", *(texts[i] or "").lower().split()]
-            one.update(w)
-            two.update(zip(w, w[1:]))
-        sides.append((one, two, sum(n for x, n in one.items() if x != "<s>")))
-    size = len(sides[1][0])  # all words, <s> in the place of <unk>
-    assert size > lm_score.VOCABULARY
-
-    def loss(w, side):
-        one, two, total = side
-        return sum(-math.log(lm_score.MIX * two[a, b] / max(one[a], 1) + (1 - lm_score.MIX) * (one[b] + lm_score.SMOOTH) / (total + lm_score.SMOOTH * size)) for a, b in zip(w, w[1:])) / (len(w) - 1)
-
+    sides = [counted(texts, ids) for ids in ((0, 8, 300, 301), range(len(texts)))]
+    size = len(sides[1][0]) - 1
+    loss = lambda w, side: sum(-math.log(chance(a, b, side, size)) for a, b in zip(w, w[1:])) / (len(w) - 1)
     expected = collections.Counter()
     for i, t in enumerate(texts):
         w = ["<s>", *(t or "").lower().split()]
@@ -142,6 +116,36 @@ def test_every_word_and_bigram_is_counted(spark, part_bytes):
     assert lm_score.score_all(df.limit(0), good, part_bytes=part_bytes).count() == 0
 
 
+def test_probabilities_sum_to_one(spark):
+    """After a context that the target has seen, one that ends a text, one it has never seen, and the start: the chances of all words as the
+    operator gives them, and those of the end and of the unseen event, are 1 together."""
+    target = ["a b a b c", "b c d", "z", ""]
+    words = ["a", "b", "c", "d", "z", "new", "other"]
+    probes = [w for w in words] + [f"{c} {w}" for c in words for w in words]
+    df = spark.createDataFrame(list(enumerate(target + probes)), "doc_id long, text string")
+    got = {r["text"]: r["target_loss"] * r["n_words"] for r in lm_score.score_all(df, df.where(f"doc_id < {len(target)}").select("doc_id")).join(df, "doc_id").where(f"doc_id >= {len(target)}").collect()}
+    one, two, events = counted(target, range(len(target)))
+    smooth = events + lm_score.SMOOTH * (len(words) + 2)
+    for c in ["", *words]:
+        given = sum(math.exp((got[c] if c else 0.0) - got[f"{c} {w}".strip()]) for w in words)
+        context = c or "<s>"
+        ends = one[context] - sum(n for (a, _), n in two.items() if a == context)
+        end = (one["<s>"] + lm_score.SMOOTH) / smooth
+        end = lm_score.MIX * ends / one[context] + (1 - lm_score.MIX) * end if one[context] else end
+        unseen = lm_score.SMOOTH / smooth * (1 - lm_score.MIX if one[context] else 1)
+        assert given + end + unseen == pytest.approx(1.0)
+
+
+def test_equal_rows_are_dealt_over_the_parts(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    df = spark.createDataFrame([(1, text)] * 400, "doc_id long, text string").repartition(8).persist()
+    n = 400 * len(text) // 10_000
+    parts = df.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).alias("p")).groupBy("p").count().collect()
+    assert max(r["count"] for r in parts) < 5 * 400 / n
+    got = lm_score.score_all(df, df.select("doc_id"), part_bytes=10_000).select("score", "n_words").distinct().collect()
+    assert len(got) == 1 and got[0]["score"] == pytest.approx(0.0)
+
+
 def test_licences(spark):
     mit = "Released under the MIT License."
     rows = [
