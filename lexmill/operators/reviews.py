@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SORTS = {
-    "flagged_desc": [F.desc, "flagged_on"], "flagged_asc": [F.asc, "flagged_on"],
-    "score_asc": [F.asc_nulls_first, "score"], "score_desc": [F.desc_nulls_last, "score"],
-}
+from lexmill.operators.search import Key, beyond
+
+#: Sort to what it sorts by, whether downwards, and whether nulls come first. Ids break ties the same way.
+SORTS = {"flagged_desc": ("flagged_on", True, False), "flagged_asc": ("flagged_on", False, True), "score_asc": ("score", False, True), "score_desc": ("score", True, False)}
+
+
+def keys(sort: str) -> list[Key]:
+    column, descending, nulls_first = SORTS[sort]
+    return [Key(F.col(column), descending, nulls_first), Key(F.col("id"), descending)]
 
 
 def queue(reviews: DataFrame, cases: DataFrame, sort: str, statuses: tuple[str, ...] = ("pending",), jurisdictions: tuple[str, ...] = (), list_version: str | None = None, decided_by: str | None = None) -> DataFrame:
     """Reviews by status, jurisdiction of their case, list version and who decided, in a total order; no status means any."""
-    by, column = SORTS[sort]
     rows = _chosen(reviews, cases, statuses, jurisdictions, list_version, decided_by)
-    return rows.orderBy(by(column), F.desc("id") if sort.endswith("desc") else F.asc("id"))
+    return rows.orderBy(*[k.sort() for k in keys(sort)])
+
+
+def queue_after(queued: DataFrame, sort: str, values: list, size: int) -> DataFrame:
+    """The reviews of ``queue`` that follow the one with these values of its keys."""
+    return queued.where(beyond(keys(sort), values)).orderBy(*[k.sort() for k in keys(sort)]).limit(size)
 
 
 def count(reviews: DataFrame, cases: DataFrame, statuses: tuple[str, ...] = ("pending",), jurisdictions: tuple[str, ...] = (), list_version: str | None = None, decided_by: str | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import datetime as dt
+import json
 import re
 from dataclasses import dataclass, replace
 from urllib.parse import parse_qsl, urlencode
@@ -18,6 +20,31 @@ CODE, SLUG = re.compile(r"[A-Z0-9]{2,8}"), re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*
 SORTS = ("date_desc", "date_asc", "relevance")
 
 
+@dataclass(frozen=True)
+class Key:
+    """A part of an order: what it sorts by, which way, and whether nulls come first."""
+
+    column: Column
+    descending: bool
+    nulls_first: bool = False
+
+    def of(self, column: Column) -> Key:
+        return replace(self, column=column)
+
+    def sort(self, reverse: bool = False) -> Column:
+        down, first = self.descending != reverse, self.nulls_first != reverse
+        if down:
+            return self.column.desc_nulls_first() if first else self.column.desc_nulls_last()
+        return self.column.asc_nulls_first() if first else self.column.asc_nulls_last()
+
+    def after(self, value: object) -> Column:
+        """Whether the row comes strictly after one with this value."""
+        if value is None:
+            return self.column.isNotNull() if self.nulls_first else F.lit(False)
+        further = self.column < F.lit(value) if self.descending else self.column > F.lit(value)
+        return F.coalesce(further, F.lit(not self.nulls_first))
+
+
 @dataclass(frozen=True)
 class Criteria:
     """A logical query. Empty parts filter nothing."""
@@ -114,17 +141,21 @@ def matching(cases: DataFrame, c: Criteria, documents: DataFrame | None = None,
     return out
 
 
-def order(c: Criteria) -> list[Column]:
-    """Total orders: every one ends on the id. Cases without a date come last, either way."""
+def keys(c: Criteria) -> list[Key]:
+    """What cases are ordered by: every order is total, as it ends on the id. Cases without a date come last, either way."""
     if c.sort == "date_asc":
-        return [F.asc_nulls_last("decision_date"), F.asc("id")]
-    by_date = [F.desc_nulls_last("decision_date"), F.desc("id")]
+        return [Key(F.col("decision_date"), False), Key(F.col("id"), False)]
+    by_date = [Key(F.col("decision_date"), True), Key(F.col("id"), True)]
     if c.sort == "relevance" and c.term:
         hit = lambda name: F.coalesce(contains_folded(F.col(name), c.term), F.lit(False))
-        return [F.when(hit("title"), 0).when(hit("abstract"), 1).otherwise(2), *by_date]
+        return [Key(F.when(hit("title"), 0).when(hit("abstract"), 1).otherwise(2), False), *by_date]
     return by_date
 
 
+def order(c: Criteria) -> list[Column]:
+    return [k.sort() for k in keys(c)]
+
+
 def page(found: DataFrame, c: Criteria, number: int = 1, size: int = PAGE_DEFAULT) -> DataFrame:
     """One page, as offset and limit over a total order. For deep reads use ``after``."""
     if number < 1 or size < 1:
@@ -132,6 +163,46 @@ def page(found: DataFrame, c: Criteria, number: int = 1, size: int = PAGE_DEFAUL
     return found.orderBy(*order(c)).offset((number - 1) * size).limit(size)
 
 
+def beyond(by: list[Key], values: list) -> Column:
+    """Whether a row comes after the row that has these values, in an order over several columns that may be null."""
+    out, equal = F.lit(False), F.lit(True)
+    for key, value in zip(by, values, strict=True):
+        out, equal = out | (equal & key.after(value)), equal & key.column.eqNullSafe(F.lit(value))
+    return out
+
+
+def page_after(found: DataFrame, c: Criteria, cursor: str | None = None, size: int = PAGE_DEFAULT) -> DataFrame:
+    """The page that follows ``cursor`` (see ``cursor_of``), or the first one. Unlike an offset it costs the same at any depth, and loses
+    or repeats no row when cases come or go between two pages."""
+    if size < 1:
+        raise ValueError("size: 1 at least")
+    by = keys(c)
+    rows = found if cursor is None else found.where(beyond(by, _values(cursor, c)))
+    return rows.orderBy(*[k.sort() for k in by]).limit(size)
+
+
+def cursor_of(page_: DataFrame, c: Criteria) -> str | None:
+    """Cursor of a page's last row, as an opaque text; none for an empty page."""
+    by = keys(c)
+    last = page_.select(*[k.column.alias(f"k{i}") for i, k in enumerate(by)]).orderBy(*[k.of(F.col(f"k{i}")).sort(reverse=True) for i, k in enumerate(by)]).first()
+    if last is None:
+        return None
+    values = [x.isoformat() if isinstance(x, dt.date) else x for x in last]
+    return base64.urlsafe_b64encode(json.dumps([c.to_query(), values]).encode()).decode().rstrip("=")
+
+
+def _values(cursor: str, c: Criteria) -> list:
+    """Values of a cursor; one that is damaged, or belongs to another search, is an error."""
+    try:
+        query, values = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))
+        *rank, day, last_id = values
+        if query != c.to_query() or len(values) != len(keys(c)) or not all(type(x) is int for x in (*rank, last_id)):
+            raise ValueError
+        return [*rank, None if day is None else dt.date.fromisoformat(day), last_id]
+    except (ValueError, TypeError) as e:
+        raise ValueError("cursor: not one of this search") from e
+
+
 def after(found: DataFrame, last_id: int, size: int) -> DataFrame:
     """The next rows by id; costs the same at any depth."""
     return found.where(F.col("id") > last_id).orderBy("id").limit(size)

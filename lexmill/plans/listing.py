@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions.streams import joined_in_order
 from lexmill.operators import display, offers
 from lexmill.plans.search import query
 from lexmill.sources import tables as t
@@ -52,4 +53,4 @@ def reader_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("turn") % 3 == 0, "opinion").when(F.col("turn") % 3 == 1, "judgment").otherwise("appendix")
     docs = t.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("id"), F.col("role").alias("language"), "text", kind.alias("doc_type"))
     ranked = display.reading_order(docs, F.lit("user"))
-    return ranked.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("rank")), lambda r: r["id"].cast("string")), ",").alias("reading"))
+    return joined_in_order(ranked, "case_id", [F.col("rank")], F.col("id").cast("string"), ",").select("case_id", F.col("value").alias("reading"))

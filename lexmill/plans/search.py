@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions.streams import joined_in_order
 from lexmill.functions.text import clean, paragraphs, word_count
-from lexmill.operators import export, mirror, search, stats
+from lexmill.operators import detail, export, mirror, search, stats
 from lexmill.operators.search import Criteria
 from lexmill.sources import tables as t
 
@@ -101,6 +102,31 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.after(_found(spark, sf_dir, Criteria()), 100, 50).select(_SUMMARY)
 
 
+_ORDERS = {
+    "date_desc": "decision_date DESC NULLS LAST, id DESC", "date_asc": "decision_date ASC NULLS LAST, id ASC",
+    "relevance": "CASE WHEN contains(lower(title), 'the') THEN 0 WHEN contains(lower(abstract), 'the') THEN 1 ELSE 2 END, decision_date DESC NULLS LAST, id DESC",
+}
+_CURSOR = " UNION ALL ".join(f"""SELECT '{sort}' AS sort, (place - 1) // {{size}} AS page, (place - 1) % {{size}} AS place, id FROM (
+  SELECT id, row_number() OVER (ORDER BY {by}) AS place FROM cases WHERE is_published AND jurisdiction_code = 'DE' {"AND (contains(lower(title), 'the') OR contains(lower(abstract), 'the') OR contains(lower(source_id), 'the'))" if sort == 'relevance' else ''}) WHERE place <= 4 * {{size}}""" for sort, by in _ORDERS.items())
+
+
+@query(_CURSOR.format(size=30))
+def case_cursor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four pages of each order, each page asked for by the cursor of the one before."""
+    out = None
+    for sort in _ORDERS:
+        c = Criteria(term="the" if sort == "relevance" else None, jurisdictions=("DE",), sort=sort)
+        found, cursor = _found(spark, sf_dir, c), None
+        for number in range(4):
+            rows = search.page_after(found, c, cursor, 30)
+            ids = rows.agg(F.collect_list("id").alias("ids"))
+            listed = ids.select(F.lit(sort).alias("sort"), F.lit(number).cast("long").alias("page"), F.posexplode("ids").alias("place", "id")).withColumn("place", F.col("place").cast("long"))
+            out = listed if out is None else out.unionByName(listed)
+            if (cursor := search.cursor_of(rows, c)) is None:
+                break
+    return out
+
+
 _STATS = """SELECT code, name, map_feature_id, count(c.id) AS case_count, max(c.decision_date) AS latest_decision
 FROM jurisdiction j LEFT JOIN cases c ON c.jurisdiction_code = j.code AND c.is_published GROUP BY ALL"""
 
@@ -169,6 +195,60 @@ def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "source_id", "jurisdiction", "title", "decision_date", "revision", "is_published", "review_status")
 
 
+#: The further fields of a case, and the child tables, as projections of the given tables: the same SQL for both engines but for casts.
+_FURTHER = {
+    "source_system": "'portal'", "publication_date": "CASE WHEN id % 6 <> 0 THEN '2024-02-0' || (1 + id % 9) END", "case_numbers": "'A' || id || '|B' || (id % 7)", "law_subfield": "CASE WHEN id % 4 <> 3 THEN 'branch-' || (id % 3) END",
+    "procedure_type": "CASE WHEN id % 5 = 0 THEN 'appeal' END", "outcome": "CASE WHEN id % 9 = 0 THEN 'dismissed' END", "source_url": "'https://x.example/' || id", "filing_date": "CASE WHEN id % 8 = 0 THEN '2023-12-31' END",
+    "first_seen_at": "'2024-01-01'", "last_seen_at": "'2024-03-0' || (1 + id % 9)", "updated_at": "'2024-02-02'",
+}
+_COURTS = "SELECT DISTINCT n_nationkey AS id, 'Court ' || n_name AS name FROM nation WHERE n_nationkey % 6 <> 5"
+_LISTS = {
+    "documents": ("conversations", "conv_id", {"id": "turn", "language": "role", "doc_type": "CASE turn % 3 WHEN 0 THEN 'opinion' WHEN 1 THEN 'judgment' ELSE 'other' END", "format": "'xml'", "full_text": "text", "source_url": "NULL", "byte_size": "octet_length(text)", "retrieved_at": "'2024-01-01'"}),
+    "parties": ("orders", "o_custkey", {"ordinal": "o_orderkey", "id": "o_orderkey", "name": "'P' || (o_orderkey % 100)", "role": "o_orderstatus", "party_type": "NULL"}),
+    "topics": ("part", "p_partkey", {"slug": "'topic-' || p_size", "label": "p_brand", "confidence": "p_size", "assigned_by": "'rule'"}),
+    "keyword_matches": ("labels", "doc_id", {"id": "doc_id", "term_id": "'t' || (doc_id % 40)", "term": "'term ' || (doc_id % 40)", "list_version": "'v1'", "field": "CASE WHEN quality = 1 THEN 'title' ELSE 'abstract' END", "weight_applied": "1 + toxic", "match_count": "1 + doc_id % 3", "snippet": "NULL"}),
+    "citations": ("lineitem", "l_orderkey", {"position": "l_linenumber", "target_identifier": "'P' || l_partkey", "target_scheme": "'ecli'", "citation_type": "l_returnflag", "target_title": "NULL", "target_url": "NULL"}),
+}
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    further = {k: f"split({v}, '[|]')" if k == "case_numbers" else v for k, v in _FURTHER.items()}
+    return t.cases(spark, sf_dir).selectExpr("*", *[f"{v} AS {k}" for k, v in further.items()])
+
+
+def _courts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.table(spark, sf_dir, "nation").where("n_nationkey % 6 <> 5").selectExpr("n_nationkey AS id", "'Court ' || n_name AS name").distinct()
+
+
+_SUMMARY_SQL = ", ".join({"jurisdiction_name": "j.name AS jurisdiction_name", "court_name": "k.name AS court_name"}.get(f) or (f"{_FURTHER[f]} AS {f}" if f in _FURTHER else f"c.{f}::VARCHAR AS {f}" if f == "decision_date" else f"c.{f}") for f in detail.SUMMARY).replace("id %", "c.id %").replace("|| id", "|| c.id")
+_SUMMARY_FROM = f"FROM cases c LEFT JOIN jurisdiction j ON j.code = c.jurisdiction_code LEFT JOIN ({_COURTS}) k ON k.id = c.court_id"
+
+
+@query(f"SELECT {_SUMMARY_SQL} {_SUMMARY_FROM}")
+def case_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 18 fields of every case."""
+    rows = detail.summary(_whole(spark, sf_dir), t.jurisdictions(spark), _courts(spark, sf_dir))
+    return rows.withColumns({"case_numbers": F.array_join("case_numbers", "|"), "decision_date": F.col("decision_date").cast("string")})
+
+
+def _list_sql(name: str) -> str:
+    table, key, fields = _LISTS[name]
+    row = " || '/' || ".join(f"coalesce(({v})::VARCHAR, '-')" for v in fields.values()).replace("octet_length(text)", "strlen(text)")
+    first = next(iter(fields.values()))
+    return f"LEFT JOIN (SELECT {key} AS k, count(*) AS n_{name}, md5(string_agg({row}, chr(10) ORDER BY {first}, {row})) AS {name} FROM {table} GROUP BY 1) x_{name} ON x_{name}.k = c.id"
+
+
+@query(f"""SELECT c.id, j.name AS jurisdiction_name, k.name AS court_name, c.title, c.revision, {_FURTHER['last_seen_at']} AS last_seen_at, {', '.join(f'coalesce(n_{name}, 0) AS n_{name}, {name}' for name in _LISTS)}
+{_SUMMARY_FROM} {' '.join(map(_list_sql, _LISTS))}""".replace("(1 + id % 9)", "(1 + c.id % 9)"))
+def case_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every case with its five child lists, each as its length and a digest of its rows in order."""
+    tables = {name: t.table(spark, sf_dir, table).selectExpr(f"{key} AS case_id", *[f"cast({v} AS string) AS {f}" if v == "NULL" else f"{v} AS {f}" for f, v in fields.items()]) for name, (table, key, fields) in _LISTS.items()}
+    rows = detail.detail(_whole(spark, sf_dir), t.jurisdictions(spark), _courts(spark, sf_dir), **tables)
+    line = lambda name: lambda x: F.concat_ws("/", *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in detail.CHILDREN[name]])
+    lists = [c for name in _LISTS for c in (F.size(name).cast("long").alias(f"n_{name}"), F.when(F.size(name) > 0, F.md5(F.array_join(F.transform(name, line(name)), "\n"))).alias(name))]
+    return rows.select("id", "jurisdiction_name", "court_name", "title", "revision", "last_seen_at", *lists)
+
+
 @query("""SELECT conv_id AS id, count(*) AS n_documents, string_agg(DISTINCT role, ',' ORDER BY role) AS languages, count_if(role = 'assistant')::BIGINT AS n_own
 FROM conversations GROUP BY conv_id""")
 def case_detail_children(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,10 +263,9 @@ def case_detail_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM conversations WHERE text IS NOT NULL AND regexp_matches(text, '[^ ]') GROUP BY conv_id""")
 def joined_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a case as one text: the primary language first, then by language and position. Blank ones are left out."""
-    some = t.table(spark, sf_dir, "conversations").where("text IS NOT NULL AND text RLIKE '[^ ]'")
-    part = F.struct((F.col("role") != "user").alias("foreign"), F.col("role").alias("language"), F.col("turn").alias("position"), "text")
-    parts = some.groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    return parts.select("id", F.sha2(F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n"), 256).alias("text_sha256"))
+    some = t.table(spark, sf_dir, "conversations").where("text IS NOT NULL AND text RLIKE '[^ ]'").withColumnRenamed("conv_id", "id")
+    order = [F.col("role") != "user", F.col("role"), F.col("turn")]
+    return joined_in_order(some, "id", order, F.col("text"), "\n\n", digest=True).select("id", F.col("value").alias("text_sha256"))
 
 
 _EXPORT = """SELECT c.id, c.source_id, c.jurisdiction_code, j.name AS jurisdiction, c.title, strftime(c.decision_date, '%Y-%m-%d') AS decision_date, c.language, c.law_domain
