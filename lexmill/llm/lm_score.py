@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.batches import bound_batches, text_batches
+from lexmill.llm.batches import bound_batches, release, text_batches
 from lexmill.llm.shingles import WordHashes, _mix
 
 #: Ids (8 bytes each) of target documents that may be broadcast; beyond, the join shuffles.
@@ -27,6 +27,8 @@ BROADCAST_ROWS = 1_000_000
 PART_BYTES = 16 << 20
 #: Characters of a long text whose words are Python objects at a time.
 PIECE = 1 << 20
+#: Words whose losses are computed at a time.
+SLICE = 1 << 18
 #: Stands for the start of a text among the hashes of words.
 START = 0
 SMOOTH, MIX = 0.5, 0.6
@@ -44,26 +46,6 @@ def _hashes(text: str | None, cache: WordHashes) -> Iterator[list[int]]:
         start = end
 
 
-def _grams(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word grams of all texts, each text after START; the grams of the pairs that end at each word; and the texts' lengths.
-
-    A gram is a 64-bit hash whose lowest bit tells pairs from words.
-    """
-    flat, length = [], []
-    for t in texts:
-        n = 0
-        flat.append(np.array([START], np.uint64))
-        for hashes in _hashes(t, cache):
-            flat.append(np.array(hashes, np.uint64))
-            n += len(hashes)
-        length.append(n)
-    word, length = np.concatenate(flat) if flat else np.empty(0, np.uint64), np.array(length, np.int64)
-    at = _words(length)
-    with np.errstate(over="ignore"):
-        pair = _mix(_mix(word[at - 1]) * np.uint64(0x9E3779B97F4A7C15) + word[at]) | np.uint64(1)
-    return word, pair, length
-
-
 def _words(length: np.ndarray) -> np.ndarray:
     """Places of words among all words with a START before each text."""
     is_word = np.ones(int(length.sum()) + len(length), bool)
@@ -71,17 +53,43 @@ def _words(length: np.ndarray) -> np.ndarray:
     return np.flatnonzero(is_word)
 
 
-def _part(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a table with the columns text and t: distinct grams, ascending; where each of its words, then each of its pairs, is among them;
-    the lengths of its texts, and their t."""
-    cache, found = WordHashes(), []
-    for batch in table.select(["text", "t"]).to_batches():
+def _part(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a table with the columns text and t: distinct grams, ascending; where each of its words, a START before each text, is among them,
+    and where each pair that ends at a word is; the lengths of its texts, and their t.
+
+    A gram is a 64-bit hash whose lowest bit tells pairs from words.
+    """
+    cache, flat, length = WordHashes(), [], []
+    for batch in table.select(["text"]).to_batches():
         for texts in text_batches(batch.column(0)):
-            found.append(_grams(texts, cache))
-    t = table.column("t").to_numpy().astype(bool)
-    empty = np.empty(0, np.uint64)
-    gram, place = np.unique(np.concatenate([*(f[0] for f in found), *(f[1] for f in found), empty]), return_inverse=True)
-    return gram, place, np.concatenate([*(f[2] for f in found), np.empty(0, np.int64)]), t
+            for t in texts:
+                n = 0
+                flat.append(np.array([START], np.uint64))
+                for hashes in _hashes(t, cache):
+                    flat.append(np.array(hashes, np.uint64))
+                    n += len(hashes)
+                length.append(n)
+    length = np.array(length, np.int64)
+    word = np.concatenate([*flat, np.empty(0, np.uint64)])
+    del flat
+    at = _words(length)
+    every = np.empty(len(word) + len(at), np.uint64)
+    every[: len(word)] = word
+    with np.errstate(over="ignore"):
+        pair = _mix(word[at - 1])
+        pair *= np.uint64(0x9E3779B97F4A7C15)
+        pair += word[at]
+        every[len(word) :] = _mix(pair) | np.uint64(1)
+    n = len(word)
+    del word, pair, at
+    order = np.argsort(every)
+    every = every[order]
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    gram = every[new]
+    place = np.empty(len(every), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return gram, place[:n], place[n:], length, table.column("t").to_numpy().astype(bool)
 
 
 def _squeezed(numbers: np.ndarray) -> bytes:
@@ -113,14 +121,18 @@ def _asked(parts: DataFrame, n_parts: int) -> DataFrame:
     """(bucket, part, gram, target, background): for each part its distinct grams and their counts in it, dealt over ``n_parts`` buckets of grams."""
 
     def run(table: pa.Table) -> pa.Table:
-        gram, place, length, t = _part(table)
-        background = np.bincount(place, minlength=len(gram))
-        target = np.bincount(place, np.concatenate([np.repeat(t, length + 1), np.repeat(t, length)]), len(gram)).astype(np.int64)
+        gram, word, pair, length, t = _part(table)
+        background = np.bincount(word, minlength=len(gram)) + np.bincount(pair, minlength=len(gram))
+        target = np.bincount(word[np.repeat(t, length + 1)], minlength=len(gram)) + np.bincount(pair[np.repeat(t, length)], minlength=len(gram))
+        del word, pair
         some, order, ends = _dealt(gram, n_parts)
         cut = lambda x, f: pa.array([_squeezed(f(x[order[i:j]])) for i, j in zip(ends[:-1], ends[1:])], pa.binary())
         same = lambda x: x
         part = np.full(len(some), table.column("part")[0].as_py(), np.int64)
-        return pa.table({"bucket": pa.array(some), "part": pa.array(part), "gram": cut(gram, _steps), "target": cut(target, same), "background": cut(background, same)})
+        out = pa.table({"bucket": pa.array(some), "part": pa.array(part), "gram": cut(gram, _steps), "target": cut(target, same), "background": cut(background, same)})
+        del gram, target, background, order
+        release()
+        return out
 
     return parts.groupBy("part").applyInArrow(run, f"bucket bigint, part bigint, {PACKED}")
 
@@ -128,10 +140,21 @@ def _asked(parts: DataFrame, n_parts: int) -> DataFrame:
 def _merged(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], dict[str, np.ndarray]]:
     """Distinct grams of all rows; for each row, where its grams are among them; and the sums of their counts."""
     each = [np.cumsum(_loosened(x, np.uint64), dtype=np.uint64) for x in table.column("gram").to_pylist()]
-    gram, place = np.unique(np.concatenate(each), return_inverse=True)
-    counts = {c: np.concatenate([_loosened(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("target", "background")}
-    sums = {c: np.bincount(place, n, len(gram)).astype(np.int64) for c, n in counts.items()}  # doubles are exact up to 2**53
-    return gram, np.split(place, np.cumsum([len(x) for x in each])[:-1]), sums
+    ends = np.cumsum([len(x) for x in each])[:-1]
+    every = np.concatenate(each)
+    del each
+    order = np.argsort(every)
+    every = every[order]
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    place = np.empty(len(every), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    gram, sums = every[new], {}
+    del order, every, new
+    for c in ("target", "background"):  # sums of doubles are exact up to 2**53
+        sums[c] = np.bincount(place, np.concatenate([_loosened(x, np.int64) for x in table.column(c).to_pylist()]), len(gram)).astype(np.int64)
+    release()
+    return gram, np.split(place, ends), sums
 
 
 TOTALS = ("n", "target", "background", "target_texts", "background_texts")
@@ -183,26 +206,30 @@ def score_all(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", te
     parts = placed.join(ids, placed["doc_id"] == ids["key"], "left").select("part", "doc_id", "text", F.col("key").isNotNull().alias("t"))
 
     def run(mine: pa.Table, answers: pa.Table) -> pa.Table:
-        gram, place, length, _ = _part(mine)
+        gram, word, pair, length, _ = _part(mine)
         _, order, _ = _dealt(gram, n_parts)
         answers = answers.sort_by("bucket")
         total = answers.column("totals")[0].as_py()
         at = _words(length)
-        n = len(length) + int(length.sum())
-        event, context, pair = place[:n][at], place[:n][at - 1], place[n:]
-        owner = np.repeat(np.arange(len(length)), length)
+        owner = np.repeat(np.arange(len(length), dtype=np.int32), length)
         losses = []
         for c in ("target", "background"):
             counts = np.empty(len(gram), np.int64)
             counts[order] = np.concatenate([_loosened(x, np.int64) for x in answers.column(c).to_pylist()])
-            single = (counts + SMOOTH) / (total[c] + total[f"{c}_texts"] + SMOOTH * (total["n"] + 2))
-            seen = counts[context]
-            p = np.where(seen > 0, MIX * counts[pair] / np.maximum(seen, 1) + (1 - MIX) * single[event], single[event])
+            every, loss = total[c] + total[f"{c}_texts"] + SMOOTH * (total["n"] + 2), np.zeros(len(length))
+            for i in range(0, len(at), SLICE):
+                part = at[i : i + SLICE]
+                single, seen = (counts[word[part]] + SMOOTH) / every, counts[word[part - 1]]
+                p = np.where(seen > 0, MIX * counts[pair[i : i + SLICE]] / np.maximum(seen, 1) + (1 - MIX) * single, single)
+                loss += np.bincount(owner[i : i + SLICE], -np.log(p), len(length))
             mean = np.full(len(length), np.nan)
-            np.divide(np.bincount(owner, -np.log(p), minlength=len(length)), length, out=mean, where=length > 0)
+            np.divide(loss, length, out=mean, where=length > 0)
             losses.append(mean)
         double = lambda x: pa.array(x, pa.float64(), mask=length == 0)
-        return pa.table({"doc_id": mine.column("doc_id"), "n_words": pa.array(length), "target_loss": double(losses[0]), "background_loss": double(losses[1]), "score": double(losses[0] - losses[1])})
+        out = pa.table({"doc_id": mine.column("doc_id"), "n_words": pa.array(length), "target_loss": double(losses[0]), "background_loss": double(losses[1]), "score": double(losses[0] - losses[1])})
+        del gram, word, pair, order, counts, owner, at
+        release()
+        return out
 
     asked = _asked(parts, n_parts)  # one shuffle of the texts, and one of the requests, serve both uses
     answers = _answered(asked).withColumn("totals", _totals(asked).scalar())
