@@ -9,6 +9,7 @@ from lexmill.operators import display, export, merge, mirror, reviews, runs, sea
 from lexmill.plans.search import query
 from lexmill.session import materialize
 from lexmill.sources import decisions as d
+from lexmill.sources import markup
 from lexmill.sources import tables as t
 
 _PLAIN = "regexp_replace(coalesce({}, ''), '[^A-Za-z]+', ' ')"
@@ -43,10 +44,15 @@ def _vocabulary(spark: SparkSession) -> DataFrame:
 _LEVEL = "CASE {} % 4 WHEN 0 THEN 'first_instance' WHEN 1 THEN 'appeal' WHEN 2 THEN 'supreme' END"
 
 
-@query(f"""SELECT 'court/' || i AS source_identifier, 'Named ' || i AS name, 'N' || i AS abbreviation, CASE i % 4 WHEN 0 THEN 'Rechtbank' WHEN 1 THEN 'Gerechtshof' WHEN 2 THEN 'TypeRvS' ELSE 'Onbekend' END AS source_type,
-{_LEVEL.format('i')} AS level, CASE WHEN i % 4 = 2 THEN 'administrative' END AS domain FROM range(16) r(i)""")
+@query(f"""SELECT 'court/' || s_suppkey AS source_identifier, s_name || ' ' || CASE WHEN s_suppkey % 4 = 0 THEN 'new' ELSE 'old' END AS name, 'N' || s_nationkey AS abbreviation, CASE s_suppkey % 4 WHEN 0 THEN 'Rechtbank' WHEN 1 THEN 'Gerechtshof' WHEN 2 THEN 'TypeRvS' ELSE 'Onbekend' END AS source_type,
+{_LEVEL.format('s_suppkey')} AS level, CASE WHEN s_suppkey % 4 = 2 THEN 'administrative' END AS domain FROM supplier""")
 def court_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.court_vocabulary(_vocabulary(spark))
+    """Courts out of two vocabularies of many lists each: every supplier is an entry, and the later vocabulary names a quarter anew."""
+    s = t.table(spark, sf_dir, "supplier")
+    entry = lambda name: F.concat(F.lit("<Instantie><Naam>"), "s_name", F.lit(f" {name}</Naam><Identifier>court/"), "s_suppkey", F.lit("</Identifier><Afkorting>N"), "s_nationkey", F.lit("</Afkorting><Type>"), F.element_at(F.array(*map(F.lit, ("Rechtbank", "Gerechtshof", "TypeRvS", "Onbekend"))), (F.col("s_suppkey") % 4 + 1).cast("int")), F.lit("</Type></Instantie>"))
+    entries = s.select(F.lit(1).alias("n"), F.col("s_suppkey") % 7, entry("old").alias("e")).union(s.where("s_suppkey % 4 = 0").select(F.lit(2), F.col("s_suppkey") % 3, entry("new")))
+    lists = entries.toDF("n", "list", "e").groupBy("n", "list").agg(F.concat(F.lit("<Instanties>"), F.array_join(F.collect_list("e"), ""), F.lit("<Instantie><Naam>nobody</Naam></Instantie></Instanties>")).alias("payload"))
+    return d.court_vocabulary(lists, order="n")
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +149,15 @@ def notice_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.notice_citations(_notices(spark, sf_dir)).select("source_id", "target", "scheme", "citation_type")
 
 
+@query("""SELECT event_id, strftime(date_trunc('second', ts) - CASE WHEN event_id % 4 = 1 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d %H:%M:%S') AS instant FROM events WHERE event_id % 5 <> 4
+UNION ALL SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') || ' 00:00:00' END FROM events WHERE event_id % 5 = 4""")
+def instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as sources write them, as instants of UTC: with an offset, with none, days, and what is no time."""
+    n, stamp = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when((n % 5 == 4) & (n % 2 == 0), F.date_format("ts", "yyyy-MM-dd")).when(n % 5 == 4, "soon").when(n % 4 == 0, F.concat(stamp, F.lit("Z"))).when(n % 4 == 1, F.concat(stamp, F.lit("+02:00"))).when(n % 4 == 2, stamp).otherwise(F.concat(stamp, F.lit(".000")))
+    return t.table(spark, sf_dir, "events").select("event_id", F.date_format(markup.instant(text), "yyyy-MM-dd HH:mm:ss").alias("instant"))
+
+
 @query("""SELECT o_orderkey::VARCHAR AS source_id, CASE WHEN o_orderkey % 2 = 0 THEN 'DEU,ENG,FRA' ELSE 'DEU,FRA' END AS available, CASE WHEN o_orderkey % 2 = 0 THEN 'ENG' ELSE '' END AS preferred,
 CASE WHEN o_orderkey % 4 = 1 THEN 'FRA procedural,DEU only_available' ELSE 'DEU only_available' END AS fallbacks FROM orders""")
 def language_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

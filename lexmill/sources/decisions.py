@@ -50,13 +50,19 @@ def _joined(values: Column, separator: str) -> Column:
 # ---- decisions ------------------------------------------------------------------------------------------------------
 
 
-def court_vocabulary(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """(source_identifier, name, abbreviation, source_type, level, domain) of each court that a vocabulary lists; entries without an
-    identifier are left out, and of several with one identifier the last stays."""
-    facts = payloads.select(F.posexplode(F.transform(markup.leaves(F.col(payload)), lambda f: f)).alias("at", "f")).select("at", "f.*").where("name = 'Instantie'")
+#: Rows of the court vocabulary (some 200 bytes each) that may be broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 100_000
+
+
+def court_vocabulary(payloads: DataFrame, payload: str = "payload", order: str | None = None) -> DataFrame:
+    """(source_identifier, name, abbreviation, source_type, level, domain) of each court that vocabularies list; entries without an
+    identifier are left out. Of several with one identifier the last stays: by ``order``, a column of the payloads (without one by their
+    digests), then by place."""
+    read = payloads.select(F.struct(*([order] if order else []), F.md5(payload)).alias("list"), markup.leaves(F.col(payload)).alias("f"))
+    facts = read.select("list", F.inline("f")).where("name = 'Instantie'")
     of = lambda name: F.max(F.when(F.col("path") == name, F.col("value")))
-    rows = facts.groupBy("item").agg(of("Identifier").alias("source_identifier"), of("Naam").alias("name"), of("Afkorting").alias("abbreviation"), of("Type").alias("source_type")).where("source_identifier IS NOT NULL")
-    last = rows.groupBy("source_identifier").agg(F.max_by(F.struct("name", "abbreviation", "source_type"), "item").alias("r"))
+    rows = facts.groupBy("list", "item").agg(of("Identifier").alias("source_identifier"), of("Naam").alias("name"), of("Afkorting").alias("abbreviation"), of("Type").alias("source_type")).where("source_identifier IS NOT NULL")
+    last = rows.groupBy("source_identifier").agg(F.max_by(F.struct("name", "abbreviation", "source_type"), F.struct("list", "item")).alias("r"))
     rated = markup.court(F.col("r.source_type"))
     return last.select("source_identifier", F.coalesce("r.name", "source_identifier").alias("name"), "r.abbreviation", "r.source_type", rated["level"].alias("level"), rated["domain"].alias("domain"))
 
@@ -65,19 +71,16 @@ def decisions(raw: DataFrame, courts: DataFrame) -> DataFrame:
     """Records of decision payloads. raw: (source_id, title, source_url, payload) as found; courts: the vocabulary.
 
     A payload that cannot be read, or has no description, gives no record. A decision without a body keeps a document of kind other
-    without text. A court that the vocabulary doesn't know has its name alone.
+    without text. A court that the vocabulary doesn't know has its name alone. Each payload is read once, and no text moves: the
+    vocabulary, a row for each court, goes to the records as long as it is small.
     """
-    facts = raw.withColumn("f", markup.leaves(F.col("payload"), "RDF", "Description")).withColumn("whole", markup.leaves(F.col("payload"))).where("f IS NOT NULL AND size(f) > 0")
-    read = facts.withColumns({
-        "props": markup.properties(F.col("payload")), "text": markup.xml_body_text(F.col("payload")), "abstract": markup.xml_body_text(F.col("payload"), ("inhoudsindicatie",)),
-        "body": F.get(F.filter(F.transform("whole", lambda w: w["name"]), lambda n: n.isin(*BODIES)), F.lit(0)),
-        "subjects": all_values(F.col("f"), "subject"), "creator": F.coalesce(value(F.col("f"), "creator", "@resourceIdentifier"), F.concat(F.lit("instantie/"), value(F.col("f"), "creator"))),
-    })
+    parsed = raw.withColumn("p", markup.decision(F.col("payload"), tuple(BODIES), "inhoudsindicatie")).where("p IS NOT NULL AND size(p.facts) > 0")
+    read = parsed.select("*", "p.*").withColumnRenamed("facts", "f").withColumnRenamed("properties", "props").drop("payload", "p")
+    read = read.withColumns({"subjects": all_values(F.col("f"), "subject"), "creator": F.coalesce(value(F.col("f"), "creator", "@resourceIdentifier"), F.concat(F.lit("instantie/"), value(F.col("f"), "creator")))})
     f = F.col("f")
     law = markup.law_domain(F.col("subjects"))
     kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in BODIES.items() for x in kv]), F.col("body")), F.lit("other"))
-    own_language = F.get(F.transform(F.filter("whole", lambda w: (w["name"] == F.col("body")) & (w["path"] == "@lang")), lambda w: w["value"]), F.lit(0))
-    document = F.struct(kind.alias("doc_type"), F.coalesce(own_language, value(f, "language")).alias("language"), F.lit("xml").alias("format"), F.when(F.col("body").isNotNull(), F.col("text")).alias("full_text"))
+    document = F.struct(kind.alias("doc_type"), F.coalesce("body_language", value(f, "language")).alias("language"), F.lit("xml").alias("format"), F.when(F.col("body").isNotNull(), F.col("text")).alias("full_text"))
     rows = read.select(
         F.lit("NL").alias("jurisdiction_code"), F.coalesce(value(f, "identifier"), "source_id").alias("source_id"), F.coalesce(value(f, "title", block=1), "title").alias("title"), "abstract",
         _joined(F.col("subjects"), "; ").alias("subject"), markup.date_prefix(value(f, "date")).alias("decision_date"), F.lit(None).cast("date").alias("filing_date"),
@@ -88,6 +91,7 @@ def decisions(raw: DataFrame, courts: DataFrame) -> DataFrame:
         F.to_json(F.map_from_entries(F.transform(F.array_distinct(F.transform("f", lambda x: x["name"])), lambda n: F.struct(n, F.transform(F.filter("f", lambda x: (x["name"] == n) & (x["path"] == "")), lambda x: x["value"]))))).alias("source_metadata"),
     )
     known = courts.select(F.col("source_identifier").alias("court_identifier"), F.struct("name", "level", "domain").alias("c"))
+    known = F.broadcast(known) if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else known
     joined = rows.join(known, "court_identifier", "left")
     court = F.struct(F.coalesce("c.name", "creator_name", "court_identifier").alias("name"), F.col("c.level").alias("level"), F.col("c.domain").alias("domain"))
     return joined.withColumn("court", F.when(F.col("court_identifier").isNotNull(), court)).drop("c", "creator_name")
@@ -97,8 +101,11 @@ def decisions(raw: DataFrame, courts: DataFrame) -> DataFrame:
 
 
 def notice_facts(raw: DataFrame) -> DataFrame:
-    """The values of each notice's own work, none of the works that it embeds; (source_id, title, payload, f)."""
-    return raw.withColumn("f", markup.leaves(F.col("payload"), "WORK")).withColumn("f", F.filter("f", lambda x: x["block"] == 0)).where("f IS NOT NULL AND size(f) > 0")
+    """raw (source_id, title, payload, and notice_url if known) with ``notice``, which tells notices of one id apart, ``f``, the values of each
+    notice's own work and none of the works that it embeds, and ``decoding``. A payload that cannot be read gives no row."""
+    key = F.md5(F.concat(F.coalesce("source_id", F.lit("")), F.lit("\0"), F.coalesce("payload", F.lit(""))))
+    read = raw.withColumns({"notice": key, "n": markup.notice(F.col("payload"))}).where("n IS NOT NULL AND size(n.facts) > 0")
+    return read.select(*raw.columns, "notice", F.col("n.facts").alias("f"), "n.decoding")
 
 
 def labels(f: Column, *names: str) -> Column:
@@ -107,6 +114,11 @@ def labels(f: Column, *names: str) -> Column:
     return F.array_distinct(F.concat(*map(of, names)))
 
 
+def codes(f: Column, name: str) -> Column:
+    """Distinct vocabulary codes at any depth below the named elements, in the notice's order."""
+    return F.array_distinct(F.transform(F.filter(f, lambda x: (x["name"] == name) & x["path"].rlike(r"(\A|/)OP-CODE\z")), lambda x: x["value"]))
+
+
 def languages(f: Column) -> Column:
     """Codes of the languages in which a work exists: three letters after the last point of an expression's identifiers, sorted."""
     suffix = F.transform(F.filter(f, lambda x: (x["name"] == "WORK_HAS_EXPRESSION") & (x["path"] == "SAMEAS/URI/IDENTIFIER")), lambda x: F.upper(F.regexp_extract(x["value"], r"\.([A-Za-z]{3})\z", 1)))
@@ -128,46 +140,62 @@ def language_plan(available: Column, procedural: Column, preferred: tuple[str, .
 
 
 def _uris(facts: DataFrame) -> DataFrame:
-    """(source_id, name, item, kind, identifier): what other works are called that the elements of a work point to."""
-    rows = facts.select("source_id", F.inline("f")).where("path IN ('SAMEAS/URI/TYPE', 'SAMEAS/URI/IDENTIFIER')")
+    """(notice, source_id, name, item, kind, identifier): what other works are called that the elements of a work point to."""
+    rows = facts.select("notice", "source_id", F.inline("f")).where("path IN ('SAMEAS/URI/TYPE', 'SAMEAS/URI/IDENTIFIER')")
     of = lambda end: F.max(F.when(F.col("path").endswith(end), F.col("value")))
-    return rows.groupBy("source_id", "name", "item", "owner").agg(of("TYPE").alias("kind"), of("IDENTIFIER").alias("identifier")).where("identifier IS NOT NULL")
+    return rows.groupBy("notice", "source_id", "name", "item", "owner").agg(of("TYPE").alias("kind"), of("IDENTIFIER").alias("identifier")).where("identifier IS NOT NULL")
 
 
 def notice_citations(facts: DataFrame) -> DataFrame:
-    """(source_id, target, scheme, citation_type, position): by CELEX number, else by ECLI; the first of each target and relation."""
+    """(notice, source_id, target, scheme, citation_type, position): by CELEX number, else by ECLI; the first of each target and relation. Notices
+    are told apart by ``notice``, so two of one id keep their own citations."""
     relation = F.try_element_at(F.create_map(*[F.lit(x) for kv in markup.RELATIONS.items() for x in kv]), F.col("name"))
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("identifier")))
-    links = _uris(facts).withColumn("citation_type", relation).where("citation_type IS NOT NULL").groupBy("source_id", "citation_type", "item").agg(of("celex").alias("celex"), of("ecli").alias("ecli"))
-    named = links.select("source_id", "citation_type", "item", F.coalesce("celex", "ecli").alias("target"), F.when(F.col("celex").isNotNull(), "celex").otherwise("ecli").alias("scheme")).where("target IS NOT NULL")
-    return named.groupBy("source_id", "target", "citation_type").agg(F.min_by("scheme", "item").alias("scheme"), F.min("item").alias("position"))
+    links = _uris(facts).withColumn("citation_type", relation).where("citation_type IS NOT NULL").groupBy("notice", "source_id", "citation_type", "item").agg(of("celex").alias("celex"), of("ecli").alias("ecli"))
+    named = links.select("notice", "source_id", "citation_type", "item", F.coalesce("celex", "ecli").alias("target"), F.when(F.col("celex").isNotNull(), "celex").otherwise("ecli").alias("scheme")).where("target IS NOT NULL")
+    return named.groupBy("notice", "source_id", "target", "citation_type").agg(F.min_by("scheme", "item").alias("scheme"), F.min("item").alias("position"))
 
 
 def notice_case_numbers(facts: DataFrame) -> DataFrame:
-    """(source_id, case_numbers), in the notice's order; joined numbers are split."""
-    parts = _uris(facts).where("name = 'PART_OF' AND kind = 'case'").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("item", "owner", "identifier"))).alias("n"))
-    return parts.select("source_id", markup.case_numbers(F.transform("n", lambda x: x["identifier"])).alias("case_numbers"))
+    """(notice, case_numbers), in the notice's order; joined numbers are split."""
+    parts = _uris(facts).where("name = 'PART_OF' AND kind = 'case'").groupBy("notice").agg(F.array_sort(F.collect_list(F.struct("item", "owner", "identifier"))).alias("n"))
+    return parts.select("notice", markup.case_numbers(F.transform("n", lambda x: x["identifier"])).alias("case_numbers"))
+
+
+def _with(table: DataFrame, **defaults: str) -> DataFrame:
+    """``table`` with null columns of these types where it lacks them."""
+    return table.withColumns({c: F.lit(None).cast(kind) for c, kind in defaults.items() if c not in table.columns})
 
 
 def notices(facts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Records of notices. texts: (source_id, language, payload) of the fetched versions, languages by their three-letter codes.
+    """Records of notices. texts: (source_id, language, payload) of the fetched versions, languages by their three-letter codes, and, where
+    known, format, selected_as and source_url (see ``fetch.versions``).
 
-    The notice itself is a document without text; the record's language is that of its first text, else of the procedure.
+    The notice itself is a document without text; the record's language is that of its first text, else of the procedure. Equal notices
+    of one id give equal records.
     """
+    facts = _with(facts, notice_url="string", decoding="string")
+    texts = _with(texts, format="string", selected_as="string", source_url="string").where("language IS NOT NULL")
     f = F.col("f")
     kind = markup.document_kind(value(f, "WORK_HAS_RESOURCE-TYPE", "URI/IDENTIFIER"))
     title = F.coalesce("title", value(f, "EXPRESSION_TITLE", "VALUE"))
-    read = texts.select("source_id", F.struct(F.lit("?").alias("doc_type"), markup.language(F.col("language")).alias("language"), F.lit("html").alias("format"), markup.html_text(F.col("payload")).alias("full_text")).alias("d"))
-    versions = read.groupBy("source_id").agg(F.array_sort(F.collect_list("d")).alias("versions"))
+    version = F.struct(markup.language(F.col("language")).alias("language"), F.coalesce("format", F.lit("html")).alias("format"), markup.reading_text(F.col("payload")).alias("full_text"), F.col("language").alias("code"), "selected_as", "source_url")
+    versions = texts.select("source_id", version.alias("d")).groupBy("source_id").agg(F.array_sort(F.collect_list("d")).alias("versions"))
     agent = F.get(F.filter(f, lambda x: (x["name"] == "WORK_CREATED_BY_AGENT") & (x["path"] == "URI/TYPE") & (x["value"] == "corporate-body")), F.lit(0))
     of_agent = lambda path: F.get(F.transform(F.filter(f, lambda x: (x["item"] == agent["item"]) & (x["name"] == agent["name"]) & (x["path"] == path)), lambda x: x["value"]), F.lit(0))
-    rows = facts.join(versions, "source_id", "left").join(notice_case_numbers(facts), "source_id", "left")
-    cited = notice_citations(facts).groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "target", "scheme", "citation_type"))), lambda c: F.struct(c["target"].alias("target"), c["scheme"].alias("scheme"), c["citation_type"].alias("type"), F.lit(None).cast("string").alias("title"))).alias("citations"))
-    rows = rows.join(cited, "source_id", "left").withColumn("versions", F.coalesce("versions", F.array().cast("array<struct<doc_type: string, language: string, format: string, full_text: string>>")))
+    rows = facts.join(versions, "source_id", "left").join(notice_case_numbers(facts), "notice", "left")
+    cited = notice_citations(facts).groupBy("notice").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "target", "scheme", "citation_type"))), lambda c: F.struct(c["target"].alias("target"), c["scheme"].alias("scheme"), c["citation_type"].alias("type"), F.lit(None).cast("string").alias("title"))).alias("citations"))
+    rows = rows.join(cited, "notice", "left").withColumn("versions", F.coalesce("versions", F.array().cast("array<struct<language: string, format: string, full_text: string, code: string, selected_as: string, source_url: string>>")))
     typed = F.transform("versions", lambda d: F.struct(kind.alias("doc_type"), d["language"].alias("language"), d["format"].alias("format"), d["full_text"].alias("full_text")))
     notice = F.struct(F.lit("other").alias("doc_type"), F.lit(None).cast("string").alias("language"), F.lit("xml").alias("format"), F.lit(None).cast("string").alias("full_text"))
     first = F.get(F.filter("versions", lambda d: F.coalesce(d["full_text"], F.lit("")) != ""), F.lit(0))["language"]
-    metadata = F.struct(*[value(f, place.split("/")[0], place.partition("/")[2]).alias(name) for name, place in NOTICE_METADATA.items()], labels(f, "IS_ABOUT").alias("eurovoc_descriptors"), languages(f).alias("available_languages"), procedure_language(f).alias("procedure_language"))
+    metadata = F.struct(*[value(f, place.split("/")[0], place.partition("/")[2]).alias(name) for name, place in NOTICE_METADATA.items()], 
+        labels(f, "RESOURCE_LEGAL_IS_ABOUT_SUBJECT-MATTER").alias("subject_matter"), labels(f, "CASE-LAW_IS-ABOUT_CASE-LAW-SUBJECT-MATTER").alias("case_law_subject_matter"),
+        codes(f, "CASE-LAW_IS_ABOUT_CONCEPT").alias("case_law_directory_codes"), labels(f, "CASE-LAW_IS_ABOUT_CONCEPT").alias("case_law_directory_labels"), labels(f, "IS_ABOUT").alias("eurovoc_descriptors"),
+        languages(f).alias("available_languages"), procedure_language(f).alias("procedure_language"),
+        F.transform("versions", lambda d: F.struct(d["code"].alias("language"), d["selected_as"].alias("selected_as"), d["source_url"].alias("source_url"))).alias("retrieved_languages"),
+        F.col("decoding").alias("notice_decoding"), "notice_url",
+    )
     return rows.select(
         F.lit("EU").alias("jurisdiction_code"), "source_id", markup.clean_title(title).alias("title"), F.lit(None).cast("string").alias("abstract"), _joined(labels(f, *SUBJECTS), "; ").alias("subject"),
         markup.date_prefix(value(f, "WORK_DATE_DOCUMENT", "VALUE")).alias("decision_date"), F.lit(None).cast("date").alias("filing_date"),

@@ -222,11 +222,6 @@ RECORDED = "array<struct<address: string, language: string, status: int, retry_a
 VERSION = "source_id string, language string, selected_as string, payload string, format string, source_url string, requests int, error string"
 
 
-def media_format(content_type: Column) -> Column:
-    kind = F.lower(F.coalesce(content_type, F.lit("")))
-    return F.when(kind.contains("xhtml"), "xhtml").when(kind.contains("html"), "html").when(kind.contains("xml"), "xml").otherwise("text")
-
-
 def _chosen(client: Client, address: str, preferred: list[str], fallbacks: list[dict]) -> Iterator[tuple]:
     """The versions of one document: all preferred ones that can be had; without any, the first fallback that can. If none can, and
     the source failed on one, an error; if the source has none, a row without language, as the document is known all the same."""
@@ -273,5 +268,5 @@ def versions(plans: DataFrame, transport: Transport | None = None, lanes: int =
 
     raw = "source_id string, language string, selected_as string, payload string, content_type string, source_url string, requests int, error string"
     got = plans.select(*columns).mapInArrow(run, raw)
-    shape = F.when(F.col("language").isNotNull(), media_format(F.col("content_type")))
+    shape = F.when(F.col("language").isNotNull(), markup.media_format(F.col("content_type")))
     return got.select("source_id", "language", "selected_as", "payload", shape.alias("format"), "source_url", "requests", "error")
