@@ -14,17 +14,19 @@ import collections
 import datetime as dt
 import functools
 import json
+import os
 import re
 from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark import Broadcast
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from lexmill.functions.text import fold_string
-from lexmill.operators.phrases import Finder, Text, Treatment, is_word
+from lexmill.operators.phrases import Earliest, Finder, Text, Treatment, is_word
 
 EPSILON, BAND, SNIPPET, REASON_TERMS, SUBSTRING_LEAST = 1e-9, 3.0, 90, 8, 6
 MATCHES = ("word", "phrase", "substring", "regex")
@@ -166,11 +168,18 @@ def parse(document: Any) -> KeywordList:
     )
 
 
-def load(path: str) -> KeywordList:
+@functools.lru_cache(32)
+def _loaded(path: str, size: int, changed: int) -> KeywordList:
     with open(path, encoding="utf-8") as f:
         return parse(json.load(f))
 
 
+def load(path: str) -> KeywordList:
+    """The list of a file; it is read again only after it has changed in size or time."""
+    found = os.stat(path)
+    return _loaded(os.path.abspath(path), found.st_size, found.st_mtime_ns)
+
+
 # ---- finding --------------------------------------------------------------------------------------------------------
 
 
@@ -195,40 +204,36 @@ class Scanner:
     def __init__(self, keywords: KeywordList):
         self.finder = Finder(literals(keywords.terms))
         self.patterns = [(i, re.compile(p, 0 if t.case_sensitive else re.IGNORECASE)) for i, t in enumerate(keywords.terms) if t.match == "regex" for p in t.literals]
-        self.vetoes = [(e.match == "regex", re.compile(e.pattern, re.IGNORECASE) if e.match == "regex" else self._literal(e)) for e in keywords.exclusions]
-
-    @staticmethod
-    def _literal(e: Exclusion) -> re.Pattern:
-        x = folded(e.pattern, False)
-        side = lambda c, look: look if e.match != "substring" and is_word(c) else ""
-        return re.compile(side(x[0], r"(?<!\w)") + re.escape(x) + side(x[-1], r"(?!\w)"))
+        self.raw = [(k, re.compile(e.pattern, re.IGNORECASE)) for k, e in enumerate(keywords.exclusions) if e.match == "regex"]
+        plain = [(k, e, folded(e.pattern, False)) for k, e in enumerate(keywords.exclusions) if e.match != "regex"]
+        self.plain = [k for k, _, _ in plain]
+        self.earliest = Earliest([(x, *(e.match != "substring" and is_word(c) for c in (x[0], x[-1]))) for _, e, x in plain])
 
     def veto(self, text: Text) -> tuple[int, str] | None:
         """The first exclusion that holds, and the words it is about."""
-        for k, (raw, pattern) in enumerate(self.vetoes):
-            if raw:  # regular expressions see white space as it is
-                if m := pattern.search(fold_string(text.composed, False)):
-                    return k, text.composed[m.start() : m.end()]
-            elif m := pattern.search(text.low):
-                start, end = text.span(*m.span())
-                return k, text.composed[start:end]
-        return None
+        met = {self.plain[i]: text.span(*span) for i, span in self.earliest.first(text).items()}
+        for k, pattern in self.raw:  # regular expressions see white space as it is
+            if k < min(met, default=k + 1) and (m := pattern.search(text.raw)):
+                met[k] = m.span()
+        if not met:
+            return None
+        k = min(met)
+        return k, text.composed[met[k][0] : met[k][1]]
 
     def count(self, text: Text) -> dict[int, list[int]]:
         """Term to occurrences, start and end of the first; terms in the order in which they are met."""
         met: dict[int, list[int]] = {}
         spans = [(term, *text.span(start, end)) for term, start, end in self.finder.hits(text)]
-        if self.patterns:
-            raw = fold_string(text.composed, False)
-            spans += [(term, *m.span()) for term, p in self.patterns for m in p.finditer(raw)]
+        spans += [(term, *m.span()) for term, p in self.patterns for m in p.finditer(text.raw)]
         for term, start, end in spans:
             met.setdefault(term, [0, start, end])[0] += 1
         return met
 
 
-@functools.lru_cache(8)
-def scanner(keywords: KeywordList) -> Scanner:
-    return Scanner(keywords)
+@functools.lru_cache(16)
+def _broadcast(keywords: KeywordList, application: str) -> Broadcast:
+    """The compiled list, built once and sent to each worker process once."""
+    return SparkSession.active().sparkContext.broadcast(Scanner(keywords))
 
 
 def snippet(text: str, start: int, end: int, radius: int = SNIPPET) -> str:
@@ -242,14 +247,17 @@ _FOUND = pa.struct([("veto", pa.struct([("exclusion", pa.int32()), ("field", pa.
 FOUND = "struct<veto: struct<exclusion: int, field: int, text: string>, hits: array<struct<term: int, field: int, n: int, start: int, end: int, text: string, snippet: string>>>"
 
 
-def find(keywords: KeywordList, **columns: Column) -> Column:
+def find(keywords: KeywordList, evidence: bool = True, **columns: Column) -> Column:
     """What a record's fields hold: the first exclusion met, or else all terms found, by field in the list's order and then as met.
     Terms, fields and exclusions are known by their places in the list. Fields that are not in the list are not read; null and
-    empty ones hold nothing."""
+    empty ones hold nothing. Without ``evidence`` hits have neither text nor snippet."""
     places = [i for i, (name, _) in enumerate(keywords.fields) if name in columns]
+    if not places:
+        return F.lit(None).cast(FOUND)
+    shared = _broadcast(keywords, SparkSession.active().sparkContext.applicationId)
 
-    def one(record: tuple) -> dict:
-        scan, hits = scanner(keywords), []
+    def one(scan: Scanner, record: tuple) -> dict:
+        hits = []
         for i, raw in zip(places, record):
             if not raw:
                 continue
@@ -257,14 +265,17 @@ def find(keywords: KeywordList, **columns: Column) -> Column:
             if veto := scan.veto(text):
                 return {"veto": {"exclusion": veto[0], "field": i, "text": repr(veto[1])}, "hits": []}
             for term, (n, start, end) in scan.count(text).items():
-                hits.append({"term": term, "field": i, "n": n, "start": start, "end": end, "text": text.composed[start:end], "snippet": snippet(text.composed, start, end)})
+                shown = {"text": text.composed[start:end], "snippet": snippet(text.composed, start, end)} if evidence else {}
+                hits.append({"term": term, "field": i, "n": n, "start": start, "end": end, **shown})
         return {"veto": None, "hits": hits}
 
     @arrow_udf(FOUND)
     def run(*arrays: pa.Array) -> pa.Array:
-        return pa.array(list(map(one, zip(*(a.to_pylist() for a in arrays)))), _FOUND)
+        scan, step = shared.value, 256  # records whose texts are Python objects at a time
+        parts = [pa.array([one(scan, r) for r in zip(*(a.slice(i, step).to_pylist() for a in arrays))], _FOUND) for i in range(0, len(arrays[0]), step)]
+        return pa.concat_arrays(parts) if parts else pa.array([], _FOUND)
 
-    return run.asNondeterministic()(*[columns[keywords.fields[i][0]] for i in places]) if places else F.lit(None).cast(FOUND)
+    return run.asNondeterministic()(*[columns[keywords.fields[i][0]] for i in places])
 
 
 # ---- verdicts -------------------------------------------------------------------------------------------------------
@@ -317,8 +328,8 @@ def _weighted(keywords: KeywordList, hits: Column) -> Column:
     return _let(F.array_distinct(F.transform(hits, lambda h: h["term"])), over)
 
 
-def judge(keywords: KeywordList, **columns: Column) -> Column:
-    """A record's verdict: struct<VERDICT>. Matches stand by field in the list's order and then as met. A record without any field has
+def judge(keywords: KeywordList, evidence: bool = True, **columns: Column) -> Column:
+    """A record's verdict: struct<VERDICT>, without ``evidence`` with no matched texts and snippets. Matches stand by field in the list's order and then as met. A record without any field has
     no match; one with an exclusion is vetoed and has none either."""
     source = f"{keywords.jurisdiction} list v{keywords.list_version}"
     band = keywords.review_band > 0
@@ -353,7 +364,7 @@ def judge(keywords: KeywordList, **columns: Column) -> Column:
         vetoed = F.struct(F.lit(False).alias("passed"), F.lit(0.0).alias("score"), F.lit(True).alias("vetoed"), F.lit(False).alias("needs_review"), _filled(VETOED, values).alias("reason"), judged["matches"].alias("matches"))
         return F.when(veto.isNotNull(), vetoed).otherwise(judged)
 
-    return _let(find(keywords, **columns), whole)
+    return _let(find(keywords, evidence, **columns), whole)
 
 
 def _filled(wording: str, values: dict[str, Column], **fixed) -> Column:
@@ -376,7 +387,7 @@ def score(keywords: KeywordList, **columns: Column) -> Column:
         met = F.array_intersect(_table([t.id for t in keywords.terms]), F.transform(v["matches"], lambda m: m["term_id"]))
         return F.struct(*[v[c].alias(c) for c in ("passed", "score", "vetoed", "needs_review")], F.transform(met, sums).alias("terms"))
 
-    return _let(judge(keywords, **columns), short)
+    return _let(judge(keywords, False, **columns), short)
 
 
 def chain(stages: list[tuple[str, Column]]) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import compose, fold
-from lexmill.operators import export, keywords, phrases
+from lexmill.functions.text import compose, fold, word_count
+from lexmill.operators import chain, export, keywords, phrases
 from lexmill.plans.search import query
 from lexmill.sources import markup
 from lexmill.sources import tables as t
@@ -59,7 +59,7 @@ def _has(word: str, column: str) -> str:
     return f"regexp_matches({column}, {_W.format(word)})"
 
 
-@query(f""", f AS (SELECT doc_id, {_FOLDED.format("coalesce(text, '')")} AS b, {_FOLDED.format("substring(coalesce(text, ''), 1, 80)")} AS a, coalesce(text, '') AS raw, substring(coalesce(text, ''), 1, 80) AS rawa FROM documents),
+_VERDICTS = f""", f AS (SELECT doc_id, {_FOLDED.format("coalesce(text, '')")} AS b, {_FOLDED.format("substring(coalesce(text, ''), 1, 80)")} AS a, coalesce(text, '') AS raw, substring(coalesce(text, ''), 1, 80) AS rawa FROM documents),
 w AS (SELECT doc_id, {_has('idiot', 'a')} OR {_has('idiot', 'b')} AS vetoed,
   CASE WHEN {_has(r'(licensed|released\s+under)', 'a')} THEN 6.0 WHEN {_has(r'(licensed|released\s+under)', 'b')} THEN 3.0 ELSE 0.0 END AS w1,
   CASE WHEN {_has('stupid', 'a')} THEN 4.0 WHEN {_has('stupid', 'b')} THEN 2.0 ELSE 0.0 END AS w2, CASE WHEN {_has('worthless', 'a')} THEN 2.0 WHEN {_has('worthless', 'b')} THEN 1.0 ELSE 0.0 END AS w3,
@@ -68,14 +68,40 @@ w AS (SELECT doc_id, {_has('idiot', 'a')} OR {_has('idiot', 'b')} AS vetoed,
   CASE WHEN regexp_matches(rawa, '(^|[^A-Za-z0-9_À-ɏ])MIT($|[^A-Za-z0-9_À-ɏ])') THEN 4.0 WHEN regexp_matches(raw, '(^|[^A-Za-z0-9_À-ɏ])MIT($|[^A-Za-z0-9_À-ɏ])') THEN 2.0 ELSE 0.0 END AS w6,
   CASE WHEN regexp_matches(rawa, '(?i)[0-9a-f]{{32,}}') THEN 2.0 WHEN regexp_matches(raw, '(?i)[0-9a-f]{{32,}}') THEN 1.0 ELSE 0.0 END AS w7,
   CASE WHEN {_has('(eleve|etait)', 'a')} THEN 2.0 WHEN {_has('(eleve|etait)', 'b')} THEN 1.0 ELSE 0.0 END AS w8 FROM f),
-s AS (SELECT *, CASE WHEN vetoed THEN 0.0 ELSE w1 + w2 + CASE WHEN w2 > 0 THEN w3 ELSE 0.0 END + w4 + w5 + w6 + w7 + w8 END AS score FROM w)
-SELECT doc_id AS id, score::DOUBLE AS score, vetoed, score >= 3 AS passed, score >= 3 AND score < 6 AS needs_review,
+s AS (SELECT *, CASE WHEN vetoed THEN 0.0 ELSE w1 + w2 + CASE WHEN w2 > 0 THEN w3 ELSE 0.0 END + w4 + w5 + w6 + w7 + w8 END AS score FROM w)"""
+
+
+@query(f"""{_VERDICTS} SELECT doc_id AS id, score::DOUBLE AS score, vetoed, score >= 3 AS passed, score >= 3 AND score < 6 AS needs_review,
   CASE WHEN vetoed THEN 0 ELSE (w1 > 0)::INT + (w2 > 0)::INT + (w3 > 0)::INT + (w4 > 0)::INT + (w5 > 0)::INT + (w6 > 0)::INT + (w7 > 0)::INT + (w8 > 0)::INT END AS n_terms FROM s""")
 def keyword_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's verdict."""
     return _scored(spark, sf_dir).select("id", "v.score", "v.vetoed", "v.passed", "v.needs_review", F.size("v.terms").alias("n_terms"))
 
 
+def _calm(text: str | None) -> dict:
+    marks = (text or "").count("!")
+    return {"passed": 20 * marks <= len(text or ""), "score": float(marks), "reason": f"{marks} marks"}
+
+
+@query(f"""{_VERDICTS}, j AS (SELECT s.doc_id, score, score >= 3 AND score < 6 AS review, length(coalesce(text, '')) - length(replace(coalesce(text, ''), '!', '')) AS marks, length(coalesce(text, '')) AS size,
+  len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS words FROM s JOIN documents d ON d.doc_id = s.doc_id)
+SELECT doc_id AS id, words >= 50 AND score >= 3 AND 20 * marks <= size AS passed, CASE WHEN words < 50 THEN 'length' WHEN score < 3 THEN 'keywords' ELSE 'calm' END AS stage,
+  CASE WHEN words < 50 THEN words WHEN score < 3 THEN score ELSE marks END::DOUBLE AS score, words >= 50 AND score >= 3 AND 20 * marks <= size AND review AS needs_review FROM j""")
+def filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document through three stages, of which the last, in Python, sees only what the others let through."""
+
+    def length(text):
+        words = word_count(text)
+        return F.struct((words >= 50).alias("passed"), words.cast("double").alias("score"))
+
+    stages = [
+        chain.Stage("length", ("text",), length), chain.Stage("keywords", ("title", "text"), lambda title, text: keywords.score(_list(), title=title, full_text=text)),
+        chain.Stage("calm", ("text",), chain.lazily(_calm), knows_alive=True),
+    ]
+    docs = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.substring("text", 1, 80).alias("title"))
+    return chain.evaluate(docs, stages).select("id", "verdict.passed", "verdict.stage", "verdict.score", "verdict.needs_review")
+
+
 @query()
 def keyword_full_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same verdicts with evidence. Held against hand-written cases and a naive search in tests."""

@@ -1,4 +1,5 @@
 import copy
+import json
 import random
 import re
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import fold_string
+from lexmill.operators import chain
 from lexmill.operators import keywords as k
 from lexmill.operators import phrases
 
@@ -118,15 +120,69 @@ def test_emoji_offsets(spark):
     assert (m["start"], m["end"]) == (2, 7)
 
 
-def test_phrases(spark):
+def test_phrases(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "abcdef"), (2, "xabcx abc"), (3, None), (4, "")], "doc_id long, text string")
     listed = spark.createDataFrame([(10, "abc"), (11, "abcdef"), (12, None), (13, ""), (14, "abc"), (15, "zz")], "item_id long, text string")
-    for pass_chars in (1, 1000):
-        got = sorted(tuple(r) for r in phrases.containing(docs, listed, pass_chars=pass_chars).collect())
+    for rows in (1, 1000):
+        monkeypatch.setattr(phrases, "BROADCAST_ROWS", rows)
+        got = sorted(tuple(r) for r in phrases.containing(docs, listed).collect())
         assert got == [(1, 10), (1, 11), (1, 14), (2, 10), (2, 14)]
     assert phrases.containing(docs, listed.limit(0)).count() == 0
 
 
+def test_phrases_against_all_pairs(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("ab", k=rng.randint(1, 2)))
+    text = lambda n: rng.choice(["", " "]) + rng.choice([" ", "\n", "  "]).join(word() for _ in range(n)) + rng.choice(["", "\t"])
+    docs = [(i % 40, text(rng.randint(0, 30))) for i in range(50)] + [(None, "aa b a"), (7, "ä€ b ä€ c ä€"), (8, "x" * 40 + " " + "y" * 40)]
+    docs.append(docs[0])
+    listed = [(100 + i, text(rng.randint(1, 9))) for i in range(60)] + [(1, "b ä€ c"), (2, "x y"), (3, "€"), (4, "xxxxxxxxxxxxxxxxxxxx"), (5, " ")]
+    got = phrases.containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(listed, "item_id long, text string")).collect()
+    expected = [(d, p) for d, t in docs for p, x in listed if x and x in t]
+    assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
+
+
+def test_lists_are_read_again_when_they_change(tmp_path):
+    path = tmp_path / "list.json"
+    path.write_text(json.dumps(k.example()))
+    first = k.load(str(path))
+    assert k.load(str(path)) is first
+    changed = k.example() | {"list_version": "1.0.10"}
+    path.write_text(json.dumps(changed))
+    assert k.load(str(path)).list_version == "1.0.10"
+
+
+def test_exclusions_in_one_pass(spark):
+    exclusions = [{"pattern": "zebra", "reason": "1"}, {"pattern": r"x\s+y", "match": "regex", "reason": "2"}, {"pattern": "aber hallo", "reason": "3"}, {"pattern": "bra", "match": "substring", "reason": "4"}]
+    keywords = listing([{"id": "nl-x", "term": "sterk"}], exclusions)
+    said = lambda text: verdict(spark, keywords, {"full_text": text})["reason"]
+    assert said("een Zèbra").endswith("zebra' in full_text (matched 'Zèbra'): 1") and said("zebras").endswith("(matched 'bra'): 4")
+    assert said("aber  hallo en X \n y").startswith("vetoed by exclusion 'x") and said("ABER\thallo").endswith(": 3") and "vetoed" not in said("aberhallo")
+
+
+def test_stages_run_only_on_what_passed(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def dear(text):
+        calls.add(1)
+        return {"passed": text != "bad", "score": 2.0, "reason": "seen"}
+
+    stages = [
+        chain.Stage("short", ("text",), lambda text: F.struct((F.length(text) < 5).alias("passed"), (F.length(text) == 2).alias("needs_review"))),
+        chain.Stage("dear", ("text",), chain.lazily(dear), knows_alive=True), chain.Stage("last", ("n",), lambda n: F.struct((n % 2 == 0).alias("passed"), n.cast("double").alias("score"))),
+    ]
+    rows = [(0, "ok"), (1, "far too long"), (2, "bad"), (3, "ok"), (4, None), (5, ""), (6, "fine")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "n int, text string, verdict string")
+    got = {r["n"]: tuple(r["verdict"]) for r in chain.evaluate(df, stages).select("n", "verdict").collect()}
+    assert got == {
+        0: (True, 0.0, None, "last", True), 1: (False, 0.0, None, "short", False), 2: (False, 2.0, "seen", "dear", False), 3: (False, 3.0, None, "last", False), 4: (False, 0.0, None, "short", False),
+        5: (False, 5.0, None, "last", False), 6: (True, 6.0, None, "last", False),
+    }
+    assert calls.value == 5
+    assert tuple(chain.evaluate(df, []).first()["verdict"]) == (True, 0.0, "no filter stages configured", "chain", False)
+    assert chain.evaluate(df.limit(0), stages).collect() == []
+
+
 BROKEN = [
     lambda d: d.pop("terms"), lambda d: d.update(extra=1), lambda d: d["terms"].append(dict(d["terms"][0])), lambda d: d["terms"][0].update(requires=["en-none"]),
     lambda d: d["terms"][0].update(requires=[d["terms"][0]["id"]]), lambda d: d["terms"][0].update(case_sensitive=True), lambda d: d["terms"][3].update(aliases=["short"]),
