@@ -64,6 +64,21 @@ def unsubscribe(subscribers: DataFrame, ids: DataFrame, key: bytes, version: str
     }).drop("__out")
 
 
+def lookup(asked: DataFrame, subscribers: DataFrame, key: bytes, version: str) -> DataFrame:
+    """asked (ask, email, and token_seed of a verified token) with the subscriber that each asks for, if any: id, status and by what it was
+    found. By address, else by the keyed digest that an address leaves when it goes, else by the seed. A digest is compared byte by
+    byte, whatever the collation of its column; null finds nothing. Addresses are compared trimmed and lower-case."""
+    plain = F.lower(F.trim("email"))
+    asked = asked.withColumns({"__mail": plain, "__digest": pseudonym(key, F.col("email"), version)})
+    of = lambda column, name: subscribers.where(F.col(column).isNotNull()).select(F.col(column).cast("binary").alias(f"__{name}_key"), F.struct("id", "status").alias(f"__{name}"))
+    rows = asked
+    for name, mine, theirs in (("mail_row", "__mail", "email"), ("digest_row", "__digest", "email_digest"), ("seed_row", "token_seed", "token_seed")):
+        rows = rows.join(of(theirs, name), F.col(mine).cast("binary") == F.col(f"__{name}_key"), "left")
+    row = F.coalesce("__mail_row", "__digest_row", "__seed_row")
+    by = F.when(F.col("__mail_row").isNotNull(), "email").when(F.col("__digest_row").isNotNull(), "digest").when(F.col("__seed_row").isNotNull(), "token")
+    return rows.select("ask", row["id"].alias("id"), row["status"].alias("status"), by.alias("found_by"))
+
+
 def purge(subscribers: DataFrame, digest_horizon: Column | None, unconfirmed_horizon: Column | None) -> DataFrame:
     """Digests of those gone before the first horizon are forgotten; rows pending since before the second are deleted. A horizon
     that is not set enforces nothing."""

@@ -36,6 +36,11 @@ def advance(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     return joined.select(*keys, F.greatest("o.last_modified_seen", "n.last_modified_seen").alias("last_modified_seen"), F.coalesce("n.last_source_id", "o.last_source_id").alias("last_source_id"))
 
 
+def begin(explicit: Column, stored: Column) -> Column:
+    """From when a run looks: the time it was given beats the stored checkpoint; without either it has no lower bound."""
+    return F.coalesce(explicit, stored)
+
+
 def failure_kinds(failures: DataFrame) -> DataFrame:
     return failures.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind")
 

@@ -169,11 +169,60 @@ def test_exports(spark, tmp_path):
     lines = [r["line"] for r in export.json_lines(flat, F.struct(F.lit("x").alias("q"))).orderBy("position").collect()]
     assert '"record_type":"metadata"' in lines[0] and '"record_type":"case"' in lines[1]
     assert one(spark, export.run_log_name(F.lit("2027-01-01").cast("timestamp"))) == "2026-W53"
-    assert one(spark, export.human_size(F.lit(1536))) == "1.5 KB"
+    sizes = {0: "0 bytes", 1: "1 byte", 999: "999 bytes", 1_000: "1.0 kB", 840_249: "840.2 kB", 12_400_000: "12.4 MB", 5_000_000_000: "5000.0 MB"}
+    durations = {0: "0s", 59.4: "59s", 60: "1m 00s", 2186: "36m 26s", 14531: "4h 02m 11s", 0.5: "0s", 1.5: "2s"}
+    assert [one(spark, export.human_size(F.lit(n))) for n in sizes] == list(sizes.values()) and [one(spark, export.human_duration(F.lit(x))) for x in durations] == list(durations.values())
+    assert one(spark, export.human_count(F.lit(18204), "case")) == "18,204 cases" and one(spark, export.human_count(F.lit(1), "case")) == "1 case"
     many = spark.createDataFrame([(1, "reject", 1.23456, [f"t{i}" for i in range(60)])], "id long, action string, score double, terms array<string>")
     assert '"terms_omitted":10' in export.report_lines(many).first()["line"]
 
 
+def test_free_names_are_free(spark):
+    rng = random.Random(5)
+    stems = ["a", "a", "a_2", "a", "b", "a_2", "a_4", "a_02", "b_x", "b"] + [rng.choice(["c", "c", "c_2", "c_3", "c_2_2"]) for _ in range(60)]
+    logs = spark.createDataFrame(list(enumerate(stems)), "pos long, stem string").repartition(5)
+    got = [(r["stem"], r["pos"], r["name"]) for r in export.free_names(logs).collect()]
+    assert len(got) == len(stems) and len({n for _, _, n in got}) == len(stems) and all(n == s or n.rpartition("_")[0] == s for s, _, n in got)
+    assert sorted(n for s, _, n in got if s == "a") == ["a", "a_3", "a_5"] and {n for s, _, n in got if s == "a_2"} == {"a_2", "a_2_2"}
+    first = {s: min(p for t, p, _ in got if t == s) for s in stems}
+    assert all(n == s for s, p, n in got if p == first[s])
+    taken = spark.createDataFrame([("b",), ("b_2",), ("a_9",)], "name string")
+    again = [r["name"] for r in export.free_names(logs, taken).collect()]
+    assert len(set(again)) == len(stems) and not {"b", "b_2", "a_9"} & set(again) and "b_3" in again
+
+
+def test_run_reports(spark):
+    at = dt.datetime(2027, 1, 1, 3, 12, 5)
+    rows = [
+        ("a", "NL", "partial", at, at + dt.timedelta(seconds=2186), 1300, 1275, 20, 25, 12_400_000, "2026-12-30, after case x", "2026-12-30, after case x", None), ("b", "EU", "success", at, at, 3, 3, 0, 0, 0, None, "y", None),
+        ("c", "EU", "failed", at, None, 5, 0, 1, 0, 10, None, None, "the source is gone"), ("d", "EU", "success", at, at, 0, 0, 0, 0, 0, None, None, None), ("e", "EU", "interrupted", at, at, 9, 0, 2, 1, 2000, "p", "q", None),
+    ]
+    runs_ = spark.createDataFrame(rows, "id string, jurisdiction_code string, status string, started_at timestamp, finished_at timestamp, discovered long, skipped long, written long, failed long, bytes long, before string, after string, error string")
+    failures = spark.createDataFrame([("a", i, f"c{i:02d}", "Timeout" if i % 3 else "Gone", f"reason {i}") for i in range(25)] + [("e", 1, "x", "Gone", "went")], "run string, pos long, identifier string, kind string, reason string")
+    got = {r["id"]: (r["name"], r["text"]) for r in export.run_reports(runs_, failures).collect()}
+    text = got["a"][1]
+    assert got["a"][0] == "2026-W53_20270101T031205Z" and text.startswith("NL corpus mirror - 2026-W53\n===========================\n\n20 new cases, 25 failed.\n\nThe run\n-------\n")
+    assert "Took              36m 26s" in text and "Written           12.4 MB" in text and "Discovered        1,300 cases" in text and "the position did not move" in text
+    assert "      16  Timeout\n       9  Gone\n    c00  reason 0\n" in text and "c19  reason 19\n    ... and 5 more\n" in text and "c20" not in text
+    assert "A quiet week: 3 cases offered" in got["b"][1] and "Failures" not in got["b"][1] and "FAILED after 1 new case: the source is gone" in got["c"][1] and "Finished          not recorded" in got["c"][1]
+    assert "Nothing at all was offered" in got["d"][1] and "INTERRUPTED after 2 new cases, 1 failed." in got["e"][1] and "... and" not in got["e"][1]
+
+
+def test_lookups(spark):
+    key = b"pepper"
+    gone = hmac.new(key, b"subscriber.v1:gone@x.org", hashlib.sha256).hexdigest()
+    rows = [(1, "here@x.org", "confirmed", None, "s1"), (2, None, "unsubscribed", gone, "s2"), (3, None, "unsubscribed", gone.upper(), "s3"), (4, None, "unsubscribed", None, None)]
+    subscribers = spark.createDataFrame(rows, "id long, email string, status string, email_digest string, token_seed string")
+    asked = spark.createDataFrame([("a", " Here@X.org ", None), ("b", "GONE@x.org", None), ("c", "who@x.org", None), ("d", None, "s3"), ("e", None, None), ("f", "who@x.org", "s1")], "ask string, email string, token_seed string")
+    got = {r["ask"]: (r["id"], r["found_by"]) for r in notify.lookup(asked, subscribers, key, "subscriber.v1").collect()}
+    assert got == {"a": (1, "email"), "b": (2, "digest"), "c": (None, None), "d": (3, "token"), "e": (None, None), "f": (1, "token")}
+
+
+def test_explicit_since(spark):
+    df = spark.createDataFrame([(1, "x", "y"), (2, None, "y"), (3, None, None)], "id int, given string, stored string")
+    assert [r[0] for r in df.orderBy("id").select(runs.begin(F.col("given"), F.col("stored"))).collect()] == ["x", "y", None]
+
+
 def test_mirror_names(spark):
     names = {"a b/c": ("a_b_c", None), " ": (None, "blank"), ".x": (None, "hidden"), "x.": (None, "trailing dot"), "con.txt": (None, "reserved"), "_RUNS": (None, "bookkeeping"), "x" * 101: (None, "too long")}
     got = {r["n"]: tuple(r["f"]) for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", mirror.folder_name(F.col("n")).alias("f")).collect()}
