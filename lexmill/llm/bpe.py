@@ -9,6 +9,7 @@ size is fixed and does not grow with the data.
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 
 import numpy as np
@@ -132,44 +133,56 @@ def _heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+@functools.lru_cache(1)
+def _factors() -> np.ndarray:
+    return np.random.default_rng(3).integers(1, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
+
+
+def slice_hashes(points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the slices of code points that begin at ``starts``, one after the other."""
+    place = np.arange(len(points), dtype=np.int64) - np.repeat(starts, sizes)
+    mixed = (points + np.uint64(0x9E3779B97F4A7C15)) * _factors()[place & 1023]
+    if int(sizes.max()) > 1024:
+        mixed += (place >> 10).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    out = np.add.reduceat(mixed, starts) + sizes.astype(np.uint64)
+    return out ^ (out >> np.uint64(29))
+
+
 class Encoder:
-    """Ids of slices, merged together for many slices and remembered; emptied before it would hold more than ``bound``."""
+    """Ids of slices, merged together for many slices and remembered by 64-bit hashes of the slices, in arrays; emptied before it would
+    hold more than ``bound`` slices, or sixteen times as many ids."""
 
-    bound = 120_000
-    #: Slices looked up at a time.
-    many = 32_768
+    bound = 500_000
+    #: Code points whose slices are looked up at a time.
+    many = 1 << 20
 
     def __init__(self, ranks: dict[bytes, int]):
         self.merges = Merges(ranks)
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}  # slice to its number
-        self.flat, self.begin, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _learn(self, pieces: list[str]) -> list[str]:
-        """Merges the slices that are not known yet; gives those of them that are too long to keep."""
-        new = list(set(pieces).difference(self.known))
-        if len(self.begin) + len(new) > self.bound or len(self.flat) > 16 * self.bound:
-            self._clear()
-            new = list(set(pieces))
-        if not new:
-            return []
-        order, ids, size = self.merges.merge([p.encode("utf-8", "surrogatepass") for p in new])
-        self.known.update(zip(map(new.__getitem__, order), range(len(self.begin), len(self.begin) + len(new))))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
+        self.known, self.number = np.empty(0, np.uint64), np.empty(0, np.int32)  # hashes in order, and their slices' numbers
+        self.flat, self.begin, self.size = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ascending hashes are among the known ones, and whether they are."""
+        at = np.searchsorted(self.known, keys)
+        there = np.zeros(len(keys), bool)
+        inside = at < len(self.known)
+        there[inside] = self.known[at[inside]] == keys[inside]
+        return at, there
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes], at: np.ndarray) -> None:
+        """Merge slices that aren't known; ``at``: where their hashes belong."""
+        order, ids, size = self.merges.merge(pieces)
+        number = np.empty(len(pieces), np.int32)
+        number[order] = np.arange(len(self.begin), len(self.begin) + len(pieces))
+        self.known, self.number = np.insert(self.known, at, keys), np.insert(self.number, at, number)
+        self.begin = np.concatenate([self.begin, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
         self.flat = np.concatenate([self.flat, ids])
-        return [p for p in new if len(p) > 64]
-
-    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        long = self._learn(pieces)
-        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        for p in long:
-            del self.known[p]
-        size = self.size[number]
-        end = np.cumsum(size)
-        return self.flat[np.repeat(self.begin[number] - end + size, size) + np.arange(end[-1])], size
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each text has. Null is like an empty text."""
@@ -179,17 +192,36 @@ class Encoder:
         whole = "".join(texts)
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = token_starts(points, (ends - length)[length > 0])
-        ids, sizes = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
-        for low in range(0, len(starts), self.many):
-            cut = starts[low : low + self.many + 1].tolist()
-            if low + self.many >= len(starts):
-                cut.append(len(whole))
-            flat, size = self._ids([whole[i:j] for i, j in zip(cut, cut[1:])])
+        if not len(starts):
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        sizes = np.diff(np.append(starts, len(points)))
+        ids, counts, low = [], [], 0
+        while low < len(starts):  # a long text by groups of its slices
+            high = max(low + 1, int(np.searchsorted(starts, starts[low] + self.many)))
+            flat, n_ids = self._ids(whole, points[starts[low] : starts[high - 1] + sizes[high - 1]], starts[low:high], sizes[low:high])
             ids.append(flat)
-            sizes.append(size)
-        total = np.cumsum(np.concatenate(sizes))
+            counts.append(n_ids)
+            low = high
+        total = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         return np.concatenate(ids), np.diff(total[np.searchsorted(starts, np.concatenate([[0], ends]))])
 
+    def _ids(self, whole: str, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of successive slices, one after the other, and how many each has."""
+        keys, first, which = np.unique(slice_hashes(points, starts - starts[0], sizes), return_index=True, return_inverse=True)
+        at, there = self._find(keys)
+        if not there.all():
+            if len(self.known) + len(keys) > self.bound or len(self.flat) > 16 * self.bound:
+                self._clear()
+                at, there = self._find(keys)
+            new = np.flatnonzero(~there)
+            begin, size = starts[first[new]].tolist(), sizes[first[new]].tolist()
+            self._learn(keys[new], [whole[i : i + n].encode("utf-8", "surrogatepass") for i, n in zip(begin, size)], at[new])
+            at, _ = self._find(keys)
+        number = self.number[at][which]
+        n_ids = self.size[number].astype(np.int64)
+        end = np.cumsum(n_ids)
+        return self.flat[np.repeat(self.begin[number] - end + n_ids, n_ids) + np.arange(end[-1])], n_ids
+
 
 _loaded: dict[str, object] = {}
 

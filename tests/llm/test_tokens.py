@@ -76,3 +76,25 @@ def test_chat(spark):
 
 def test_chat_oracle(spark, sf):
     compare(queries.op6_chat_formatting(spark, sf), connect(sf), queries.oracle_sql()["op6_chat_formatting"])
+
+
+def test_groups_and_evictions_change_nothing(monkeypatch):
+    """Small groups, a cache that is emptied all the time, and a text of one long slice: the ids of the tiktoken library."""
+    rng = random.Random(4)
+    texts = [None, "", " ".join("".join(rng.choices("abcdeéß ", k=rng.randint(1, 9))) for _ in range(3_000)), "x" * 5_000 + " y" * 900, "\n\n \t", "don't we'll I'M 12 345 ééé ", " ".join(f"w{i}" for i in range(2_000))] * 2
+    expected = [REFERENCE.encode_ordinary(t or "") for t in texts]
+    for bound, many in ((500_000, 1 << 20), (50, 7), (3_000, 500)):
+        monkeypatch.setattr(Encoder, "bound", bound)
+        monkeypatch.setattr(Encoder, "many", many)
+        encoder = Encoder(RANKS)
+        for part in (texts, texts[:3], texts[3:]):
+            flat, counts = encoder.encode(part)
+            got = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+            assert got == (expected if part is texts else expected[:3] if len(part) == 3 else expected[3:])
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", [1], b"x"), (1, "a b", [2], b"y"), (None, None, None, None)], "doc_id long, text string, ids array<int>, decoded binary")
+    got = queries.bpe_digests(df, Tokenizer(spark, queries.vocabulary())).collect()
+    assert len(got) == 3 and len({r["ids_sha256"] for r in got if r["doc_id"] == 1}) == 1 and {r["n_tokens"] for r in got if r["doc_id"] is None} == {0}
+    assert queries.bpe_digests(df.limit(0), Tokenizer(spark, queries.vocabulary())).collect() == []
