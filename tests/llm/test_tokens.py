@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 from oracle import compare, connect
