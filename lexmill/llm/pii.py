@@ -2,8 +2,8 @@
 
 The plain patterns give the base spans. They are found in time linear in the text, by maximal runs that are cut by rule.
 
-The semi-Markov field scores whole candidate segments: of the tokens near a digit, an ``@``, the word *dot*, or *at* in brackets or before a domain, every segment of at
-most SPAN tokens that begins and ends plausibly is described by features of the whole segment (shape, digit groups, check
+The semi-Markov field scores whole candidate segments: of the tokens near a digit, an ``@``, the word *dot*, or *at* in brackets or before a domain, every segment of bounded
+length that begins and ends plausibly is described by features of the whole segment (shape, digit groups, check
 digit, separators, neighbours). Dynamic programming over the tokens chooses boundaries and types together. Its weights are
 learned by stochastic gradient ascent on the exact log-likelihood (forward-backward over segments) from generated sentences, a
 fixed number under a fixed seed; no document is used. Segments it finds are added where they touch no base span.
@@ -27,8 +27,9 @@ from pyspark.sql.functions import arrow_udf
 from lexmill.llm.batches import bound_batches, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
-#: Longest segment, in tokens.
-SPAN = 32
+#: Longest segment without letters, in tokens; longest one with letters, in characters: an address has 320 at most, the rest is room for
+#: how it is noted.
+SPAN, MOST = 32, 512
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -106,7 +107,7 @@ def base_spans(text: str) -> dict[str, Spans]:
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|[^A-Za-z0-9\s]")
 _ANCHOR = re.compile(r"(?i)[0-9@]|\bdot\b|[\[({]\s{0,2}at\s{0,2}[\])}]|\bat\s{1,2}[a-z0-9-]{1,64}\.[a-z]", re.ASCII)
 #: Characters around an anchor that are looked at; overlapping surroundings are joined.
-AROUND, WIDEN = 48, 128
+AROUND, WIDEN = 48, MOST
 _CUES = {
     "email": re.compile(r"(?i)(?:e-?mail|mail|contact|write)\W*(?:\w+\W+)?$"),
     "ip": re.compile(r"(?i)(?:\bip|host|server|address)\W*(?:\w+\W+)?$"),
@@ -182,32 +183,58 @@ def _regions(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def _beside_marks(words: list[str], mark: list[bool]) -> list[bool]:
+    """Of each token whether, brackets and white space left out, a mark is the next one after it or the last one before it."""
+    n = len(words)
+    out = [False] * n
+    for order, skipped in ((range(n - 1, -1, -1), "[({"), (range(n), "])}")):
+        near = False
+        for k in order:
+            out[k] = out[k] or near
+            if mark[k]:
+                near = True
+            elif not (words[k].isspace() or words[k] in skipped):
+                near = False
+    return out
+
+
 def _candidates(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int, int, int]]]:
     """Token ends of a region, and segments as (first token, last token + 1, start, end). A segment has an anchor, no line
-    break, begins with a letter, digit, ``+`` or ``(``, ends with a letter or digit, and if it has letters it has an ``@``, *at* or *dot*;
-    with digits alone it has at least 7 of them."""
+    break, begins with a letter, digit, ``+`` or ``(``, and ends with a letter or digit.
+
+    With letters it is built like an address: it begins where a run of the characters of local parts begins, it has an ``@``, *at* or *dot*,
+    and white space only beside these; so the whole local part belongs to it, however many words it has. It has at most MOST
+    characters. With digits alone it has at least 7 of them and at most SPAN tokens.
+    """
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, start, end)]
     words = [text[a:b] for a, b in tokens]
     digit = [w[0] in "0123456789" for w in words]
     alpha = [w[0].isascii() and w[0].isalpha() for w in words]
     mark = [w == "@" or w.lower() in ("at", "dot") for w in words]
+    beside = _beside_marks(words, mark)
+    whole, inside = [], False  # whether an address may begin here: no letter or digit before it in its run
+    for w, d, x in zip(words, digit, alpha):
+        whole.append(not inside)
+        inside = d or x or (inside and w in "._%+-")
     out = []
     for i, w in enumerate(words):
         if not (digit[i] or alpha[i] or w in "+("):
             continue
-        letters = marks = False
+        letters = marks = gaps = False
         digits = 0
-        for j in range(i, min(len(words), i + SPAN)):
-            if "\n" in words[j] or len(words[j]) > 64 or (words[j][0].isspace() and len(words[j]) > 2):
+        for j in range(i, len(words)):
+            space = words[j][0].isspace()
+            if "\n" in words[j] or len(words[j]) > 64 or (space and len(words[j]) > 2) or tokens[j][1] - tokens[i][0] > MOST:
                 break
             letters, marks = letters or alpha[j], marks or mark[j]
+            gaps = gaps or (space and not beside[j])
+            if letters and (gaps or not whole[i]) or not letters and j - i >= SPAN:
+                break
             if digit[j]:
                 digits += len(words[j])
-            elif not (alpha[j] or words[j][0].isspace() or words[j] in "@.()[]{}-+/_%"):
-                break
-            if letters and not marks and j - i > 5:
+            elif not (alpha[j] or space or words[j] in "@.()[]{}-+/_%"):
                 break
-            if digits > 20 and not marks:
+            if digits > 20 and not marks and not letters:
                 break
             if (digit[j] or alpha[j]) and (marks if letters else digits >= 7) or (digit[j] and not letters and words[i : j + 1].count(".") >= 3):
                 out.append((i, j + 1, tokens[i][0], tokens[j][1]))
@@ -258,6 +285,8 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         local = word() + (rng.choice(["", ".", "_"]).join(["", number(2)]) if rng.random() < 0.6 else "")
         if rng.random() < 0.25:
             local = word() + dot + word()
+        elif rng.random() < 0.2:
+            local = "".join(word() + rng.choice(".-_") for _ in range(rng.randint(1, 6))) + word()
         return local + at + word() + rng.choice(["", dot + word()]) + dot + rng.choice(["com", "org", "net", "de", "fr", "co" + dot + "uk"])
 
     def phone() -> str:
@@ -359,7 +388,8 @@ def spans(text: str | None, weights: np.ndarray) -> list[tuple[str, int, int, bo
 
 def find(text: Column, weights: np.ndarray | None = None) -> Column:
     """array<struct<kind, start, end, base>> of each whole text; empty for a null or empty one. Base spans of different kinds may
-    overlap; added spans overlap nothing."""
+    overlap; added spans overlap nothing. A very long text is read in one piece, its regions one after the other, so it takes memory for
+    itself and its spans; rows that repeat get equal spans; other columns are not read."""
     weights = train() if weights is None else weights
     if spark := SparkSession.getActiveSession():
         bound_batches(spark)

@@ -1,5 +1,8 @@
+import collections
+import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -71,6 +74,48 @@ def test_addresses_without_digits(mail):
     assert [(k, text[a:b]) for k, a, b, _ in pii.spans(text, pii.train())] == [("email", mail)]
 
 
+@pytest.mark.parametrize("mail", ["john.de.la.cruz [at] example [dot] com", "max-peter-hans-otto [at] example [dot] com", "a-b-c-d-e-f-g at example dot com", "x_y.z-1.2.3.q.r.s.t.u(at)mail.example.org", "j.r.r.t.van.der.berg.jr[at]uni-x.example.com"])
+def test_whole_local_parts(mail):
+    """However many words a local part has, none of it is left."""
+    for text in (f"please write to {mail}, or wait", f"{mail}", f"(see {mail})", f"a b c\n{mail}\nd"):
+        got = [(k, text[a:b]) for k, a, b, _ in pii.spans(text, pii.train())]
+        assert got == [("email", mail)], text
+
+
+def test_generated_local_parts():
+    rng = random.Random(21)
+    found = 0
+    for _ in range(200):
+        words = ["".join(rng.choices("abcdeilmnorstu", k=rng.randint(1, 6))) + rng.choice(["", "", "7"]) for _ in range(rng.randint(1, 12))]
+        local = "".join(w + s for w, s in zip(words, [*rng.choices(".-_", k=len(words) - 1), ""]))
+        mail = local + rng.choice([" [at] ", "(at)", " at ", "[at]"]) + "example" + rng.choice([" [dot] ", "(dot)", " dot ", "."]) + rng.choice(["com", "org", "de"])
+        text = f"we said that {mail}; nothing else"
+        got = [text[a:b] for _, a, b, _ in pii.spans(text, pii.train())]
+        assert not got or got == [mail], text  # never a part of one
+        found += got == [mail]
+    assert found >= 190
+
+
+def test_query_against_plain_patterns(spark, sf):
+    """Counts and digests of the base spans of all documents, by regular expressions; added spans touch no base span."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op9_pii(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = plain(texts[r["doc_id"]])
+        listed = [f"{k}:{a}:{b}" for k in pii.KINDS for a, b in base[k]]
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [len(base[k]) for k in pii.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        spans = [x.split(":") for x in r["spans"].split(",")] if r["spans"] else []
+        assert set(listed) <= {":".join(x) for x in spans} and [(pii.KINDS.index(k), int(a)) for k, a, _ in spans] == sorted((pii.KINDS.index(k), int(a)) for k, a, _ in spans)
+        taken = [s for found in base.values() for s in found]
+        assert all(int(b) <= x or int(a) >= y for k, a, b in spans if f"{k}:{a}:{b}" not in listed for x, y in taken)
+
+
+def test_pii_of_an_empty_table(spark):
+    assert spark.createDataFrame([], "text string").select(pii.find(F.col("text")), pii.redacted(F.col("text"))).collect() == []
+
+
 def test_every_generated_label_is_a_candidate():
     rng = random.Random(12)
     for _ in range(500):
@@ -94,6 +139,52 @@ def test_decontamination_oracle(spark, sf):
     compare(queries.op5_benchmark_decontamination(spark, sf), connect(sf), queries.oracle_sql()["op5_benchmark_decontamination"])
 
 
+def test_decontamination_against_all_windows(spark):
+    """Every window of every item's size, whether a shared shingle is aligned in it or not: the same documents match the same items."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefgh", k=3))
+    items = [[word() for _ in range(n)] for n in (3, 5, 9, 20, 45, 45)] + [[*"xy"] * 12]
+    rows = []
+    for i in range(120):
+        part = list(rng.choice(items))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            at = rng.randrange(len(part))
+            part[at : at + rng.choice([0, 1, 1])] = [word() for _ in range(rng.choice([0, 1, 1]))]
+            part = part or [word()]
+        rows.append((i, " ".join([*(word() for _ in range(rng.randint(0, 30))), *part, *(word() for _ in range(rng.randint(0, 30)))])))
+    shingles = lambda w, n: collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    expected = set()
+    for i, text in rows:
+        w = text.split()
+        for k, item in enumerate(items):
+            n = min(5, len(item))
+            b = shingles(item, n)
+            for s in range(max(1, len(w) - len(item) + 1)):
+                a = shingles(w[s : s + len(item)], n)
+                if 100 * sum((a & b).values()) >= 75 * sum((a | b).values()) > 0:
+                    expected.add((i, k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    listed = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, listed).collect()}
+    assert got == expected and len(got) > 40
+
+
+def test_decontamination_of_a_long_text(spark):
+    """One text that repeats an item: its words are hashed once, so ten times the text takes about ten times as long."""
+    rng = random.Random(2)
+    item = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(30)]
+    listed = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+
+    def took(times):
+        docs = spark.createDataFrame([(1, " ".join(item * times))], "doc_id long, text string")
+        start = time.perf_counter()
+        assert [r["shared"] for r in decontaminate.matches(docs, listed).collect()] == [26]
+        return time.perf_counter() - start
+
+    took(50)
+    assert took(20_000) < 12 * max(took(2_000), 1.0)
+
+
 def test_decontamination_edges(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
