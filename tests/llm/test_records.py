@@ -186,6 +186,60 @@ def test_wrapped_and_embedded_licences(spark):
     assert got == {i: (name, "header", 1.0) for i, name, _ in rows} | {-1: (None, None, None), -2: (None, None, None)}
 
 
+DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE."""
+GNU = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation; either version {3} of the License, or (at your option) any later version."
+ALIKE = {
+    "GPL-2.0": [GNU.format("program", ";", "", 2), GNU.format("file", ";", "", 2)], "GPL-3.0": [GNU.format("program", ":", "", 3), GNU.format("software", ":", "", 3)],
+    "LGPL-2.1": [GNU.format("library", ";", "Lesser ", 2.1), GNU.format("program", ";", "Lesser ", 2.1)], "LGPL-3.0": [GNU.format("library", ":", "Lesser ", 3)], "AGPL-3.0": [GNU.format("program", ":", "Affero ", 3), GNU.format("file", ":", "Affero ", 3)],
+    **{name: licenses.TEMPLATES[name] for name in licenses.TEMPLATES if name.startswith("CC-BY")},
+    **{name: [licenses.TEMPLATES[name][-1] + " " + DISCLAIMER] for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "Zlib", "PostgreSQL", "MIT-0", "Unlicense", "WTFPL")},
+    "0BSD": [licenses.TEMPLATES["0BSD"][0].removesuffix("THE SOFTWARE IS PROVIDED") + DISCLAIMER], "Apache-2.0": ["Copyright 2024 Someone\n\n" + licenses.TEMPLATES["Apache-2.0"][-1]], "MPL-2.0": [licenses.TEMPLATES["MPL-2.0"][-1]],
+}
+
+
+def test_close_licences_are_told_apart(spark):
+    """Headers and whole files of licences that differ in a word or a paragraph each give their own identifier, wherever they stand, also
+    where every word of the templates is frequent."""
+    assert len(licenses.TEMPLATES) >= 25
+    prose = " ".join(f"word{i}" for i in range(60))
+    rows = [(name, text) for name, texts in sorted(ALIKE.items()) for t in texts for text in (t, "Copyright (c) 2024 A. Writer\n\n" + textwrap.fill(t, 70), f"{prose}\n# " + textwrap.fill(t, 60).replace("\n", "\n# ") + f"\n{prose}")]
+    common = [t for texts in licenses.TEMPLATES.values() for t in texts]
+    for filler in ([], [f"{prose} {common[i % len(common)]}" for i in range(400)]):
+        listed = [(i, f"d{i}/x.c", text) for i, (_, text) in enumerate(rows)] + [(10_000 + i, f"f{i}/y.c", t) for i, t in enumerate(filler)]
+        got = {r["id"]: (r["license"], r["basis"]) for r in licenses.scan(spark.createDataFrame(listed, "id long, path string, text string")).collect()}
+        wrong = {(name, got[i][0]) for i, (name, _) in enumerate(rows) if got[i][0] != name}
+        assert not wrong
+
+
+def test_inheritance_over_documents(spark, sf):
+    """Of all documents, by walking up from each one's directory."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").collect()
+    got = {r["doc_id"]: r for r in queries.op8_license_scan(spark, sf).collect()}
+
+    def path(r):
+        n = r["doc_id"]
+        folder = r["source"] if n % 20_000 == 0 else f"{r['source']}/{n // 1000}" if n % 1000 == 0 else f"{r['source']}/{n // 1000}/{n // 50}"
+        return folder, f"{folder}/{'LICENSE' if n % 50 == 0 else f'{n}.txt'}"
+
+    licensed = {}
+    for r in docs:
+        found = got[r["doc_id"]]
+        assert found["path"] == path(r)[1]
+        if found["basis"] == "file":
+            licensed.setdefault(path(r)[0], []).append((-found["score"], found["license"]))
+    for r in docs:
+        found, folder = got[r["doc_id"]], path(r)[0]
+        while folder and folder not in licensed:
+            folder = folder.rpartition("/")[0]
+        if found["basis"] in ("file", "header"):
+            assert found["licensed_dir"] is None and found["score"] >= 0.8
+        elif folder in licensed:
+            assert (found["basis"], found["licensed_dir"], found["license"], found["score"]) == ("inherited", folder, min(licensed[folder])[1], -min(licensed[folder])[0])
+        else:
+            assert found["license"] is None and found["basis"] is None
+
+
 def test_sliding_cosines():
     rng = random.Random(2)
     texts = {n: t for n, t in licenses.TEMPLATES.items()}
@@ -199,8 +253,8 @@ def test_sliding_cosines():
             for p in range(len(words) - size + 1):
                 v = matcher.vector(words[p : p + size])
                 expected = max(expected, sum(x * vector.get(w, 0) for w, x in v.items()) / math.sqrt(sum(x * x for x in v.values())))
-        got = matcher.windows(words)
-        assert expected < 0.5 if got is None else got[0] == pytest.approx(expected) or expected < 0.5
+        got = max((h.score for h in matcher.windows(words)), default=None)
+        assert expected < 0.5 if got is None else got == pytest.approx(expected)
 
 
 def test_licences_of_documents(spark, sf):
