@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/lexmill/{name}-{uuid.uuid4().hex}"
+    """A new path of its own below the shared folder, in that of the application."""
+    path = f"{shared_dir(spark)}/lexmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes[-1:]:
+        scope.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are written within are deleted at the end: results that still read one have to be written before, to a
+    path from without."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete_path(spark, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that have not been written yet are lost with them."""
+    delete_path(spark, f"{shared_dir(spark)}/lexmill/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

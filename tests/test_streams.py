@@ -137,3 +137,16 @@ def test_mirror_limits(spark):
     assert store.checkpoint()[1] == "x1"
     totals = store.ledger().groupBy("run").agg(F.sum("written").alias("w")).collect()
     assert {r["run"]: r["w"] for r in totals} == {1: 3, 2: 3, 3: 4, 4: 6}
+
+
+def test_scratch_tables_are_deleted(spark):
+    from lexmill import session
+
+    kept = session.materialize(spark.range(3).toDF("x"), "kept")
+    path = session.scratch_path(spark, "result")
+    with session.scratch_scope(spark):
+        inner = session.materialize(spark.range(5).toDF("x"), "inner")
+        where = inner.inputFiles()[0].rpartition("/")[0]
+        inner.write.parquet(path)
+    assert session.list_path(spark, where) == [] and spark.read.parquet(path).count() == 5 and kept.count() == 3
+    session.delete_path(spark, path)
