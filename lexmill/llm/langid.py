@@ -151,9 +151,10 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
     return model
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 600, max_chars: int = 100_000, max_labels: int = 1_000, **options) -> Model:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 600, max_chars: int = 100_000, max_labels: int = 1_000, most: int = 240_000_000, **options) -> Model:
     """Fit on at most ``per_label`` whole texts of each label, of at most ``max_chars`` characters each; that sample is all that reaches
-    the driver. Rows without id, text or label teach nothing.
+    the driver, and has at most ``most`` characters: with more labels than that allows, fewer and then shorter texts of each are drawn.
+    Rows without id, text or label teach nothing.
 
     Rows are drawn by a hash of id and text, so equal rows are drawn together and count once; each label's share follows from an
     estimate of its distinct rows, and where more are drawn, those of the least hashes stay. More than ``max_labels`` labels are
@@ -167,6 +168,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         raise ValueError(f"more than {max_labels} labels")
     if not counts:
         return fit([], [])
+    per_label = min(per_label, max(50, most // (len(counts) * max_chars)))
+    max_chars = min(max_chars, most // (len(counts) * per_label))
+    rows = rows.where(F.char_length("text") <= max_chars)
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_label / max(r["n"], 1)))])
     drawn = rows.where(F.pmod("draw", F.lit(1 << 20)) / (1 << 20) < share[F.col("lang")]).dropDuplicates(["lang", "draw"])
     order = Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 20)), "draw")

@@ -65,7 +65,8 @@ def _repeat_words(words: Column, window: int = 3) -> Column:
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, the measurements, and ``failed`` (bigint, a bit for each failed rule).
 
-    A null text has no words and one empty line. Rows that repeat get equal entries; other columns are not read.
+    A null text has no words and, like any text without them, no lines. Rows that repeat get equal entries; other columns are not read.
+    A text of any length is one row's arrays: some 40 bytes a word.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.llm import chat, decontaminate, hard_negatives, langid, licenses, line_quality, lm_score, merkle, pii, quality, warc
 from lexmill.llm.bpe import Tokenizer
 from lexmill.llm.near_dedup import near_duplicates
-from lexmill.session import scratch_path
+from lexmill.session import materialize, scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy removes, and what it alone removes: the ledger is stored once, then only its bits are read."""
+    entries = materialize(quality.ledger(_table(spark, sf_dir, "documents")).select("doc_id", "failed"), "ledger")
+    return quality.ablations(entries, ("corpus", 2))
+
+
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Merkle manifest of documents: every row's leaf, proof and what a tampered row folds to."""
     return merkle.document_manifest(_table(spark, sf_dir, "documents"))
@@ -132,7 +138,7 @@ def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_bundles, op2_lm_scoring, op3_language_id, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_chat_formatting, op7_byte_level_bpe, op8_license_scan, op9_pii, op10_quality_rules, op11_merkle_manifest, op12_hard_negatives, op13_quality_classifier)}
+    return {f.__name__: f for f in (op1_warc_bundles, op2_lm_scoring, op3_language_id, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_chat_formatting, op7_byte_level_bpe, op8_license_scan, op9_pii, op10_quality_rules, quality_ablations, op11_merkle_manifest, op12_hard_negatives, op13_quality_classifier)}
 
 
 OP1 = r"""
@@ -222,6 +228,9 @@ m AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed::BIGINT AS failed FROM f
 """
+ABLATIONS = OP10.rpartition("SELECT doc_id, n_words")[0] + """, b(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('duplicate_lines', 8), ('word_length', 16), ('few_letters', 32))
+SELECT rule, count_if(failed & bit <> 0)::BIGINT AS n_failed, count_if(failed = bit)::BIGINT AS n_only FROM f, b GROUP BY rule
+"""
 
 OP11 = r"""
 WITH RECURSIVE d AS (
@@ -283,4 +292,4 @@ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_scor
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_bundles": OP1, "op4_minhash_near_dedup": OP4, "op5_benchmark_decontamination": OP5, "op6_chat_formatting": OP6, "op10_quality_rules": OP10, "op11_merkle_manifest": OP11, "op12_hard_negatives": OP12}
+    return {"op1_warc_bundles": OP1, "op4_minhash_near_dedup": OP4, "op5_benchmark_decontamination": OP5, "op6_chat_formatting": OP6, "op10_quality_rules": OP10, "quality_ablations": ABLATIONS, "op11_merkle_manifest": OP11, "op12_hard_negatives": OP12}
