@@ -14,7 +14,7 @@ from lexmill.llm import decontaminate, langid, pii
 from lexmill.llm.bpe import Tokenizer
 from lexmill.llm.near_dedup import near_duplicates
 from lexmill.llm.queries import vocabulary
-from lexmill.session import materialize
+from lexmill.session import delete_path, materialize, scratch_path, scratch_scope
 
 
 #: Row keys that may be broadcast.
@@ -79,12 +79,20 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("personal_data", personal_data), ("tokens", tokens)]
-#: SQL can express neither the trained stages nor the tokenizer; tests hold each stage against a brute-force version.
+#: SQL can express neither the trained stages nor the tokenizer. Tests hold near-duplicates against all pairs, decontamination against all
+#: windows, base spans against regular expressions, ids against the tiktoken library, and languages against held-out labels.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. What a stage writes for itself is deleted when it has ended, its result when the next has."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            delete_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
