@@ -78,13 +78,27 @@ w AS (SELECT doc_id, {_has('idiot', 'a')} OR {_has('idiot', 'b')} AS vetoed,
 s AS (SELECT *, CASE WHEN vetoed THEN 0.0 ELSE w1 + w2 + CASE WHEN w2 > 0 THEN w3 ELSE 0.0 END + w4 + w5 + w6 + w7 + w8 END AS score FROM w)"""
 
 
-@query(f"""{_VERDICTS} SELECT doc_id AS id, score::DOUBLE AS score, vetoed, score >= 3 AS passed, score >= 3 AND score < 6 AS needs_review,
-  CASE WHEN vetoed THEN 0 ELSE (w1 > 0)::INT + (w2 > 0)::INT + (w3 > 0)::INT + (w4 > 0)::INT + (w5 > 0)::INT + (w6 > 0)::INT + (w7 > 0)::INT + (w8 > 0)::INT END AS n_terms FROM s""")
+_VERDICT_SQL = f"""{_VERDICTS} SELECT doc_id AS id, score::DOUBLE AS score, vetoed, score >= 3 AS passed, score >= 3 AND score < 6 AS needs_review,
+  CASE WHEN vetoed THEN 0 ELSE (w1 > 0)::INT + (w2 > 0)::INT + (w3 > 0)::INT + (w4 > 0)::INT + (w5 > 0)::INT + (w6 > 0)::INT + (w7 > 0)::INT + (w8 > 0)::INT END AS n_terms FROM s"""
+
+
+@query(_VERDICT_SQL)
 def keyword_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's verdict."""
     return _scored(spark, sf_dir).select("id", "v.score", "v.vetoed", "v.passed", "v.needs_review", F.size("v.terms").alias("n_terms"))
 
 
+@query(_VERDICT_SQL)
+def keyword_verdict_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same verdicts by a list of over 500 terms, most of which no document has."""
+    more = [{"id": f"en-more{i}", "term": f"zq{i} unheard{i % 50}", "lang": "en", "category": "general", "weight": 1, "aliases": [f"qz{i}x"]} for i in range(500)]
+    whole = keywords.example()
+    listed = keywords.parse(whole | {"terms": whole["terms"] + more})
+    docs = t.table(spark, sf_dir, "documents")
+    found = docs.select(F.col("doc_id").alias("id"), keywords.score(listed, title=F.substring("text", 1, 80), full_text=F.col("text")).alias("v"))
+    return found.select("id", "v.score", "v.vetoed", "v.passed", "v.needs_review", F.size("v.terms").alias("n_terms"))
+
+
 def _calm(text: str | None) -> dict:
     marks = (text or "").count("!")
     return {"passed": 20 * marks <= len(text or ""), "score": float(marks), "reason": f"{marks} marks"}
