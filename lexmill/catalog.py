@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import ingest, listing, matching, records, search, sources, streams  # noqa: F401  each module registers its queries
+from lexmill.plans import ingest, listing, matching, records, search, shown, sources, streams  # noqa: F401  each module registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

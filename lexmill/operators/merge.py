@@ -19,8 +19,10 @@ def resolved_hash(case_hash: Column, candidate_hash: Column, computed: Column) -
 
 
 def decide(candidates: DataFrame, snapshot: DataFrame, prefetch: bool) -> DataFrame:
-    """Adds ``action``: insert what is unknown; skip what has the stored hash (before fetching: only if there is one); else update."""
-    stored = snapshot.select(*KEY, F.col("content_hash").alias("stored_hash"))
+    """Adds ``action``: insert what is unknown; skip what has the stored hash (before fetching: only if there is one); else update. Beside
+    it stands what is stored of the record: its hash and, where the snapshot has them, id, revision and last_seen_at; no other column
+    of the snapshot is read."""
+    stored = snapshot.select(*KEY, F.col("content_hash").alias("stored_hash"), *[F.col(c).alias(f"stored_{c}") for c in ("id", "revision", "last_seen_at") if c in snapshot.columns])
     joined = candidates.join(stored.withColumn("__known", F.lit(True)), KEY, "left")
     same = F.col("content_hash") == F.col("stored_hash")
     if prefetch:
