@@ -38,6 +38,11 @@ def summary(cases: DataFrame, jurisdictions: DataFrame, courts: DataFrame) -> Da
     return named(cases, jurisdictions, courts).select(*SUMMARY)
 
 
+def published(cases: DataFrame, jurisdiction: str, source_id: str) -> DataFrame:
+    """The case of a code and an identifier, at most one row; one that isn't published is as if it were not there."""
+    return cases.where((F.col("jurisdiction_code") == jurisdiction) & (F.col("source_id") == source_id) & F.coalesce(F.col("is_published"), F.lit(False)))
+
+
 def detail(cases: DataFrame, jurisdictions: DataFrame, courts: DataFrame, **children: DataFrame) -> DataFrame:
     """Summary, history and the child lists of CHILDREN. children: tables with case_id and the list's fields; a missing one is an empty list.
 

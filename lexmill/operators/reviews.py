@@ -16,6 +16,22 @@ def keys(sort: str) -> list[Key]:
     return [Key(F.col(column), descending, nulls_first), Key(F.col("id"), descending)]
 
 
+# Statuses of a review, and how many may be asked for at once.
+STATUSES, STATUSES_MOST = ("pending", "decided", "withdrawn"), 16
+
+
+def parse_statuses(values: list[str]) -> tuple[str, ...]:
+    """The statuses that repeated parameters with commas ask for, each once: pending without any; ``any`` asks for all, that is no filter."""
+    asked = [x for v in values for x in (p.strip().lower() for p in v.split(",")) if x]
+    if not asked:
+        return ("pending",)
+    if "any" in asked:
+        return ()
+    if len(asked) > STATUSES_MOST or not set(asked) <= set(STATUSES):
+        raise ValueError(f"status: at most {STATUSES_MOST} of {', '.join(STATUSES)}, or any")
+    return tuple(dict.fromkeys(asked))
+
+
 def queue(reviews: DataFrame, cases: DataFrame, sort: str, statuses: tuple[str, ...] = ("pending",), jurisdictions: tuple[str, ...] = (), list_version: str | None = None, decided_by: str | None = None) -> DataFrame:
     """Reviews by status, jurisdiction of their case, list version and who decided, in a total order; no status means any."""
     rows = _chosen(reviews, cases, statuses, jurisdictions, list_version, decided_by)

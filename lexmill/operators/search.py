@@ -107,6 +107,15 @@ def bounded(value: str | int, least: int, most: int, name: str) -> int:
     return int(value)
 
 
+# Cases in a list of the newest ones.
+LATEST_DEFAULT, LATEST_MOST = 20, 50
+
+
+def latest_limit(value: str | None) -> int:
+    """How many of the newest cases are asked for; out of bounds is an error."""
+    return LATEST_DEFAULT if value is None or not value.strip() else bounded(value.strip(), 1, LATEST_MOST, "limit")
+
+
 def term_predicate(term: str, columns: tuple[str, ...] = ("title", "abstract", "source_id")) -> Column:
     out = F.lit(False)
     for c in columns:

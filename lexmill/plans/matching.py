@@ -38,15 +38,21 @@ def keyword_fold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id AS id, (length(f) - length(replace(f, 'ingthe', ''))) // 6 AS n FROM (SELECT doc_id, {_FOLDED.format('text')} AS f FROM documents WHERE text IS NOT NULL)")
 def keyword_hits_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = t.table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return docs.select(F.col("doc_id").alias("id"), F.size(F.regexp_extract_all(fold(compose(F.col("text"))), F.lit("(?=(ingthe))"), 1)).cast("long").alias("n"))
+    """How often a literal stands in each text, inside words or not."""
+    return _occurrences(spark, sf_dir, {"term": "ingthe", "match": "substring"})
 
 
 @query(f"SELECT doc_id AS id, len(list_filter(regexp_split_to_array({_FOLDED.format('text')}, '[^a-z0-9_à-ɏ]+'), lambda w: w IN ('stupid', 'worthless'))) AS n FROM documents WHERE text IS NOT NULL")
 def keyword_hits_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often some words stand in each text."""
+    return _occurrences(spark, sf_dir, {"term": "stupid", "aliases": ["worthless"]})
+
+
+def _occurrences(spark: SparkSession, sf_dir: str, term: dict) -> DataFrame:
+    listed = keywords.parse(keywords.example() | {"terms": [{"id": "en-one", "lang": "en", "category": "general", "weight": 1, **term}], "exclusions": []})
     docs = t.table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    pattern = r"(?U)(?<!\w)(?=(stupid|worthless)(?!\w))"
-    return docs.select(F.col("doc_id").alias("id"), F.size(F.regexp_extract_all(fold(compose(F.col("text"))), F.lit(pattern), 1)).cast("long").alias("n"))
+    hits = keywords.find(listed, False, full_text=F.col("text"))["hits"]
+    return docs.select(F.col("doc_id").alias("id"), F.aggregate(hits, F.lit(0).cast("long"), lambda a, h: a + h["n"]).alias("n"))
 
 
 def _list() -> keywords.KeywordList:

@@ -125,3 +125,20 @@ def dedup_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is decided on each candidate, with what is stored of its record."""
     stored = ingest._snapshot(spark, sf_dir).withColumns({"revision": F.length("source_id"), "last_seen_at": F.lit("2025-01-01").cast("timestamp")})
     return merge.decide(t.candidates(spark, sf_dir), stored, True).select("pos", "action", "stored_revision", F.date_format("stored_last_seen_at", "yyyy-MM-dd").alias("stored_last_seen"))
+
+
+_RUNS = """, r AS (SELECT jurisdiction_code AS id, count(*) AS discovered, count_if(event_type = 'click') AS skipped, count_if(event_type IN ('signup', 'purchase'))::BIGINT AS written, count_if(event_type = 'error') AS failed, min(modified_at) AS started_at FROM candidates GROUP BY 1)"""
+
+
+@query(f"""{_RUNS} SELECT id, strftime(started_at, '%G-W%V_%Y%m%dT%H%M%SZ') AS name, CASE WHEN discovered % 5 = 0 THEN 'FAILED after ' WHEN discovered % 5 = 1 THEN 'INTERRUPTED after ' ELSE '' END
+|| CASE WHEN written = 0 THEN CASE WHEN discovered % 5 < 2 THEN 'nothing new' ELSE 'Nothing new' END ELSE format('{{:,}}', written) || ' new case' || CASE WHEN written = 1 THEN '' ELSE 's' END END || CASE WHEN failed > 0 THEN format(', {{:,}} failed', failed) ELSE '' END
+|| CASE WHEN discovered % 5 = 0 THEN ': the source is gone' WHEN discovered % 5 = 1 THEN '. Nothing is lost; the next run resumes.' ELSE '.' END AS verdict, (SELECT count(*) FROM candidates c WHERE c.jurisdiction_code = r.id AND event_type = 'error') > 0 AS tells_failures FROM r""")
+def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of each jurisdiction's run: its name, its first sentence and whether it has a section of failures."""
+    rows = t.candidates(spark, sf_dir)
+    n = lambda *kinds: F.count_if(F.col("event_type").isin(*kinds))
+    runs_ = rows.groupBy(F.col("jurisdiction_code").alias("id")).agg(F.count("*").alias("discovered"), n("click").alias("skipped"), n("signup", "purchase").alias("written"), n("error").alias("failed"), F.min("modified_at").cast("timestamp").alias("started_at"), F.max("modified_at").cast("timestamp").alias("finished_at"))
+    status = F.when(F.col("discovered") % 5 == 0, "failed").when(F.col("discovered") % 5 == 1, "interrupted").otherwise("partial")
+    runs_ = runs_.withColumns({"jurisdiction_code": F.col("id"), "status": status, "bytes": F.col("written") * 1000, "before": F.lit(None).cast("string"), "after": F.lit("x"), "error": F.lit("the source is gone")})
+    failures = rows.where("failed").select(F.col("jurisdiction_code").alias("run"), "pos", F.col("source_id").alias("identifier"), F.lit("Timeout").alias("kind"), F.lit("late").alias("reason"))
+    return export.run_reports(runs_, failures).select("id", "name", F.split("text", "\n")[3].alias("verdict"), F.contains("text", F.lit("\nFailures\n--------\n")).alias("tells_failures"))

@@ -95,3 +95,16 @@ def test_joined_in_order(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == expected and sums == {k: hashlib.sha256(v.encode()).hexdigest() for k, (_, v) in expected.items()}
     assert joined_in_order(df.limit(0), "key", [F.col("place")], F.col("text"), ",").collect() == []
+
+
+def test_parameters_of_lists(spark):
+    assert search.latest_limit(None) == 20 and search.latest_limit(" 50 ") == 50 and search.latest_limit("") == 20
+    assert reviews.parse_statuses([]) == ("pending",) and reviews.parse_statuses(["decided, pending", "DECIDED"]) == ("decided", "pending") and reviews.parse_statuses(["pending", "any"]) == ()
+    for bad in ("0", "51", "x", "1.5"):
+        with pytest.raises(ValueError):
+            search.latest_limit(bad)
+    for bad in (["gone"], ["pending,"] * 17):
+        with pytest.raises(ValueError):
+            reviews.parse_statuses(bad)
+    rows = spark.createDataFrame([("DE", "a", True), ("DE", "b", False), ("EN", "a", True), ("DE", "c", None)], "jurisdiction_code string, source_id string, is_published boolean")
+    assert [detail.published(rows, "DE", x).count() for x in "abcd"] == [1, 0, 0, 0]
