@@ -67,6 +67,42 @@ def test_blocks_of_large_buckets(spark, monkeypatch, large):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None) == brute(rows)
 
 
+def test_alike_but_unlinked_texts_emit_few_pairs(spark, monkeypatch):
+    """2,000 texts that share most of their words, at a similarity of 0.65, fall into the same buckets; what is emitted stays linear."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    core = [word() for _ in range(154)]
+    rows = [(i, " ".join([*core, *(word() for _ in range(40))])) for i in range(2_000)]
+    rows += [(5_000 + i, rows[i][1] + " " + word()) for i in range(20)]
+    emitted, write = {}, near_dedup.Scratch.write
+
+    def counted(self, df, name):
+        table = write(self, df, name)
+        if name in ("pairs", "mixed"):
+            emitted[name] = table.count()
+        return table
+
+    monkeypatch.setattr(near_dedup.Scratch, "write", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(2_000)} | {5_000 + i: i for i in range(20)}
+    assert emitted["mixed"] > 0 and emitted["pairs"] < 2_000
+
+
+def test_fine_sketches_lose_no_link():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 2**63, 2_000).astype(np.uint64)
+    sets = [np.unique(pool[a : a + n]) for a, n in rng.integers(1, 900, (60, 2)) if n]
+    for each in (near_dedup.COARSE, near_dedup.FINE):
+        for a in sets[:30]:
+            for b in sets[30:]:
+                x, y = near_dedup.parity(a, each), near_dedup.parity(b, each)
+                while len(x) > len(y):
+                    x = near_dedup._folded(x)
+                while len(y) > len(x):
+                    y = near_dedup._folded(y)
+                assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_empty(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
