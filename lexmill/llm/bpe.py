@@ -292,8 +292,21 @@ class Tokenizer:
 
         @arrow_udf("array<int>")
         def begins(column: pa.Array) -> pa.Array:
-            size = _once(key + "#size", lambda: {i: len(b) for b, i in ranks.value.items()})
-            out = [None if r is None else (np.cumsum([0, *map(size.__getitem__, r)])[:-1]).tolist() for r in column.to_pylist()]
-            return pa.array(out, pa.list_(pa.int32()))
+            size = _once(key + "#size", lambda: _token_sizes(ranks.value))
+            count = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(size[column.flatten().to_numpy(zero_copy_only=False)]) if count.sum() else np.empty(0, np.int64)
+            begin = np.concatenate([[0], ends])
+            at = np.concatenate([[0], np.cumsum(count)])
+            flat = begin[:-1] - np.repeat(begin[at[:-1]], count)
+            rows = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
+            return pc.if_else(column.is_valid(), rows, pa.scalar(None, rows.type)) if column.null_count else rows
 
         return begins(ids)
+
+
+def _token_sizes(ranks: dict[bytes, int]) -> np.ndarray:
+    """Bytes of each id's token."""
+    out = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, i in ranks.items():
+        out[i] = len(token)
+    return out
