@@ -105,6 +105,30 @@ def keyword_verdict_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "v.score", "v.vetoed", "v.passed", "v.needs_review", F.size("v.terms").alias("n_terms"))
 
 
+_EVIDENCE_TERMS = {"en-a": "ererer", "en-b": "erererer", "en-c": "ingthe", "en-d": "ingthe", "en-e": "thonon"}
+_SPACE = r"[\t-\r\x{1C}- \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_PLACES = "list_filter(range(1, length(f)), lambda i: {})"
+_AT = {"en-a": "substring(f, i, 6) = 'ererer' AND substring(f, i, 8) <> 'erererer'", "en-b": "substring(f, i, 8) = 'erererer'", **{k: f"substring(f, i, 6) = '{_EVIDENCE_TERMS[k]}'" for k in ("en-c", "en-d", "en-e")}}
+
+
+@query(", d AS (SELECT doc_id AS id, nfc_normalize(coalesce(text, '')) AS c, " + _fold_sql("coalesce(text, '')") + " AS f FROM documents), h AS ("
+  + " UNION ALL ".join(f"SELECT id, c, '{k}' AS term_id, {len(_EVIDENCE_TERMS[k])} AS size, {_PLACES.format(at)} AS places FROM d WHERE contains(f, '{_EVIDENCE_TERMS[k]}')" for k, at in _AT.items())
+  + f"""), m AS (SELECT *, len(places) AS n, list_min(places) - 1 AS a, greatest(list_min(places) - 91, 0) AS low FROM h WHERE len(places) > 0)
+SELECT id, term_id, n::INT AS occurrences, a::INT AS start, substring(c, (a + 1)::INT, size) AS matched_text,
+  CASE WHEN a > 90 THEN '…' ELSE '' END || trim(regexp_replace(substring(c, (low + 1)::INT, (a + size + 90 - low)::INT), '{_SPACE}', ' ', 'g'), ' ') || CASE WHEN a + size + 90 < length(c) THEN '…' ELSE '' END AS snippet,
+  row_number() OVER (PARTITION BY id ORDER BY a, term_id) AS place FROM m""")
+def keyword_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a verdict rests on: of each term how often it stands in the text (overlapping, the longest of those that begin at one place, for
+    each term that has the literal), where first, with its surroundings, and in which order the reason names it."""
+    terms = [{"id": k, "term": v, "lang": "en", "category": "general", "weight": 1, "match": "substring"} for k, v in _EVIDENCE_TERMS.items()]
+    whole = keywords.example()
+    listed = keywords.parse(whole | {"terms": terms, "exclusions": [], "scoring": whole["scoring"] | {"min_score": 1}})
+    docs = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), keywords.judge(listed, full_text=F.col("text")).alias("v"))
+    said = F.split(F.regexp_extract("v.reason", "matched: (.*)$", 1), ", ")
+    rows = docs.select("id", said.alias("said"), F.inline("v.matches"))
+    return rows.select("id", "term_id", "occurrences", "start", "matched_text", "snippet", F.array_position("said", F.col("term_id")).alias("place"))
+
+
 def _calm(text: str | None) -> dict:
     marks = (text or "").count("!")
     return {"passed": 20 * marks <= len(text or ""), "score": float(marks), "reason": f"{marks} marks"}
