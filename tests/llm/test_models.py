@@ -5,6 +5,7 @@ import re
 import time
 import zlib
 
+import numpy as np
 import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
@@ -202,18 +203,18 @@ def test_decontamination_edges(spark):
     assert decontaminate.matches(docs.limit(0), items).count() == 0 and decontaminate.matches(docs, items.limit(0)).count() == 0
 
 
-def test_blocks_find_all_within_radius(spark):
-    rng = random.Random(9)
-    pairs = []
-    for _ in range(300):
-        a, b = rng.getrandbits(64), 0
-        for bit in rng.sample(range(64), rng.randint(0, decontaminate.RADIUS)):
-            b |= 1 << bit
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        pairs.append((signed(a), signed(a ^ b)))
-    df = spark.createDataFrame(pairs, "a long, b long")
-    shared = F.arrays_overlap(decontaminate._blocks("a", decontaminate.RADIUS), decontaminate._blocks("b", decontaminate.RADIUS))
-    assert df.where(~shared).count() == 0
+def test_radius_at_the_limit():
+    """Fingerprints of windows at a similarity of exactly 0.75: the last k of 7k + 4 different words changed."""
+    rng = np.random.default_rng(9)
+    draws = far = 0
+    for k in (1, 2, 4, 8, 20):
+        for _ in range(1_000):
+            words = rng.integers(0, 1 << 63, 7 * k + 4, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 7 * k + 4).astype(np.uint64)
+            changed = words.copy()
+            changed[-k:] = rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2)
+            bits = [np.unpackbits(w.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0) * 2 > len(w) for w in (words, changed)]
+            draws, far = draws + 1, far + int((bits[0] != bits[1]).sum() > decontaminate.RADIUS)
+    assert far <= draws // 1_000
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 33])
