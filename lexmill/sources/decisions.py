@@ -105,7 +105,7 @@ def notice_facts(raw: DataFrame) -> DataFrame:
     notice's own work and none of the works that it embeds, and ``decoding``. A payload that cannot be read gives no row."""
     key = F.md5(F.concat(F.coalesce("source_id", F.lit("")), F.lit("\0"), F.coalesce("payload", F.lit(""))))
     read = raw.withColumns({"notice": key, "n": markup.notice(F.col("payload"))}).where("n IS NOT NULL AND size(n.facts) > 0")
-    return read.select(*raw.columns, "notice", F.col("n.facts").alias("f"), "n.decoding")
+    return read.select(*raw.columns, "notice", F.col("n.facts").alias("f"), "n.decoding", F.col("n.first").alias("firsts"))
 
 
 def labels(f: Column, *names: str) -> Column:
@@ -177,8 +177,9 @@ def notices(facts: DataFrame, texts: DataFrame) -> DataFrame:
     facts = _with(facts, notice_url="string", decoding="string")
     texts = _with(texts, format="string", selected_as="string", source_url="string").where("language IS NOT NULL")
     f = F.col("f")
-    kind = markup.document_kind(value(f, "WORK_HAS_RESOURCE-TYPE", "URI/IDENTIFIER"))
-    title = F.coalesce("title", value(f, "EXPRESSION_TITLE", "VALUE"))
+    first_of = lambda place: F.try_element_at("firsts", F.lit(place))
+    kind = markup.document_kind(first_of("WORK_HAS_RESOURCE-TYPE/URI/IDENTIFIER"))
+    title = F.coalesce("title", first_of("EXPRESSION_TITLE/VALUE"))
     version = F.struct(markup.language(F.col("language")).alias("language"), F.coalesce("format", F.lit("html")).alias("format"), markup.reading_text(F.col("payload")).alias("full_text"), F.col("language").alias("code"), "selected_as", "source_url")
     versions = texts.select("source_id", version.alias("d")).groupBy("source_id").agg(F.array_sort(F.collect_list("d")).alias("versions"))
     agent = F.get(F.filter(f, lambda x: (x["name"] == "WORK_CREATED_BY_AGENT") & (x["path"] == "URI/TYPE") & (x["value"] == "corporate-body")), F.lit(0))
@@ -189,7 +190,7 @@ def notices(facts: DataFrame, texts: DataFrame) -> DataFrame:
     typed = F.transform("versions", lambda d: F.struct(kind.alias("doc_type"), d["language"].alias("language"), d["format"].alias("format"), d["full_text"].alias("full_text")))
     notice = F.struct(F.lit("other").alias("doc_type"), F.lit(None).cast("string").alias("language"), F.lit("xml").alias("format"), F.lit(None).cast("string").alias("full_text"))
     first = F.get(F.filter("versions", lambda d: F.coalesce(d["full_text"], F.lit("")) != ""), F.lit(0))["language"]
-    metadata = F.struct(*[value(f, place.split("/")[0], place.partition("/")[2]).alias(name) for name, place in NOTICE_METADATA.items()], 
+    metadata = F.struct(*[first_of(place).alias(name) for name, place in NOTICE_METADATA.items()], 
         labels(f, "RESOURCE_LEGAL_IS_ABOUT_SUBJECT-MATTER").alias("subject_matter"), labels(f, "CASE-LAW_IS-ABOUT_CASE-LAW-SUBJECT-MATTER").alias("case_law_subject_matter"),
         codes(f, "CASE-LAW_IS_ABOUT_CONCEPT").alias("case_law_directory_codes"), labels(f, "CASE-LAW_IS_ABOUT_CONCEPT").alias("case_law_directory_labels"), labels(f, "IS_ABOUT").alias("eurovoc_descriptors"),
         languages(f).alias("available_languages"), procedure_language(f).alias("procedure_language"),
@@ -198,10 +199,10 @@ def notices(facts: DataFrame, texts: DataFrame) -> DataFrame:
     )
     return rows.select(
         F.lit("EU").alias("jurisdiction_code"), "source_id", markup.clean_title(title).alias("title"), F.lit(None).cast("string").alias("abstract"), _joined(labels(f, *SUBJECTS), "; ").alias("subject"),
-        markup.date_prefix(value(f, "WORK_DATE_DOCUMENT", "VALUE")).alias("decision_date"), F.lit(None).cast("date").alias("filing_date"),
-        markup.date_prefix(F.coalesce(value(f, "CREATIONDATE", "VALUE"), value(f, "DATE_CREATION_LEGACY", "VALUE"))).alias("publication_date"),
+        markup.date_prefix(first_of("WORK_DATE_DOCUMENT/VALUE")).alias("decision_date"), F.lit(None).cast("date").alias("filing_date"),
+        markup.date_prefix(F.coalesce(first_of("CREATIONDATE/VALUE"), first_of("DATE_CREATION_LEGACY/VALUE"))).alias("publication_date"),
         F.coalesce("case_numbers", F.array().cast("array<string>")).alias("case_numbers"), F.coalesce(first, markup.language(procedure_language(f))).alias("language"),
-        F.lit(None).cast("string").alias("law_domain"), F.lit(None).cast("string").alias("law_subfield"), value(f, "CASE-LAW_HAS_TYPE_PROCEDURE_CONCEPT_TYPE_PROCEDURE", "PREFLABEL").alias("procedure_type"),
+        F.lit(None).cast("string").alias("law_domain"), F.lit(None).cast("string").alias("law_subfield"), first_of("CASE-LAW_HAS_TYPE_PROCEDURE_CONCEPT_TYPE_PROCEDURE/PREFLABEL").alias("procedure_type"),
         F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("source_url"), F.coalesce(of_agent("URI/VALUE"), F.concat(F.lit("corporate-body/"), of_agent("URI/IDENTIFIER"))).alias("court_identifier"),
         F.concat(typed, F.array(notice)).alias("documents"), markup.parties(title).alias("parties"),
         F.coalesce("citations", F.array().cast("array<struct<target: string, scheme: string, type: string, title: string>>")).alias("citations"), F.to_json(metadata).alias("source_metadata"),
