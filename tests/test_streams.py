@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.operators import merge, runs
 from lexmill.session import scratch_path
 from lexmill.streaming.ingest import Ingest, isolated
 from lexmill.streaming.mirror import Mirror
@@ -150,3 +151,18 @@ def test_scratch_tables_are_deleted(spark):
         inner.write.parquet(path)
     assert session.list_path(spark, where) == [] and spark.read.parquet(path).count() == 5 and kept.count() == 3
     session.delete_path(spark, path)
+
+
+def test_offers_and_positions_are_hashed_not_sorted(spark):
+    """No task sorts or buffers its share of the records: maxima of numbers are aggregated, and texts only of the rows that have them."""
+    rows = [("NL", "a", 1, 10, "1", "x", False), ("NL", "a", 3, 30, "3", "x", False), ("NL", "a", 3, 30, "3", "y", False), (None, "a", 2, 20, "2", "z", True), (None, "a", 1, 50, "1", "z", False), ("EU", None, None, 5, "9", "n", False), ("NL", "b", 3, 5, "4", "x", False), ("NL", "c", 9, 99, "4", "x", True)]
+    df = offers(spark, rows)
+    last = merge.last_of_each(df, ["pos"])
+    assert sorted((r["jurisdiction_code"] or "", r["source_id"] or "", r["pos"], r["title"]) for r in last.collect()) == [("", "a", 2, "z"), ("EU", "", None, "n"), ("NL", "a", 3, "y"), ("NL", "b", 3, "x"), ("NL", "c", 9, "x")]
+    got = runs.held_back(df, "jurisdiction_code")
+    assert {r["jurisdiction_code"]: (r["last_source_id"], r["committed"]) for r in got.collect()} == {"NL": ("b", 4), None: ("a", 2), "EU": (None, 1)}
+    for found in (last, got):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "max_by" not in plan and "LeftSemi" in plan and "SortAggregate" not in plan[plan.index("LeftSemi") :]
+    few = merge.last_of_each(df.select("jurisdiction_code", "source_id", "pos"), ["pos"])
+    assert few.count() == 5 and "SortAggregate" not in few._jdf.queryExecution().sparkPlan().toString()
