@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import display, export, merge, mirror, reviews, runs, search, stats
 from lexmill.plans.search import query
-from lexmill.session import materialize
 from lexmill.sources import decisions as d
 from lexmill.sources import markup
 from lexmill.sources import tables as t
@@ -111,8 +110,9 @@ def fetch_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.cases(spark, sf_dir).select("id", d.requestable(made).alias("requestable"))
 
 
-def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A notice's payload for every order, with an embedded neighbour whose values are none of its own."""
+def _notices(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = None) -> DataFrame:
+    """A notice's payload for every order, with an embedded neighbour whose values are none of its own. Each is read once, and with
+    ``names`` for the elements of these names alone."""
     n = "o_orderkey"
     payload = f"""concat('<!DOCTYPE NOTICE><NOTICE><WORK><URI><VALUE>http://c/', {n}, '</VALUE></URI><ECLI><VALUE>ECLI:EU:C:2001:', {n}, '</VALUE></ECLI><WORK_DATE_DOCUMENT><VALUE>', cast(o_orderdate AS date), '</VALUE></WORK_DATE_DOCUMENT>',
       '<WORK_HAS_RESOURCE-TYPE><URI><IDENTIFIER>', CASE {n} % 3 WHEN 0 THEN 'JUDG' WHEN 1 THEN 'OPIN_AG' ELSE 'X' END, '</IDENTIFIER></URI></WORK_HAS_RESOURCE-TYPE>',
@@ -127,8 +127,7 @@ def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
       '<WORK><IS_ABOUT><PREFLABEL>a neighbour</PREFLABEL></IS_ABOUT><WORK_CITES_WORK><SAMEAS><URI><TYPE>celex</TYPE><IDENTIFIER>wrong</IDENTIFIER></URI></SAMEAS></WORK_CITES_WORK></WORK></NOTICE>')"""
     # a small file is one split, and reading a payload takes far longer than reading its order
     orders = t.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").repartition(spark.sparkContext.defaultParallelism)
-    facts = d.notice_facts(orders.selectExpr(f"cast({n} AS string) AS source_id", "cast(null AS string) AS title", f"{payload} AS payload"))
-    return materialize(facts.drop("payload"), "facts")  # parsed once, read by several parts of the plan
+    return d.notice_facts(orders.selectExpr(f"cast({n} AS string) AS source_id", "cast(null AS string) AS title", f"{payload} AS payload"), names).drop("payload")
 
 
 @query("""SELECT o_orderkey::VARCHAR AS source_id, 'Judgment A' || o_orderkey || ' v B' || o_orderkey % 5 || '. x' AS title, 'topic ' || o_orderkey % 6 || '; deep' AS subject, strftime(o_orderdate, '%Y-%m-%d') AS decision_date,
@@ -148,7 +147,7 @@ def notice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey::VARCHAR AS source_id, '6' || o_orderkey % 7 AS target, 'celex' AS scheme, 'cites' AS citation_type FROM orders
 UNION ALL SELECT o_orderkey::VARCHAR, 'E' || o_orderkey % 11, 'ecli', 'applies' FROM orders""")
 def notice_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.notice_citations(_notices(spark, sf_dir)).select("source_id", "target", "scheme", "citation_type")
+    return d.notice_citations(_notices(spark, sf_dir, tuple(markup.RELATIONS))).select("source_id", "target", "scheme", "citation_type")
 
 
 @query("""SELECT event_id, strftime(date_trunc('second', ts) - CASE WHEN event_id % 4 = 1 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d %H:%M:%S') AS instant FROM events WHERE event_id % 5 <> 4
@@ -165,7 +164,7 @@ CASE WHEN o_orderkey % 4 = 1 THEN 'FRA procedural,DEU only_available' ELSE 'DEU
 def language_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which versions of a work are fetched, and what is tried if none of them comes."""
     f = F.col("f")
-    rows = _notices(spark, sf_dir).select("source_id", d.languages(f).alias("have"), d.procedure_language(f).alias("own")).select("source_id", "have", d.language_plan(F.col("have"), F.col("own")).alias("p"))
+    rows = _notices(spark, sf_dir, d.LANGUAGE_NAMES).select("source_id", d.languages(f).alias("have"), d.procedure_language(f).alias("own")).select("source_id", "have", d.language_plan(F.col("have"), F.col("own")).alias("p"))
     return rows.select("source_id", F.array_join("have", ",").alias("available"), F.array_join("p.preferred", ",").alias("preferred"), F.array_join(F.transform("p.fallbacks", lambda x: F.concat_ws(" ", x["language"], x["reason"])), ",").alias("fallbacks"))
 
 

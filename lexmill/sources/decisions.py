@@ -100,12 +100,13 @@ def decisions(raw: DataFrame, courts: DataFrame) -> DataFrame:
 # ---- notices --------------------------------------------------------------------------------------------------------
 
 
-def notice_facts(raw: DataFrame) -> DataFrame:
+def notice_facts(raw: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
     """raw (source_id, title, payload, and notice_url if known) with ``notice``, which tells notices of one id apart, ``f``, the values of each
-    notice's own work and none of the works that it embeds, and ``decoding``. A payload that cannot be read gives no row."""
+    notice's own work and none of the works that it embeds, and more that is read with them: ``decoding``, ``firsts``, ``cited`` and ``numbers``.
+    A payload that cannot be read gives no row. With ``names`` only the elements of these names are read out."""
     key = F.md5(F.concat(F.coalesce("source_id", F.lit("")), F.lit("\0"), F.coalesce("payload", F.lit(""))))
-    read = raw.withColumns({"notice": key, "n": markup.notice(F.col("payload"))}).where("n IS NOT NULL AND size(n.facts) > 0")
-    return read.select(*raw.columns, "notice", F.col("n.facts").alias("f"), "n.decoding", F.col("n.first").alias("firsts"))
+    read = raw.withColumns({"notice": key, "n": markup.notice(F.col("payload"), frozenset(names) if names is not None else None)}).where("n.some")
+    return read.select(*raw.columns, "notice", F.col("n.facts").alias("f"), "n.decoding", F.col("n.first").alias("firsts"), F.col("n.citations").alias("cited"), "n.numbers")
 
 
 def labels(f: Column, *names: str) -> Column:
@@ -129,6 +130,10 @@ def procedure_language(f: Column) -> Column:
     return F.upper(F.coalesce(value(f, "CASE-LAW_USES_PROCEDURE_LANGUAGE", "URI/IDENTIFIER"), value(f, "CASE-LAW_USES_PROCEDURE_LANGUAGE", "IDENTIFIER")))
 
 
+#: Elements that tell in which languages a work exists and was made.
+LANGUAGE_NAMES = ("WORK_HAS_EXPRESSION", "CASE-LAW_USES_PROCEDURE_LANGUAGE")
+
+
 def language_plan(available: Column, procedural: Column, preferred: tuple[str, ...] = ("ENG",)) -> Column:
     """struct<preferred, fallbacks array<struct<language, reason>>>: of the wanted languages those that exist, all to be fetched; and what
     to try if none of them can be: the language of the procedure, then the first other one."""
@@ -139,27 +144,12 @@ def language_plan(available: Column, procedural: Column, preferred: tuple[str, .
     return F.struct(wanted.alias("preferred"), F.concat(why(by_procedure, "procedural"), why(other, "only_available")).alias("fallbacks"))
 
 
-def _uris(facts: DataFrame) -> DataFrame:
-    """(notice, source_id, name, item, kind, identifier): what other works are called that the elements of a work point to."""
-    rows = facts.select("notice", "source_id", F.inline("f")).where("path IN ('SAMEAS/URI/TYPE', 'SAMEAS/URI/IDENTIFIER')")
-    of = lambda end: F.max(F.when(F.col("path").endswith(end), F.col("value")))
-    return rows.groupBy("notice", "source_id", "name", "item", "owner").agg(of("TYPE").alias("kind"), of("IDENTIFIER").alias("identifier")).where("identifier IS NOT NULL")
-
-
 def notice_citations(facts: DataFrame) -> DataFrame:
-    """(notice, source_id, target, scheme, citation_type, position): by CELEX number, else by ECLI; the first of each target and relation. Notices
-    are told apart by ``notice``, so two of one id keep their own citations."""
-    relation = F.try_element_at(F.create_map(*[F.lit(x) for kv in markup.RELATIONS.items() for x in kv]), F.col("name"))
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("identifier")))
-    links = _uris(facts).withColumn("citation_type", relation).where("citation_type IS NOT NULL").groupBy("notice", "source_id", "citation_type", "item").agg(of("celex").alias("celex"), of("ecli").alias("ecli"))
-    named = links.select("notice", "source_id", "citation_type", "item", F.coalesce("celex", "ecli").alias("target"), F.when(F.col("celex").isNotNull(), "celex").otherwise("ecli").alias("scheme")).where("target IS NOT NULL")
-    return named.groupBy("notice", "source_id", "target", "citation_type").agg(F.min_by("scheme", "item").alias("scheme"), F.min("item").alias("position"))
-
-
-def notice_case_numbers(facts: DataFrame) -> DataFrame:
-    """(notice, case_numbers), in the notice's order; joined numbers are split."""
-    parts = _uris(facts).where("name = 'PART_OF' AND kind = 'case'").groupBy("notice").agg(F.array_sort(F.collect_list(F.struct("item", "owner", "identifier"))).alias("n"))
-    return parts.select("notice", markup.case_numbers(F.transform("n", lambda x: x["identifier"])).alias("case_numbers"))
+    """(notice, source_id, target, citation_type, scheme, position): by CELEX number, else by ECLI; the first of each target and relation. Notices
+    are told apart by ``notice``, so two of one id keep their own citations. They are found while a notice is read, so one short row of each
+    notice is shuffled, to tell equal ones."""
+    distinct = facts.where("size(cited) > 0").select("notice", "source_id", "cited").repartition("notice").distinct()
+    return distinct.select("notice", "source_id", F.inline("cited")).select("notice", "source_id", "target", "citation_type", "scheme", "position")
 
 
 def _with(table: DataFrame, **defaults: str) -> DataFrame:
@@ -176,37 +166,43 @@ def notices(facts: DataFrame, texts: DataFrame) -> DataFrame:
     """
     facts = _with(facts, notice_url="string", decoding="string")
     texts = _with(texts, format="string", selected_as="string", source_url="string").where("language IS NOT NULL")
-    f = F.col("f")
     first_of = lambda place: F.try_element_at("firsts", F.lit(place))
-    kind = markup.document_kind(first_of("WORK_HAS_RESOURCE-TYPE/URI/IDENTIFIER"))
     title = F.coalesce("title", first_of("EXPRESSION_TITLE/VALUE"))
     version = F.struct(markup.language(F.col("language")).alias("language"), F.coalesce("format", F.lit("html")).alias("format"), markup.reading_text(F.col("payload")).alias("full_text"), F.col("language").alias("code"), "selected_as", "source_url")
     versions = texts.select("source_id", version.alias("d")).groupBy("source_id").agg(F.array_sort(F.collect_list("d")).alias("versions"))
-    agent = F.get(F.filter(f, lambda x: (x["name"] == "WORK_CREATED_BY_AGENT") & (x["path"] == "URI/TYPE") & (x["value"] == "corporate-body")), F.lit(0))
-    of_agent = lambda path: F.get(F.transform(F.filter(f, lambda x: (x["item"] == agent["item"]) & (x["name"] == agent["name"]) & (x["path"] == path)), lambda x: x["value"]), F.lit(0))
-    rows = facts.join(versions, "source_id", "left").join(notice_case_numbers(facts), "notice", "left")
-    cited = notice_citations(facts).groupBy("notice").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "target", "scheme", "citation_type"))), lambda c: F.struct(c["target"].alias("target"), c["scheme"].alias("scheme"), c["citation_type"].alias("type"), F.lit(None).cast("string").alias("title"))).alias("citations"))
-    rows = rows.join(cited, "notice", "left").withColumn("versions", F.coalesce("versions", F.array().cast("array<struct<language: string, format: string, full_text: string, code: string, selected_as: string, source_url: string>>")))
-    typed = F.transform("versions", lambda d: F.struct(kind.alias("doc_type"), d["language"].alias("language"), d["format"].alias("format"), d["full_text"].alias("full_text")))
+    # all that a notice says is taken out of its facts before it meets its texts, so that no facts are shuffled
+    f = F.col("f")
+    few = facts.withColumn("f", F.filter(f, lambda x: x["name"].isin(*SUBJECTS, *LANGUAGE_NAMES, "WORK_CREATED_BY_AGENT")))
+    few = few.withColumn("agent", F.get(F.filter(f, lambda x: (x["name"] == "WORK_CREATED_BY_AGENT") & (x["path"] == "URI/TYPE") & (x["value"] == "corporate-body")), F.lit(0))["item"])
+    few = few.withColumn("agents", F.filter(f, lambda x: (x["item"] == F.col("agent")) & (x["name"] == "WORK_CREATED_BY_AGENT")))
+    of_agent = lambda path: F.get(F.transform(F.filter("agents", lambda x: x["path"] == path), lambda x: x["value"]), F.lit(0))
+    said = few.select(
+        "source_id", title.alias("title"), markup.document_kind(first_of("WORK_HAS_RESOURCE-TYPE/URI/IDENTIFIER")).alias("kind"), markup.date_prefix(first_of("WORK_DATE_DOCUMENT/VALUE")).alias("decision_date"),
+        markup.date_prefix(F.coalesce(first_of("CREATIONDATE/VALUE"), first_of("DATE_CREATION_LEGACY/VALUE"))).alias("publication_date"), markup.case_numbers(F.col("numbers")).alias("case_numbers"),
+        *[labels(f, name).alias(f"labels_{i}") for i, name in enumerate(SUBJECTS)], codes(f, "CASE-LAW_IS_ABOUT_CONCEPT").alias("directory_codes"), languages(f).alias("have"), procedure_language(f).alias("own"),
+        first_of("CASE-LAW_HAS_TYPE_PROCEDURE_CONCEPT_TYPE_PROCEDURE/PREFLABEL").alias("procedure_type"), F.coalesce(of_agent("URI/VALUE"), F.concat(F.lit("corporate-body/"), of_agent("URI/IDENTIFIER"))).alias("court_identifier"),
+        of_agent("PREFLABEL").alias("court_name"), F.transform("cited", lambda c: F.struct(c["target"].alias("target"), c["scheme"].alias("scheme"), c["citation_type"].alias("type"), F.lit(None).cast("string").alias("title"))).alias("citations"),
+        *[first_of(place).alias(f"metadata_{name}") for name, place in NOTICE_METADATA.items()], "decoding", "notice_url",
+    )
+    rows = said.join(versions, "source_id", "left")
+    rows = rows.withColumn("versions", F.coalesce("versions", F.array().cast("array<struct<language: string, format: string, full_text: string, code: string, selected_as: string, source_url: string>>")))
+    typed = F.transform("versions", lambda d: F.struct(F.col("kind").alias("doc_type"), d["language"].alias("language"), d["format"].alias("format"), d["full_text"].alias("full_text")))
     notice = F.struct(F.lit("other").alias("doc_type"), F.lit(None).cast("string").alias("language"), F.lit("xml").alias("format"), F.lit(None).cast("string").alias("full_text"))
     first = F.get(F.filter("versions", lambda d: F.coalesce(d["full_text"], F.lit("")) != ""), F.lit(0))["language"]
-    metadata = F.struct(*[first_of(place).alias(name) for name, place in NOTICE_METADATA.items()], 
-        labels(f, "RESOURCE_LEGAL_IS_ABOUT_SUBJECT-MATTER").alias("subject_matter"), labels(f, "CASE-LAW_IS-ABOUT_CASE-LAW-SUBJECT-MATTER").alias("case_law_subject_matter"),
-        codes(f, "CASE-LAW_IS_ABOUT_CONCEPT").alias("case_law_directory_codes"), labels(f, "CASE-LAW_IS_ABOUT_CONCEPT").alias("case_law_directory_labels"), labels(f, "IS_ABOUT").alias("eurovoc_descriptors"),
-        languages(f).alias("available_languages"), procedure_language(f).alias("procedure_language"),
+    of_subject = lambda name: F.col(f"labels_{SUBJECTS.index(name)}")
+    metadata = F.struct(*[F.col(f"metadata_{name}").alias(name) for name in NOTICE_METADATA],
+        of_subject("RESOURCE_LEGAL_IS_ABOUT_SUBJECT-MATTER").alias("subject_matter"), of_subject("CASE-LAW_IS-ABOUT_CASE-LAW-SUBJECT-MATTER").alias("case_law_subject_matter"),
+        F.col("directory_codes").alias("case_law_directory_codes"), of_subject("CASE-LAW_IS_ABOUT_CONCEPT").alias("case_law_directory_labels"), of_subject("IS_ABOUT").alias("eurovoc_descriptors"),
+        F.col("have").alias("available_languages"), F.col("own").alias("procedure_language"),
         F.transform("versions", lambda d: F.struct(d["code"].alias("language"), d["selected_as"].alias("selected_as"), d["source_url"].alias("source_url"))).alias("retrieved_languages"),
         F.col("decoding").alias("notice_decoding"), "notice_url",
     )
     return rows.select(
-        F.lit("EU").alias("jurisdiction_code"), "source_id", markup.clean_title(title).alias("title"), F.lit(None).cast("string").alias("abstract"), _joined(labels(f, *SUBJECTS), "; ").alias("subject"),
-        markup.date_prefix(first_of("WORK_DATE_DOCUMENT/VALUE")).alias("decision_date"), F.lit(None).cast("date").alias("filing_date"),
-        markup.date_prefix(F.coalesce(first_of("CREATIONDATE/VALUE"), first_of("DATE_CREATION_LEGACY/VALUE"))).alias("publication_date"),
-        F.coalesce("case_numbers", F.array().cast("array<string>")).alias("case_numbers"), F.coalesce(first, markup.language(procedure_language(f))).alias("language"),
-        F.lit(None).cast("string").alias("law_domain"), F.lit(None).cast("string").alias("law_subfield"), first_of("CASE-LAW_HAS_TYPE_PROCEDURE_CONCEPT_TYPE_PROCEDURE/PREFLABEL").alias("procedure_type"),
-        F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("source_url"), F.coalesce(of_agent("URI/VALUE"), F.concat(F.lit("corporate-body/"), of_agent("URI/IDENTIFIER"))).alias("court_identifier"),
-        F.concat(typed, F.array(notice)).alias("documents"), markup.parties(title).alias("parties"),
-        F.coalesce("citations", F.array().cast("array<struct<target: string, scheme: string, type: string, title: string>>")).alias("citations"), F.to_json(metadata).alias("source_metadata"),
-        F.when(of_agent("PREFLABEL").isNotNull(), F.struct(of_agent("PREFLABEL").alias("name"), F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("domain"))).alias("court"),
+        F.lit("EU").alias("jurisdiction_code"), "source_id", markup.clean_title(F.col("title")).alias("title"), F.lit(None).cast("string").alias("abstract"), _joined(F.array_distinct(F.concat(*map(of_subject, SUBJECTS))), "; ").alias("subject"),
+        "decision_date", F.lit(None).cast("date").alias("filing_date"), "publication_date", "case_numbers", F.coalesce(first, markup.language(F.col("own"))).alias("language"),
+        F.lit(None).cast("string").alias("law_domain"), F.lit(None).cast("string").alias("law_subfield"), "procedure_type", F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("source_url"), "court_identifier",
+        F.concat(typed, F.array(notice)).alias("documents"), markup.parties(F.col("title")).alias("parties"), "citations", F.to_json(metadata).alias("source_metadata"),
+        F.when(F.col("court_name").isNotNull(), F.struct(F.col("court_name").alias("name"), F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("domain"))).alias("court"),
     )
 
 

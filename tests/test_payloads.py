@@ -108,3 +108,15 @@ def test_instants(spark):
 def test_media_format(spark):
     df = spark.createDataFrame([("application/xhtml+xml; charset=UTF-8",), ("text/HTML",), ("application/xml",), ("text/plain",), (None,)], "t string")
     assert [r[0] for r in df.select(markup.media_format(F.col("t"))).collect()] == ["xhtml", "html", "xml", "text", "text"]
+
+
+def test_notices_are_read_once_and_their_facts_not_shuffled(spark, sf):
+    """Citations and case numbers come with the reading: one short row of each notice moves to tell equal ones, and no facts do."""
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    cited = plan(records.notice_citations(spark, sf))
+    assert cited.count("ArrowEvalPython") == 1 and "SortAggregate" not in cited and "max(" not in cited
+    assert plan(records.language_plan(spark, sf)).count("ArrowEvalPython") == 1
+    raw = spark.createDataFrame([("n", None, NOTICE.format(CITES.format("61") + CITES.format("61")))] * 2 + [("m", None, NOTICE.format(""))], "source_id string, title string, payload string")
+    facts = decisions.notice_facts(raw, tuple(markup.RELATIONS))
+    assert [(r["source_id"], r["target"], r["position"]) for r in decisions.notice_citations(facts).collect()] == [("n", "61", 1)]
+    assert {r["source_id"]: len(r["f"]) for r in facts.collect()} == {"n": 4, "m": 0}  # a notice without such elements is still one
