@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-1. Words are lower-cased and hashed once a document. A window that shares no 5-word shingle with an item has similarity 0 to it, so
-   windows are taken where a shingle of the document is one of an item: as many words as the item has, aligned on that shingle.
+1. Words are lower-cased and hashed once a document. Every window of as many words as an item has is a candidate that holds enough
+   places of shingles of the item to be as similar as is asked for; the places in a window bound what it shares, so none is missed.
 2. Every window and every item gets a 64-bit SimHash of its words; a window stays if it is within RADIUS bits of its item.
 3. Candidates are verified by the exact similarity of weighted shingles: the sum of the lesser over the sum of the greater
    counts of each shingle, in integers.
@@ -25,9 +25,9 @@ ROW_BYTES = 64
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def _bounded(df: DataFrame, words: str | None = None) -> DataFrame:
-    """Marked for broadcast if its counted rows, and the words of its array column ``words``, are few."""
-    rows, held = df.agg(F.count("*"), F.coalesce(F.sum(F.size(words)) if words else F.lit(0).cast("long"), F.lit(0).cast("long"))).first()
+def _bounded(df: DataFrame, words: str | Column | None = None) -> DataFrame:
+    """Marked for broadcast if its counted rows, and the words of its array column ``words`` (or so many as a column says), are few."""
+    rows, held = df.agg(F.count("*"), F.coalesce(F.sum(F.size(words) if isinstance(words, str) else words) if words is not None else F.lit(0).cast("long"), F.lit(0).cast("long"))).first()
     return F.broadcast(df) if rows * ROW_BYTES + held * 16 <= BROADCAST_BYTES else df
 
 
@@ -58,6 +58,26 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: First words of windows that share one copy of their words.
+RUN = 256
+
+
+def _candidates(places: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, item_id, n, start) of all windows of ``n`` words that hold enough of the places ``at``, which are in order. A window whose first place
+    is the j-th begins after the place before, and holds enough if the one so many further on is in it; so each window comes once. A
+    text shorter than the item is one window."""
+    z = F.least("n", F.lit(width))
+    both = F.least("n", "m") + F.col("n") - 2 * z + 2
+    enough = F.greatest(F.lit(1), F.floor((percent * both + (99 + percent)) / F.lit(100 + percent)).cast("int"))
+    able = places.withColumns({"enough": enough, "z": z}).where("size(at) >= enough")
+    at = lambda j: F.get("at", j)
+    low = lambda j: F.greatest(F.lit(0), at(j - 1) + 1, at(j + F.col("enough") - 1) - F.col("n") + F.col("z"))
+    high = lambda j: F.least(at(j), F.greatest(F.lit(0), F.col("m") - F.col("n")))
+    starts = lambda j: F.when(low(j) <= high(j), F.sequence(low(j), high(j))).otherwise(F.array().cast("array<int>"))
+    firsts = F.sequence(F.lit(0), F.size("at") - F.col("enough"))
+    return able.select("key", "item_id", "n", F.explode(F.flatten(F.transform(firsts, starts))).alias("start"))
+
+
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, percent: int = 75, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, start, shared, total, similarity, distance): the best window of each document for each item it contains, by
     ``100 * shared >= percent * total``; ``start`` is the window's first word.
@@ -85,13 +105,17 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     of_items = placed_shingles(known, "item_id").where(f"w = least(n, {width})").select("item_id", "n", "s", "q")
     hashed = texts.select("key", word_hashes(F.col("text")).alias("words"))
     anchors = placed_shingles(hashed, "key").select("key", F.col("n").alias("m"), F.col("q").alias("p"), "s")
-    # a document shorter than the item is one window
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("m") - F.col("n")))
-    windows = anchors.join(_bounded(of_items), "s").select("key", "item_id", "n", start.alias("start")).distinct()
-    windows = scratch.write(windows.groupBy("key").agg(F.collect_list(F.struct("item_id", "n", "start")).alias("windows")), "windows")
-
-    cut = lambda words: F.transform("windows", lambda w: F.struct(w["item_id"].alias("item_id"), w["start"].alias("start"), F.slice(words, w["start"] + 1, w["n"]).alias("words")))
-    cuts = texts.join(_bounded(windows, "windows"), "key").select("doc_id", F.inline(_let(word_hashes(F.col("text")), cut))).where("size(words) > 0")
+    places = anchors.join(_bounded(of_items), "s").groupBy("key", "item_id", "n", "m").agg(F.sort_array(F.collect_set("p")).alias("at"))
+    starts = _candidates(places, width, percent)
+    runs = starts.groupBy("key", "item_id", "n", F.floor(F.col("start") / RUN).alias("run")).agg(F.min("start").alias("low"), F.max("start").alias("high"), F.collect_list("start").alias("starts"))
+    windows = scratch.write(runs.groupBy("key").agg(F.collect_list(F.struct("item_id", "n", "low", "high", "starts")).alias("windows"), F.sum(F.size("starts") + 4).alias("held")), "windows")
+
+    # each run takes its own words along, so that no row holds those of all windows of a text
+    words_of = lambda w, words: F.slice(words, w["low"] + 1, w["high"] - w["low"] + w["n"])
+    cut = lambda words: F.transform("windows", lambda w: F.struct(w["item_id"].alias("item_id"), w["n"].alias("n"), w["low"].alias("low"), w["starts"].alias("starts"), words_of(w, words).alias("run")))
+    held = texts.join(_bounded(windows, F.col("held")), "key").select("doc_id", F.inline(_let(word_hashes(F.col("text")), cut)))
+    of_run = F.transform("starts", lambda x: F.struct(x.alias("start"), F.slice("run", x - F.col("low") + 1, F.col("n")).alias("words")))
+    cuts = held.select("doc_id", "item_id", F.inline(of_run)).where("size(words) > 0")
     cuts = cuts.groupBy("doc_id", "item_id", "words").agg(F.min("start").alias("start"))  # windows of the same words are one
     cuts = _fingerprint(cuts, "words")
     prints = _fingerprint(known, "words").select("item_id", F.col("print").alias("item_print"), F.col("words").alias("item_words"))

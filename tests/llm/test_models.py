@@ -170,6 +170,19 @@ def test_decontamination_against_all_windows(spark):
     assert got == expected and len(got) > 40
 
 
+def test_decontamination_by_a_window_that_no_shingle_is_aligned_in(spark):
+    """Both ends of the item are changed and eight words put in between: windows aligned on a shingle share 83 of 100, one between them 86, and
+    86 are needed."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=7))
+    item = [word() for _ in range(104)]
+    part = [*item[:4], word(), *item[5:51], *(word() for _ in range(8)), *item[51:99], word(), *item[100:]]
+    docs = spark.createDataFrame([(1, " ".join([*(word() for _ in range(300)), *part, *(word() for _ in range(300))])), (2, " ".join(part))], "doc_id long, text string")
+    listed = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: (r["shared"], r["total"], r["start"]) for r in decontaminate.matches(docs, listed).collect()}
+    assert got == {1: (86, 114, 303), 2: (86, 114, 3)}
+
+
 def test_decontamination_of_a_long_text(spark):
     """One text that repeats an item: its words are hashed once, so ten times the text takes about ten times as long."""
     rng = random.Random(2)
